@@ -1 +1,3 @@
+"""Registers the queries: importing this package fills ``evenspan.registry``."""
 
+from . import similarity  # noqa: F401
