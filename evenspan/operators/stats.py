@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -121,7 +119,7 @@ def clustered_ols(rows: DataFrame, item: str = "item") -> DataFrame:
         beta, cov = to @ mu, to @ cov_means @ to.T
         return pd.DataFrame({"pos": pos, "beta": beta, "se": np.sqrt(np.maximum(np.diag(cov), 0)), "adjusted_mean": mu, "mean_se": np.sqrt(np.maximum(np.diag(cov_means), 0)), "n_clusters": g, "df_resid": total - k})
 
-    out = flat.groupBy(F.lit(1)).applyInPandas(lambda pdf: solve(pdf), "pos int, beta double, se double, adjusted_mean double, mean_se double, n_clusters long, df_resid double")
+    out = flat.groupBy().applyInPandas(lambda pdf: solve(pdf), "pos int, beta double, se double, adjusted_mean double, mean_se double, n_clusters long, df_resid double")
     half = t_crit(F.col("df_resid")) * F.col("se")
     p = t_two_sided(F.col("beta") / F.col("se"), F.col("df_resid"))
     return out.withColumn("ci_low", F.col("beta") - half).withColumn("ci_high", F.col("beta") + half).withColumn("p_value", F.when(F.col("se") > 0, p))
@@ -138,12 +136,6 @@ def gini(means: DataFrame) -> DataFrame:
     return arr.select(n.alias("n_positions"), (weighted / (n * total)).alias("gini"))
 
 
-def _gini(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x, axis=-1)
-    p = x.shape[-1]
-    return ((2 * np.arange(1, p + 1) - p - 1) * x).sum(axis=-1) / (p * x.sum(axis=-1))
-
-
 #: Items whose permutations one task draws.
 GINI_BLOCK = 4096
 
