@@ -1,3 +1,3 @@
 """Registers the queries: importing this package fills ``evenspan.registry``."""
 
-from . import assembly, attention, corpus, similarity, statistics  # noqa: F401
+from . import assembly, attention, corpus, functions, legacy, similarity, sources, statistics  # noqa: F401
