@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Fine ranges per shard, keys drawn per range, parts of an overfull range. All are independent of the input.
+#: Fine ranges per shard, keys drawn per range, parts of an overfull range of several texts. All are independent of the input.
 RANGES_PER_SHARD, DRAWN_PER_RANGE, PARTS = 64, 16, 64
 
 
@@ -64,7 +64,6 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc
     part = total / n_ranges
     one = [k for k, (b, lo, hi) in full.items() if b > part and lo == hi]
     many = [k for k, (b, lo, hi) in full.items() if b > part and lo < hi]
-    by_id = F.pmod(F.col("_d"), F.lit(PARTS)).cast("int")
     # of several texts, their places among the texts of the range; one heavy text among them is dealt by id within its place
     spans = {k: (full[k][1], (full[k][2] - full[k][1]) // PARTS + 1) for k in many}
     lo = F.create_map(*[F.lit(x) for k, (a, _) in spans.items() for x in (k, a)]) if spans else None
@@ -72,12 +71,13 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc
     place = F.when(F.col("_r").isin(one), F.lit(0)) if one else F.when(F.lit(False), F.lit(0))
     if spans:
         place = place.when(F.col("_r").isin(many), F.floor((F.col("_t") - F.element_at(lo, F.col("_r"))) / F.element_at(width, F.col("_r"))).cast("int"))
-    hot = F.col("_r").isin(one) if one else F.lit(False)
     cut = ranged.withColumn("_p", place.otherwise(F.lit(0)))
-    heavy = [] if not many else [tuple(r) for r in cut.filter(F.col("_r").isin(many)).groupBy("_r", "_p").agg(F.sum("size").alias("b")).filter(F.col("b") > part).select("_r", "_p").collect()]
-    if heavy:
-        hot = hot | F.struct("_r", "_p").isin([F.struct(F.lit(a), F.lit(b)) for a, b in heavy])
-    cut = cut.withColumn("_q", F.when(hot, by_id).otherwise(F.lit(0)))
+    heavy = [] if not many else [tuple(r) for r in cut.filter(F.col("_r").isin(many)).groupBy("_r", "_p").agg(F.sum("size").alias("b")).filter(F.col("b") > part).collect()]
+    # heavy texts, in as many parts by the hash of the id as their bytes are of a range's
+    parts = [(k, 0, int(full[k][0] / part) + 1) for k in one] + [(r, p, int(b / part) + 1) for r, p, b in heavy]
+    hot = docs.sparkSession.createDataFrame(parts, "_r int, _p int, _parts long")
+    cut = cut.join(F.broadcast(hot), ["_r", "_p"], "left")  # fewer than two lines a range
+    cut = cut.withColumn("_q", F.coalesce(F.pmod(F.col("_d"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     # 3. subdivisions in key order to shards, by the bytes up to their middle
     units = sorted((r["_r"], r["_p"], r["_q"], r["b"], r["n"]) for r in cut.groupBy("_r", "_p", "_q").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect())
     ends = list(accumulate(u[3] for u in units))
