@@ -29,9 +29,9 @@ from .batches import hashed_subsequences, pieces, with_columns
 from .common import stash
 
 #: About so many labelled rows of each kind are learned from, drawn by a hash of the id.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2500
 #: Words of clean sentences that stand against the toxic ones, drawn by a hash of the word.
-TRAIN_WORDS = 60_000
+TRAIN_WORDS = 40_000
 BITS = 18
 #: Offsets of the subsequences, and what each skipped character costs.
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
@@ -98,17 +98,23 @@ class WordScorer:
 
 
 def _kernel(words: list[str], marks: list[str]) -> np.ndarray:
-    """Kernel values of words (first pieces) with landmarks."""
-    from_marks = np.zeros((1 << BITS, len(marks)), np.float32)
-    _, h, w, norm = _features(marks)
+    """Kernel values of words with landmarks; only subsequences that a landmark has take room."""
+    _, mh, mw, mn = _features(marks)
+    seen = np.unique(mh)
+    where = np.zeros(1 << BITS, np.int32)  # 0: no landmark has it
+    where[seen] = np.arange(1, len(seen) + 1)
+    from_marks = np.zeros((len(seen) + 1, len(marks)), np.float32)
     for j in range(len(marks)):
-        np.add.at(from_marks[:, j], h[j], w[j] / norm[j])
+        np.add.at(from_marks[:, j], where[mh[j]], mw[j] / mn[j])
     out = np.zeros((len(words), len(marks)), np.float32)
     for at in range(0, len(words), 2000):
         owner, h, w, norm = _features(words[at : at + 2000])
+        at_h = where[h]
+        w = np.where(at_h > 0, w, np.float32(0))
         part = np.zeros((len(owner), len(marks)), np.float32)
         for c in range(h.shape[1]):
-            part += from_marks[h[:, c]] * w[:, c, None]
+            if (rows := np.flatnonzero(w[:, c])).size:
+                part[rows] += from_marks[at_h[rows, c]] * w[rows, c, None]
         np.maximum.at(out, owner + at, part / norm[:, None])
     return out
 
@@ -156,7 +162,8 @@ def fit_words(bags: list[list[str]], clean: dict[str, int], n_clean: int) -> Wor
         white = vectors[:, keep] / np.sqrt(values[keep])
         neg = against if len(against) <= 15_000 else [against[i] for i in rng.choice(len(against), 15_000, replace=False)]
         neg = list(dict.fromkeys([*neg, *hard]))
-        x_neg, x_pool = _kernel(neg, marks) @ white, _kernel(pool, marks) @ white
+        thin = white.astype(np.float32)
+        x_neg, x_pool = _kernel(neg, marks) @ thin, _kernel(pool, marks) @ thin
         beta, bias = np.zeros(white.shape[1]), 0.0
         for _ in range(ROUNDS):
             at = np.concatenate(picked)
@@ -164,7 +171,7 @@ def fit_words(bags: list[list[str]], clean: dict[str, int], n_clean: int) -> Wor
             x, y = np.concatenate([x_pool[at], x_neg]), np.concatenate([np.ones(len(at)), -np.ones(len(neg))])
             cost = np.concatenate([weight * (len(neg) / max(1, len(picked))), np.ones(len(neg))]) * 0.5
             beta, bias = _svm(x, y, cost)
-            f = x_pool @ beta + 0.02 * worth
+            f = x_pool @ beta.astype(np.float32) + 0.02 * worth
             picked = [o[np.argsort(-f[o], kind="stable")[:STRONGEST]] for o in own]
         taken = WordScorer(_fold(marks, white @ beta), bias).score(against)
         hard = [against[i] for i in np.argsort(-taken, kind="stable")[:3000]]
