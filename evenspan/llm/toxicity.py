@@ -38,10 +38,12 @@ PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 2, 3), (0, 1, 2, 4), (0, 1,
 DECAY = 0.6
 #: Weight of a word as a whole beside its subsequences.
 WHOLE = 1.5
+#: Score from which a word is clearly toxic.
+CLEAR = 0.8
 WEIGHT = tuple(DECAY ** (p[-1] + 1 - len(p)) for p in PATTERNS)
 LANDMARKS, STRONGEST, ROUNDS = 256, 3, 6
 CACHE_WORDS = 500_000
-EDGE = ".,;:!?\"'()[]|"
+EDGE = ".,;:!?\"'()[]|*#$%&<>-_"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -79,14 +81,15 @@ class WordScorer:
         return out
 
     def document(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: its three strongest words' scores, clipped, and the share of words above 0."""
-        split = [tokens(t) for t in texts]
+        """For each text: the clipped scores of its three strongest different words, the root of the share of
+        different words above 0, and how many are clearly above, up to four."""
+        split = [list(set(tokens(t))) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         new = list({w for ws in split for w in ws if w not in self.cache})
         self.cache.update(zip(new, self.score(new).tolist(), strict=True))
-        out = np.full((len(texts), 4), -1.0)
-        out[:, 3] = 0
+        out = np.full((len(texts), 5), -1.0)
+        out[:, 3:] = 0
         get = self.cache.__getitem__
         for i, ws in enumerate(split):
             if ws:
@@ -94,6 +97,7 @@ class WordScorer:
                 top = np.sort(np.partition(s, -3)[-3:])[::-1] if len(s) > 3 else np.sort(s)[::-1]
                 out[i, : len(top)] = np.clip(top, -1, 1.5)
                 out[i, 3] = np.sqrt((s > 0).mean())
+                out[i, 4] = min(4, (s > CLEAR).sum())
         return out
 
 
