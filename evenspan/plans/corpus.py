@@ -129,12 +129,12 @@ def p11(spark, d):
 
 # ---- titles ----
 
-PAIRS_SQL = "pairs as (select p_name src, p_brand || '-' || p_size tgt, p_partkey line_no from part)"
+PAIRS_SQL = "pairs as (select p_name || (p_partkey % 1500) src, p_brand || '-' || p_size || '-' || (p_partkey % 1300) tgt, p_partkey line_no from part)"
 
 
 def _pairs(spark, d):
     p = T(spark, d, "part")
-    return p.select(F.col("p_name").alias("src"), F.concat_ws("-", "p_brand", "p_size").alias("tgt"), F.col("p_partkey").alias("line_no"))
+    return p.select(F.concat("p_name", F.col("p_partkey") % 1500).alias("src"), F.concat_ws("-", "p_brand", "p_size", F.col("p_partkey") % 1300).alias("tgt"), F.col("p_partkey").alias("line_no"))
 
 
 @query("p07_unambiguous", f"""with {PAIRS_SQL}, u as (select distinct src, tgt from pairs)
@@ -195,9 +195,9 @@ def j04(spark, d):
     return T(spark, d, "orders").join(ids, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("j06_anti_join", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("j06_anti_join", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 16 = 0)")
 def j06(spark, d):
-    return T(spark, d, "customer").join(T(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return T(spark, d, "customer").join(T(spark, d, "orders").filter("o_orderkey % 16 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("j07_lookup_default", "select d.doc_id, coalesce(quality, -1) quality from documents d left join labels l using (doc_id)")
