@@ -21,7 +21,7 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A document also counts as a failure of its host with more symbols than this share of its word characters,
 #: or more repeated lines than this share of its lines with words.
-MAX_SYMBOL_SHARE, MAX_DUP_LINE_SHARE = 0.1, 0.3
+MAX_SYMBOL_SHARE, MAX_DUP_LINE_SHARE = 0.05, 0.5
 #: A host whose shrunk failure rate is above the first is rejected as a whole. Under a host of at most the
 #: second rate a document that fails only the extra rules is kept.
 REJECT_RATE, TRUST_RATE = 0.6, 0.02
