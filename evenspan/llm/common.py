@@ -23,12 +23,49 @@ def scratch_root(spark: SparkSession) -> str:
     return (root or "/tmp/checkpoints").rstrip("/")
 
 
+#: Paths of the tables written here, in order.
+_written: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table of its own in the shared folder and read it back: the lineage ends there."""
+    """Write ``df`` to a table of its own in the shared folder and read it back: the lineage ends there.
+
+    The shuffles behind it are then of no more use; a collection in the driver lets Spark's cleaner delete
+    their files, which would else stay until the driver happens to run short of memory.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/evenspan/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written.remove(path)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables behind stashed frames that nothing reads any more."""
+    for f in frames:
+        if getattr(f, "_stashed", None) in _written:
+            _delete(f.sparkSession, f._stashed)
+
+
+def drop_all_but(docs: DataFrame) -> None:
+    """Delete all tables written here that ``docs`` doesn't read. For the start of a pipeline stage, whose
+    input is written: what earlier stages gave must not be read later, but for ``docs``."""
+    if _written:
+        files = docs.inputFiles()
+        for path in list(_written):
+            key = path.rpartition("/")[2]
+            if not any(key in f for f in files):
+                _delete(docs.sparkSession, path)
 
 
 def words(text: Column) -> Column:
@@ -49,7 +86,7 @@ def let(value: Column, body) -> Column:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its rows, counted here, are at most ``limit``; else as it is,
     and the join shuffles, with skewed partitions split by adaptive execution."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

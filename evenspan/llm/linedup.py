@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its five-word shingles (A-Z lower-cased; fewer words are one shingle). A line is removed
-if a line before it, by doc_id and then place, has a Jaccard similarity of 0.8 or more to it, be it in the
-same document or in another. Lines without words are no lines here and stay.
+A line is the set of its five-word shingles (fewer words are one shingle). A line is removed if a line before
+it, by doc_id and then place, has a Jaccard similarity of 0.8 or more to it, be it in the same document or in
+another. Lines without words are no lines here and stay.
 
 Tokens of a line are ordered by rarity, counted over all lines in hashed counters; two similar lines share one
 of their first n - ceil(0.8 n) + 1 tokens. Lines of equal sets are one class, whose first occurrence stands
@@ -10,6 +10,10 @@ for it. Classes that share a prefix token are candidates if their sizes and the
 overlap; they are verified on the whole sets. Each class is held against the first class of its tokens at
 first, and only what that leaves unmatched is held against the others before it.
 
+Texts are read once for their tokens, which are kept as 32-bit numbers. Two tokens that share a number can
+only make lines look more alike, so a pair that matches by them is confirmed on 64-bit tokens made from the
+texts of the documents concerned.
+
 Defined results: a null text is null again, with no lines; null ids come first in order; rows with the same
 doc_id and text are one row, and what goes from one goes from the other; an empty table gives an empty result;
 clashing columns are replaced.
@@ -20,97 +24,120 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, let, lower_ascii, small, stash, words
+from .common import BROADCAST_ROWS, NOT_SPACE, drop, let, small, stash, words
 
 SHINGLE = 5
 #: Counters of the rarity estimate; each counts the tokens of one hash.
 COUNTERS = 1 << 15
-#: A packed token: its rarity above, its hash in the lower bits.
-HASH_BITS = 57
+#: Rows of one or two numbers that may be broadcast, counted first.
+BROADCAST_KEYS = 600_000
 
 
 def shingles(line: Column) -> Column:
     """Distinct 64-bit shingle hashes of a line, unsorted; empty without words."""
     def build(w):
-        many = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])))
-        return F.when(F.size(w) >= SHINGLE, many).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<long>"))
-
-    return let(words(lower_ascii(line)), build)
+        n = F.size(w)
+        # the last SHINGLE - 1 places have no whole shingle
+        every = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
+        return F.when(n >= SHINGLE, F.array_distinct(F.slice(every, F.lit(1), n - (SHINGLE - 1)))).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<long>"))
 
+    return let(words(line), build)
 
-def packed(tokens: Column, levels: Column) -> Column:
-    """The tokens sorted by rarity, then hash, as one number each."""
-    level = lambda h: F.get(levels, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long")
-    return F.sort_array(F.transform(tokens, lambda h: F.shiftleft(level(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))))
 
-
-def rarity_levels(lines: DataFrame) -> Column:
+def rarity_levels(tokens: DataFrame) -> Column:
     """A constant array: for each counter the doublings by which it is above the usual one, 31 at most."""
-    # HASH_BITS drop the lowest bits, so the counter is taken from them
-    counted = lines.select(F.explode(shingles(F.col("line"))).alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).cast("int").alias("c")).count()
+    counted = tokens.select(F.explode("s").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).count()
     got = dict(counted.collect())  # no more lines than counters
     usual = sorted(got.get(i, 0) for i in range(COUNTERS))[COUNTERS // 2]
     over = [max(0.0, got.get(i, 0) - usual - 4 * usual**0.5) for i in range(COUNTERS)]
-    return F.split(F.lit(",".join(str(min(31, int(x).bit_length())) for x in over)), ",").cast("array<tinyint>")
+    return F.split(F.lit(",".join(str(min(31, int(x).bit_length())) for x in over)), ",").cast("array<long>")
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+def by_rarity(tokens: Column, levels: Column) -> Column:
+    """The tokens in order: rarity in the upper half of a number, the token in the lower."""
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(COUNTERS - 1)))
+    return F.sort_array(F.transform(tokens, lambda h: F.shiftleft(level(h), 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, _t (hash of the text) and removed (the sorted numbers, from 0, of the lines that go) of each row that loses some."""
     base = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    levels = rarity_levels(_lines(base, "text"))
     n = F.size("s")
-    lead = F.slice("s", 1, n - F.ceil(n * 0.8 - 1e-9).cast("int") + 1)
+    m = F.col("n")
     at = base.select("_id", "_t", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    at = at.select("_id", "_t", "line_no", packed(shingles(F.col("line")), levels).alias("s")).filter(n > 0)
-    at = stash(at.select("_id", "_t", "line_no", F.xxhash64("s").alias("c"), F.xxhash64(F.lit(1), "s").alias("c2"), n.alias("n"), lead.alias("p")), "lines")
-    # classes of equal sets: first occurrence, and how many
+    # a test of the tokens themselves would make them twice
+    at = at.filter(F.col("line").rlike(NOT_SPACE)).select("_id", "_t", "line_no", F.xxhash64("line").alias("c"), F.xxhash64(F.lit(1), "line").alias("c2"), shingles(F.col("line")).alias("s"))
+    at = at.select("_id", "_t", "line_no", "c", "c2", n.alias("n"), F.transform("s", lambda h: F.shiftright(h, 32).cast("int")).alias("s"))
+    at = stash(at, "lines")
+    # classes of equal lines: first occurrence, and how many
     first = F.min(F.struct("_id", "_t", "line_no")).alias("first")
     classes = stash(at.groupBy("c", "c2").agg(first, F.count(F.lit(1)).alias("times")), "classes")
     # prefix tokens of several classes
-    token = at.select("c", "n", F.posexplode("p").alias("i", "h"))
+    lead = F.slice(by_rarity(F.col("s"), rarity_levels(at)), 1, m - F.ceil(m * 0.8 - 1e-9).cast("int") + 1)
+    leads = stash(at.select("c", "n", lead.alias("p")), "leads")
+    token = leads.select("c", "n", F.posexplode("p").alias("i", "h"))
     several = token.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c9")).filter("c1 <> c9").select(F.col("h").alias("_h"))
-    shared = token.join(small(stash(several, "several"), 2 * BROADCAST_ROWS), F.col("h") == F.col("_h")).select("h", "c", "n", "i").distinct()
+    several = stash(several, "several")
+    # one plan at every size: both sides are shuffled by token, skewed tokens are split
+    shared = stash(token.join(several.hint("merge"), F.col("h") == F.col("_h")).select("h", "c", "n", "i").distinct(), "shared")
+    drop(several, leads)
     where = classes.select(F.col("c").alias("_c"), "first")
-    shared = stash(stash(shared, "shared").join(where, F.col("c") == F.col("_c")).drop("_c"), "placed")
-    hit = _matched(base, shared, levels)
-    gone = classes.join(small(hit.withColumnRenamed("b", "_b")), F.col("c") == F.col("_b"), "left").filter("times > 1 or _b is not null")
+    shared, bare = stash(shared.join(where, F.col("c") == F.col("_c")).drop("_c"), "placed"), shared
+    drop(bare)
+    hit = _matched(base, at, shared)
+    gone = classes.join(small(hit.withColumnRenamed("b", "_b"), BROADCAST_KEYS), F.col("c") == F.col("_b"), "left").filter("times > 1 or _b is not null")
     gone = gone.select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), F.when(F.col("_b").isNull(), F.col("first")).alias("kept"))
-    out = at.select("_id", "_t", "line_no", "c", "c2").join(small(stash(gone, "gone")), (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")))
+    out = at.select("_id", "_t", "line_no", "c", "c2").join(small(stash(gone, "gone"), 2 * BROADCAST_ROWS), (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")))
     out = out.filter(~F.struct("_id", "_t", "line_no").eqNullSafe(F.col("kept")))
-    return stash(out.groupBy("_id", "_t").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+    out = stash(out.groupBy("_id", "_t").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+    drop(at, classes, hit)
+    return out
 
 
-def _matched(base: DataFrame, shared: DataFrame, levels: Column) -> DataFrame:
+def _matched(base: DataFrame, at: DataFrame, shared: DataFrame) -> DataFrame:
     """b: the classes that a class before them matches. shared: h, c, n, i (place of h), first."""
-    one = shared.select("c", "first").distinct()
-    need = one.groupBy(F.col("first._id").alias("_nid"), F.col("first._t").alias("_nt")).agg(F.collect_set(F.struct("first.line_no", "c")).alias("q"))
-    rows = base.join(small(stash(need, "need")), F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_t") == F.col("_nt")))
-    rows = rows.select(F.split("text", "\n", -1).alias("ls"), "q").select("ls", F.explode("q").alias("q"))
-    sets = rows.select(F.col("q.c").alias("c"), packed(shingles(F.get("ls", F.col("q.line_no"))), levels).alias("s"))
-    sets = stash(sets.dropDuplicates(["c"]), "whole")
-
-    def allowed(a: str, b: str) -> Column:
-        n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
+    def allowed(n: Column, m: Column, i: Column, j: Column) -> Column:
         return (10 * F.least(n, m) >= 8 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def like(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-        return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("b").distinct()
+        # tokens of one line that share a number count as common, so that none of them is missed
+        common = F.size(F.array_intersect("sa", "sb")) + F.size("sa") - F.size(F.array_distinct("sa"))
+        return both.filter(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+    def members(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that match by 32-bit tokens, then by the tokens of the texts."""
+        pairs = stash(pairs, "pairs")
+        rows = at.join(small(members(pairs), BROADCAST_KEYS), F.col("c") == F.col("x"), "left_semi")
+        sets = stash(rows.select("c", "s").dropDuplicates(["c"]), "sets")
+        maybe = stash(like(pairs, sets), "maybe")
+        drop(sets, pairs)
+        need = shared.select("c", "first").distinct().join(small(members(maybe), BROADCAST_KEYS), F.col("c") == F.col("x"), "left_semi")
+        need = need.groupBy(F.col("first._id").alias("_nid"), F.col("first._t").alias("_nt")).agg(F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "c")).alias("q"))
+        docs = base.join(small(stash(need, "need")), F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_t") == F.col("_nt")))
+        docs = docs.select(F.split("text", "\n", -1).alias("ls"), "q").select("ls", F.explode("q").alias("q"))
+        sets = docs.select(F.col("q.c").alias("c"), shingles(F.get("ls", F.col("q.line_no"))).alias("s"))
+        whole = stash(sets.dropDuplicates(["c"]), "whole")
+        hit = stash(like(maybe, whole).select("b").distinct(), "hit")
+        drop(whole, maybe)
+        return hit
 
     head = shared.groupBy("h").agg(F.min(F.struct("first", "c", "n", "i")).alias("p")).select(F.col("h").alias("_h"), "p.*").withColumnsRenamed({"first": "_first", "c": "_c", "n": "_n", "i": "_i"})
-    led = shared.join(small(stash(head, "heads")), F.col("h") == F.col("_h")).filter("c <> _c")
-    near = (10 * F.least("n", "_n") >= 8 * F.greatest("n", "_n")) & (9 * F.least(F.col("n") - F.col("i"), F.col("_n") - F.col("_i")) >= 4 * (F.col("n") + F.col("_n")))
-    hit = stash(verified(led.filter(near).select(F.col("_c").alias("a"), F.col("c").alias("b")).distinct()), "hit")
+    led = shared.join(small(stash(head, "heads"), BROADCAST_ROWS), F.col("h") == F.col("_h")).filter("c <> _c")
+    near = allowed(F.col("n"), F.col("_n"), F.col("i"), F.col("_i"))
+    hit = verified(led.filter(near).select(F.col("_c").alias("a"), F.col("c").alias("b")).distinct())
     # what is unmatched so far, against all before it but the first
-    still = led.join(small(hit), F.col("c") == F.col("b"), "left_anti").select("h", "c", "n", "i", "first").alias("y")
+    still = led.join(small(hit, BROADCAST_KEYS), F.col("c") == F.col("b"), "left_anti").select("h", "c", "n", "i", "first").alias("y")
     others = led.select("h", "c", "n", "i", "first").alias("x")
-    pairs = others.join(still, (F.col("x.h") == F.col("y.h")) & (F.col("x.first") < F.col("y.first")) & allowed("x", "y"))
-    more = verified(stash(pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "rest"))
-    return stash(hit.unionByName(more).distinct(), "matched")
+    may = allowed(F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i"))
+    pairs = others.join(still, (F.col("x.h") == F.col("y.h")) & (F.col("x.first") < F.col("y.first")) & may)
+    more = verified(pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
+    every = stash(hit.unionByName(more).distinct(), "matched")
+    drop(hit, more, shared)
+    return every
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
