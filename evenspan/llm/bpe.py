@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from .batches import with_columns
 
+#: Characters that normalising may change otherwise than by lower-casing.
+ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\u0130]|[^\x00-\u024f]")
 #: Distinct words whose results a task keeps; beyond, it starts afresh.
 CACHE_WORDS = 400_000
 
@@ -54,6 +57,9 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        # the same pattern for lower-cased ASCII
+        self.ascii = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+        self.plain = [x["type"] for x in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.symbols = byte_symbols()
         size = max(self.names) + 1
@@ -189,15 +195,22 @@ class WordBpe:
     def pieces(self, text: str) -> list[str | int]:
         """The words of a text, and the ids of special tokens that stand in it."""
         if self.cut is None or not any(x in text for x in self.specials):
-            return self.pattern.findall(self.normalizer.normalize_str(text))
+            return self._split(text)
         out: list[str | int] = []
         for part in self.cut.split(text):
             if part in self.specials:
                 out.append(self.specials[part])
             elif part:
-                out += self.pattern.findall(self.normalizer.normalize_str(part))
+                out += self._split(part)
         return out
 
+    def _split(self, text: str) -> list[str]:
+        """Words of the normalised text. Latin text without control characters is only lower-cased by the
+        normaliser (its white space splits words either way), which needs no call of the library."""
+        if self.plain and not ODD.search(text):
+            return self.ascii.findall(text.lower()) if text.isascii() else self.pattern.findall(text.lower())
+        return self.pattern.findall(self.normalizer.normalize_str(text))
+
     def batch(self, texts: list[str]) -> list[list[tuple[str, int, str]]]:
         """For each piece of each text: its ids as text, how many they are, its tokens as text."""
         split = [self.pieces(t) for t in texts]
@@ -243,10 +256,8 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", carry: list[str]
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
         def work(texts: list[str | None]) -> list[list]:
-            got = coder.batch([x or "" for x in texts])
-            ids = [" ".join([x[0] for x in g]) for g in got]
-            decoded = [" ".join([x[2] for x in g]) for g in got]
-            n = [sum([x[1] for x in g]) for g in got]
+            got = [tuple(zip(*g, strict=True)) or ((), (), ()) for g in coder.batch([x or "" for x in texts])]
+            ids, n, decoded = [" ".join(g[0]) for g in got], [sum(g[1]) for g in got], [" ".join(g[2]) for g in got]
             return [n, *([list(map(sha, ids)), list(map(sha, decoded))] if digest else [[[int(x) for x in i.split()] for i in ids], decoded])]
 
         return work
