@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near duplicates, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir), works on all rows it gets, and but for the last returns the columns of
-``documents``. Between stages the rows are written to the shared folder and read again.
+``documents``. Between stages the rows are written to the shared folder and read again; a stage deletes what
+earlier stages left there and its input doesn't read.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenspan.llm import bpe, linedup, mixing, ngram_join, quality
-from evenspan.llm.common import small, stash, table
+from evenspan.llm.common import drop_all_but, small, stash, table
 from evenspan.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,11 +19,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    drop_all_but(docs)
     return quality.quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line matches go, and documents of which nothing is left."""
+    drop_all_but(docs)
     out = linedup.dedup_lines(docs.select(*COLUMNS))
     left = (F.size("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.filter(left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -30,6 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
+    drop_all_but(docs)
     near = ngram_join.near_documents(docs.select("doc_id", "text"))
     gone = stash(near.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.select(*COLUMNS).join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
@@ -37,11 +41,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's epochs and the draw take them."""
+    drop_all_but(docs)
     return mixing.mixed_rows(docs.select(*COLUMNS))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the ids of each row of the mix."""
+    drop_all_but(docs)
     return bpe.bpe_encode(docs, vocabulary(), carry=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "n_tokens", "ids")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
         large = star(both, F.col("y") > F.col("x"))
         down = large.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        edges = stash(star(down, F.lit(True)), "edges")
+        old, edges = edges, stash(star(down, F.lit(True)), "edges")
+        drop(old)
         more = edges.join(edges.select(F.col("b").alias("_b")).distinct(), F.col("a") == F.col("_b"), "left_semi")
         if more.isEmpty() and edges.groupBy("a").count().filter("count > 1").isEmpty():
             break
