@@ -6,11 +6,12 @@ token within their first n - ceil(t n) + 1 tokens, and k tokens within k - 1 mor
 promise many candidates gets a longer prefix, and its pairs must share correspondingly more of it (the lesser
 k of the two) before they are verified on the whole sets.
 
-Equal sets are one node. Tokens shared by several nodes are resolved in two steps. First all nodes of a token
-are paired with one of them, the pivot; what links joins the pivot's component. Then, where a token still has
-nodes of several components, the pairs across components that remain are formed. A pair within a component
-needs no test, so a large family of near copies costs as many pairs as it has members, and no link between
-components is lost.
+Equal sets are one node. Tokens shared by several nodes are resolved in rounds. In a round the nodes of a token
+are paired with one of them, the pivot, which is one that shares much of its prefix; what links joins the
+pivot's component. A pair within a component needs no test, so a large family of near copies costs about as
+many pairs as it has members. When the pairs across components that are left are few for each row, or after
+PIVOT_ROUNDS, they are all formed with all their matches, so that no link between components is lost, but for
+those that bitmaps of the two sets rule out.
 
 Defined results: a null or empty text has the empty set and no links; a null doc_id has component null and
 links nothing else; rows that repeat are one node; several rows of one doc_id keep sets of their own and
@@ -23,19 +24,27 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash
+from .common import drop, small, stash
 from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch; its size is that of what is broadcast.
-SKETCH_BITS = 20
-#: Most matches asked of a pair, and the candidates per document from which a prefix is lengthened.
-MOST_MATCHES, CHEAP_CANDIDATES = 16, 8.0
+SKETCH_BITS = 21
+#: A set of n tokens may be asked for 1 + n // SPARE matches at most; each so many candidates ask for one more.
+SPARE, CANDIDATES_PER_MATCH = 16, 4
+#: 64-bit lanes of a set's bitmap. Each bit that one set has and another lacks is a token that the other lacks.
+LANES = 8
+#: Rounds of pairing with a pivot at most, while the pairs across components are more than so many for each row.
+PIVOT_ROUNDS, PAIRS_PER_ROW = 3, 16
+#: Rows of one or two numbers that may be broadcast, counted first.
+BROADCAST_KEYS = 300_000
 #: Texts are hashed in groups of about so many bytes.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
+
+BITS = [f"bit{k}" for k in range(LANES)]
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -158,13 +167,13 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
     size, block = 1 << SKETCH_BITS, 1 << 14
 
     def count(batches):
-        mine = np.zeros(size, dtype=np.int64)
+        mine = np.zeros(size, dtype=np.uint32)
         for b in batches:
             for s in shingle_sets(b.column(0).to_pylist()):
                 np.add.at(mine, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         if mine.any():
-            flat = mine.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(range(size // block), pa.int32()), pa.array([pack(flat[i : i + block]) for i in range(0, size, block)])], names=["b", "c"])
+            for at in range(0, size, 64 * block):
+                yield pa.RecordBatch.from_arrays([pa.array(range(at // block, at // block + 64), pa.int32()), pa.array([pack(mine[i : i + block]) for i in range(at, at + 64 * block, block)])], names=["b", "c"])
 
     def pack(x: np.ndarray) -> bytes:
         return zlib.compress(x.tobytes(), 1)
@@ -178,7 +187,7 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
     parts = docs.select(text).mapInArrow(count, "b int, c binary")
     if docs.rdd.getNumPartitions() > 256:  # so that no group holds more than some hundred blocks
         parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(1024))).groupBy("b", "part").applyInArrow(add, "b int, c binary")
-    out = np.zeros(size, dtype=np.int64)
+    out = np.zeros(size, dtype=np.uint32)
     for r in parts.groupBy("b").applyInArrow(add, "b int, c binary").collect():
         out[r["b"] * block : (r["b"] + 1) * block] = np.frombuffer(zlib.decompress(r["c"]), dtype=np.uint32)
     return out
@@ -187,24 +196,32 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
 def rarity(counts: np.ndarray) -> np.ndarray:
     """For each counter the documents that a token in it is estimated to have beyond what chance fills in, at least 1."""
     usual = float(np.median(counts))
-    return np.maximum(1.0, counts - usual - 4 * np.sqrt(usual)).astype(np.float32)
+    return np.maximum(np.float32(1), counts.astype(np.float32) - np.float32(usual + 4 * np.sqrt(usual)))
 
 
-def ordered(s: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens, rare ones first (by the doublings of their estimate, then by hash), and their estimates."""
+def ordered(s: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The tokens, rare ones first, by the doublings of their estimate, then by hash."""
     est = rare[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     level = np.log2(est).astype(np.int64)
-    order = np.argsort(level, kind="stable")  # s is sorted
-    return s[order], est[order]
+    return s[np.argsort(level, kind="stable")]  # s is sorted
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set's tokens thrown into 64 * LANES bits."""
+    out = np.zeros(LANES, dtype=np.uint64)
+    at = _mix(s ^ np.uint64(0x5BD1E995)) % np.uint64(64 * LANES)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
 
 
-def prefix(s: np.ndarray, est: np.ndarray) -> tuple[np.ndarray, int]:
-    """The prefix and the number of matches k it stands for, by the estimated candidates of the plain prefix."""
-    n = len(s)
-    plain = n - -(-n * PERCENT // 100) + 1
-    cost = float((est[:plain] - 1).sum()) / CHEAP_CANDIDATES
-    k = 1 + min(MOST_MATCHES - 1, int(np.log2(1 + cost) * 2), n - plain)
-    return s[: plain + k - 1], k
+def plain_length(n: int) -> int:
+    """Tokens of which two sets of likeness PERCENT share one."""
+    return n - -(-n * PERCENT // 100) + 1
+
+
+def most_matches(n: int) -> int:
+    """The most matches that may be asked of a set of n tokens."""
+    return 1 + min(n // SPARE, n - plain_length(n))
 
 
 def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,36 +241,92 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             return
         out = []
         for i, s in zip(cols[0].to_pylist(), sets, strict=True):
-            if len(s) and i is not None:
-                p, k = prefix(*ordered(s, rare.value))
-                out.append((i, _node(s)[0], len(s), k, _signed(p)))
-        lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(o[4]) for o in out]).astype(np.int32), pa.array(np.concatenate([o[4] for o in out]) if out else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([*(pa.array([o[j] for o in out], pa.int64()) for j in range(4)), lists], names=["doc_id", "node", "n", "k", "p"])
+            if (n := len(s)) and i is not None:
+                out.append((i, _node(s)[0], n, _signed(ordered(s, rare.value)[: plain_length(n) + most_matches(n) - 1]), _signed(bitmap(s))))
+        lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(o[3]) for o in out]).astype(np.int32), pa.array(np.concatenate([o[3] for o in out]) if out else np.zeros(0, np.int64)))
+        lanes = [pa.array([int(o[4][k]) for o in out], pa.int64()) for k in range(LANES)]
+        yield pa.RecordBatch.from_arrays([*(pa.array([o[j] for o in out], pa.int64()) for j in range(3)), lists, *lanes], names=["doc_id", "node", "n", "p", *BITS])
 
-    every = _over_texts(texts, "doc_id long, node long, n long, k long, p array<long>", prefixes, 1)
+    every = _over_texts(texts, "doc_id long, node long, n long, p array<long>, " + ", ".join(f"{b} long" for b in BITS), prefixes, 1)
     # of equal sets one row, that of the smallest id
     reps = nodes.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    mine = stash(every.join(small(reps), (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("_rep"))).select("doc_id", "node", "n", "k", "p"), "prefixes")
+    mine = stash(every.join(small(reps, BROADCAST_KEYS), (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("_rep"))).select("node", "n", "p", *BITS), "prefixes")
     token = mine.select("node", "n", F.posexplode("p").alias("at", "h"))
-    piv = token.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select(F.col("h").alias("_h"), "pivot")
-    shared = stash(token.join(piv, F.col("h") == F.col("_h")).select("h", "node", "n", "pivot"), "shared")
-    links = _verified(texts, mine, shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    first = components(links) if links is not None else None
-    # tokens whose nodes are still of several components: the remaining pairs across them
-    comp = shared if first is None else shared.join(first, F.col("node") == F.col("id"), "left").drop("id")
-    comp = comp.withColumn("root", F.coalesce("root", "node") if first is not None else F.col("node"))
-    rest = comp.filter("node <> pivot")
+    plain = F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")
+    # tokens of several nodes, with the nodes that have them in the plain prefix
+    held = token.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count_if(F.col("at") < plain).alias("c"))
+    held = stash(held.filter("lo <> hi").select(F.col("h").alias("_h"), "c"), "held")
+    # joins by token have one plan at every size: both sides are shuffled, skewed tokens are split
+    met = stash(token.join(held.hint("merge"), F.col("h") == F.col("_h")).select("h", "node", "n", "at", "c"), "met")
+    drop(held)
+    # the candidates a node's plain prefix promises set how many matches it asks for, and how long its prefix is
+    cost = met.filter(F.col("at") < plain).groupBy("node").agg(F.sum(F.col("c") - 1).alias("cost"))
+    most = F.least(F.expr(f"n div {SPARE}"), F.col("n") - plain)
+    k = 1 + F.least(most, F.floor(F.coalesce("cost", F.lit(0)) / CANDIDATES_PER_MATCH))
+    kept = met.join(small(cost.withColumnRenamed("node", "_n"), BROADCAST_KEYS), F.col("node") == F.col("_n"), "left").withColumn("k", k)
+    kept = stash(kept.filter(F.col("at") < plain + F.col("k") - 1).select("h", "node", "n", "k"), "kept")
+    # a node that shares much of its prefix stands in the middle of a family, so it is a better pivot
+    score = kept.groupBy(F.col("node").alias("_s")).agg(F.count(F.lit(1)).alias("score"))
+    several = kept.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select(F.col("h").alias("_h"))
+    rest = kept.join(several.hint("merge"), F.col("h") == F.col("_h"), "left_semi").join(small(score, BROADCAST_KEYS), F.col("node") == F.col("_s"))
+    rest = stash(rest.select("h", "node", "n", "k", "score", F.col("node").alias("root"), F.lit(False).alias("was")), "shared")
+    drop(met, kept)
+    links, comp = None, None
+    for _ in range(PIVOT_ROUNDS):
+        # pairs that testing all across components would take, from the counts of each token's components
+        each = rest.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        rows_left, pairs_left = each.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.col("t") * F.col("t") - F.col("q")), F.lit(0))).first()
+        if pairs_left / 2 <= PAIRS_PER_ROW * rows_left:
+            break
+        # the nodes of a token with one of them that was no pivot yet, where the tokens they meet by are enough
+        piv = rest.filter(~F.col("was")).groupBy("h").agg(F.max_by("node", "score").alias("pivot")).select(F.col("h").alias("_h"), "pivot")
+        met = stash(rest.join(piv.hint("merge"), F.col("h") == F.col("_h")), "pivots")
+        own = met.filter("node = pivot").select(F.col("node").alias("_p"), F.col("n").alias("pn"), F.col("k").alias("pk"), F.col("root").alias("proot")).distinct()
+        star = met.filter("node <> pivot").groupBy("pivot", "node", "n", "k", "root").agg(F.count(F.lit(1)).alias("m"))
+        star = star.join(small(own, BROADCAST_KEYS), F.col("pivot") == F.col("_p")).filter(_alike("n", "pn") & (F.col("m") >= F.least("k", "pk")) & (F.col("root") != F.col("proot")))
+        more = _verified(texts, nodes, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        if more is not None:
+            links = more if links is None else stash(links.unionByName(more), "links")
+            comp = components(links)
+        used = own.select(F.col("_p").alias("_u"), F.lit(True).alias("_was"))
+        old, rest = rest, _unsettled(met.drop("_h", "pivot"), comp, used)
+        drop(old, met)
+    # the remaining pairs across the components of a token, with all their matches
+    bits = mine.select(F.col("node").alias("_b"), *BITS)
+    rest, old = stash(rest.join(small(bits, BROADCAST_KEYS), F.col("node") == F.col("_b")), "mapped"), rest
+    drop(old, mine)
+    a, b = (rest.select("h", *[F.col(c).alias(x + c) for c in ("node", "n", "k", "root", *BITS)]) for x in ("a", "b"))
+    pairs = a.join(b, "h").filter((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _alike("an", "bn") & _overlap_possible())
+    pairs = pairs.groupBy("anode", "bnode", "ak", "bk").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= F.least("ak", "bk"))
+    more = _verified(texts, nodes, pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")))
+    drop(rest)
+    if more is not None:
+        comp = components(more if links is None else links.unionByName(more))
+    return _labelled(rows, nodes, comp)
+
+
+def _unsettled(rest: DataFrame, comp: DataFrame | None, used: DataFrame) -> DataFrame:
+    """The rows of tokens whose nodes are still of several components, with the components as they are now."""
+    if comp is not None:
+        rest = rest.join(small(comp.withColumnRenamed("root", "_root"), BROADCAST_KEYS), F.col("node") == F.col("id"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_root", "id")
+    rest = rest.join(small(used, BROADCAST_KEYS), F.col("node") == F.col("_u"), "left").withColumn("was", F.col("was") | F.col("_was").isNotNull()).drop("_u", "_was")
+    rest = stash(rest, "placed")
     mixed = rest.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select(F.col("h").alias("_h"))
-    rest = stash(rest.join(mixed, F.col("h") == F.col("_h"), "left_semi").select("h", "node", "n", "root"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-                   & (F.col("a.n") * 100 >= F.col("b.n") * PERCENT) & (F.col("b.n") * 100 >= F.col("a.n") * PERCENT)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    more = _verified(texts, mine, pairs)
-    found = [x for x in (links, more) if x is not None]
-    if not found:
-        return _labelled(rows, nodes, None)
-    every_link = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return _labelled(rows, nodes, components(every_link) if more is not None else first)
+    out = stash(rest.join(mixed.hint("merge"), F.col("h") == F.col("_h"), "left_semi"), "rest")
+    drop(rest)
+    return out
+
+
+def _overlap_possible() -> Column:
+    """Whether the bitmaps leave room for the common tokens that sets of sizes an and bn need."""
+    need = F.expr(f"({PERCENT} * (an + bn) + {99 + PERCENT}) div {100 + PERCENT}")
+    lacks = lambda x, y: sum((F.bit_count(F.col(x + b).bitwiseAND(F.bitwise_not(F.col(y + b)))) for b in BITS[1:]), F.bit_count(F.col(x + BITS[0]).bitwiseAND(F.bitwise_not(F.col(y + BITS[0])))))
+    return (F.col("an") - lacks("a", "b") >= need) & (F.col("bn") - lacks("b", "a") >= need)
+
+
+def _alike(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be alike enough."""
+    return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
 
 
 def _labelled(rows: DataFrame, nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -265,30 +338,19 @@ def _labelled(rows: DataFrame, nodes: DataFrame, comp: DataFrame | None) -> Data
     else:
         named = nodes.select("node", F.col("rep").alias("component"))
     named = stash(named.withColumnRenamed("node", "_node"), "named")
-    out = rows.join(small(named), (F.col("n") > 0) & (F.col("node") == F.col("_node")), "left")
+    out = rows.join(small(named, BROADCAST_KEYS), (F.col("n") > 0) & (F.col("node") == F.col("_node")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _verified(texts: DataFrame, mine: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """Those of the pairs (a, b) of nodes that link; None if there are no pairs.
-
-    Pairs first need as many common tokens of their prefixes as the lesser of their k; the whole sets are made
-    again for the nodes of those that have them.
-    """
+def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """Those of the pairs (a, b) of nodes that link by their whole sets, which are made again; None if there are no pairs."""
     import pyarrow as pa
 
-    pairs = stash(pairs, "pairs")
-    if pairs.isEmpty():
-        return None
-    side = lambda x: mine.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"), F.col("p").alias(f"p{x}"))
-    got = pairs.join(side("b"), "b").join(side("a"), "a")
-    enough = F.size(F.array_intersect("pa", "pb")) >= F.least("ka", "kb")
-    sized = (F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)
-    left = stash(got.filter(sized).filter(enough).select("a", "b"), "candidates")
+    left = stash(pairs.distinct(), "candidates")
     if left.isEmpty():
         return None
     need = left.select(F.col("a").alias("x")).unionByName(left.select(F.col("b").alias("x"))).distinct()
-    ids = mine.join(need, F.col("node") == F.col("x"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    ids = nodes.join(small(need, BROADCAST_KEYS), F.col("node") == F.col("x"), "left_semi").select(F.col("rep").alias("_id"), F.col("node").alias("_node"))
     ids = stash(ids, "needed")
 
     def whole(cols, sets):
@@ -312,4 +374,6 @@ def _verified(texts: DataFrame, mine: DataFrame, pairs: DataFrame) -> DataFrame
 
     sa, sb = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = left.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb")
-    return stash(both.mapInArrow(likeness, "a long, b long"), "links")
+    links = stash(both.mapInArrow(likeness, "a long, b long"), "links")
+    drop(sets, ids, left)
+    return links
