@@ -38,7 +38,7 @@ SPARE, CANDIDATES_PER_MATCH = 16, 4
 #: 64-bit lanes of a set's bitmap. Each bit that one set has and another lacks is a token that the other lacks.
 LANES = 8
 #: Rounds of pairing with a pivot at most, while the pairs across components are more than so many for each row.
-PIVOT_ROUNDS, PAIRS_PER_ROW = 3, 16
+PIVOT_ROUNDS, PAIRS_PER_ROW = 1, 16
 #: Rows of one or two numbers that may be broadcast, counted first.
 BROADCAST_KEYS = 300_000
 #: Texts are hashed in groups of about so many bytes.
