@@ -1,7 +1,9 @@
 """Toxicity by a support vector machine on a subsequence string kernel.
 
-The kernel of two words is the cosine of their weighted subsequences of three and four characters with at most
-one character skipped, so that gapped and inserted-character spellings stay close. Words become vectors of
+The kernel of two words is the cosine of their weighted subsequences of three and four characters within a span
+of SPAN, so that gapped and inserted-character spellings stay close. A word with other characters between its
+letters is looked at without them too, and letters that stand apart in a row as the word they make; the reading
+that scores highest counts. Words become vectors of
 kernel values with landmark words, whitened by the landmarks' own kernel (Nyström); a linear machine is
 trained on them. Labels hold for documents, not words, so training alternates: each toxic document's
 strongest words stand for it, the words of clean sentences stand against them. As kernel and machine are
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,8 +36,9 @@ TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2500
 #: Words of clean sentences that stand against the toxic ones, drawn by a hash of the word.
 TRAIN_WORDS = 40_000
 BITS = 18
-#: Offsets of the subsequences, and what each skipped character costs.
-PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+#: Offsets of the subsequences, all of three and four characters within a span, and what each skipped character costs.
+SPAN = 8
+PATTERNS = tuple((0, *c) for n in (2, 3) for c in combinations(range(1, SPAN), n))
 DECAY = 0.6
 #: Weight of a word as a whole beside its subsequences.
 WHOLE = 1.5
@@ -44,24 +48,47 @@ WEIGHT = tuple(DECAY ** (p[-1] + 1 - len(p)) for p in PATTERNS)
 LANDMARKS, STRONGEST, ROUNDS = 256, 3, 6
 CACHE_WORDS = 500_000
 EDGE = ".,;:!?\"'()[]|*#$%&<>-_"
+_EDGES = f"[{re.escape(EDGE)}]*"
+#: Three or more letters in a row that stand apart.
+APART = re.compile(rf"(?<!\S){_EDGES}[^\W\d_]{_EDGES}(?:\s+{_EDGES}[^\W\d_]{_EDGES}(?!\S)){{2,}}")
+BETWEEN = re.compile(r"[\W_]+")
 
 
 def tokens(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+    """The words, and the words that letters standing apart make."""
+    if not text:
+        return []
+    low = text.lower()
+    return low.split() + [BETWEEN.sub("", m) for m in APART.findall(low)]
 
 
-def _features(words: list[str]):
+def _readings(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Pieces of the words and their owners; then those of words with other characters between letters, without them."""
+    bare = [w.strip(EDGE) or w for w in words]
+    parts, owner = pieces(bare)
+    odd = [i for i, w in enumerate(bare) if not w.isalnum()]
+    plain = [(i, p) for i in odd if len(p := BETWEEN.sub("", bare[i])) > 2]
+    if not plain:
+        return parts, owner
+    more, of = pieces([p for _, p in plain])
+    return parts + more, np.concatenate([owner, np.array([i for i, _ in plain], dtype=np.int64)[of]])
+
+
+def _whole(parts: list[str]) -> np.ndarray:
+    """The pieces as wholes, so that a word can differ from its neighbours."""
+    return np.array([zlib.crc32(p.encode("utf-8", "replace")) >> (32 - BITS) for p in parts], dtype=np.int64)
+
+
+def _features(words: list[str], readings=_readings):
     """Pieces' owners, hashed subsequences in columns with their weights (0 where there is none), and norms."""
-    parts, owner = pieces([w.strip(EDGE) or w for w in words])
+    parts, owner = readings(words)
     hs, ws = [], []
     for k, h, there in hashed_subsequences(parts, PATTERNS, BITS):
         hs.append(h)
         ws.append(np.where(there, np.float32(WEIGHT[k]), np.float32(0)))
     if not hs:
         return owner, np.zeros((len(parts), 0), np.int64), np.zeros((len(parts), 0), np.float32), np.ones(len(parts), np.float32)
-    # the piece as a whole, so that a word can differ from its neighbours
-    whole = np.array([zlib.crc32(p.encode("utf-8", "replace")) >> (32 - BITS) for p in parts], dtype=np.int64)
-    hs.append(whole[:, None])
+    hs.append(_whole(parts)[:, None])
     ws.append(np.full((len(parts), 1), WHOLE, np.float32))
     h, w = np.concatenate(hs, axis=1), np.concatenate(ws, axis=1)
     return owner, h, w, np.maximum(np.sqrt((w * w).sum(axis=1)), 1e-6)
@@ -75,9 +102,18 @@ class WordScorer:
 
     def score(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), -np.inf, np.float32)
-        for at in range(0, len(words), 20_000):
-            owner, h, w, norm = _features(words[at : at + 20_000])
-            np.maximum.at(out, owner + at, (self.weights[h] * w).sum(axis=1) / norm + np.float32(self.bias))
+        every, owners = _readings(words)
+        # pieces of like length together, as all of a batch take the room of its longest
+        order = np.argsort([len(p) for p in every], kind="stable")
+        for at in range(0, len(order), 4000):
+            mine = order[at : at + 4000]
+            parts = [every[i] for i in mine]
+            total = self.weights[_whole(parts)] * np.float32(WHOLE)
+            square = np.full(len(parts), WHOLE**2, np.float32)
+            for k, h, there in hashed_subsequences(parts, PATTERNS, BITS):
+                total += np.where(there, self.weights[h], np.float32(0)).sum(axis=1) * np.float32(WEIGHT[k])
+                square += there.sum(axis=1) * np.float32(WEIGHT[k] ** 2)
+            np.maximum.at(out, owners[mine], total / np.maximum(np.sqrt(square), 1e-6) + np.float32(self.bias))
         return out
 
     def document(self, texts: list[str | None]) -> np.ndarray:
@@ -103,7 +139,7 @@ class WordScorer:
 
 def _kernel(words: list[str], marks: list[str]) -> np.ndarray:
     """Kernel values of words with landmarks; only subsequences that a landmark has take room."""
-    _, mh, mw, mn = _features(marks)
+    _, mh, mw, mn = _features(marks, pieces)
     seen = np.unique(mh)
     where = np.zeros(1 << BITS, np.int32)  # 0: no landmark has it
     where[seen] = np.arange(1, len(seen) + 1)
@@ -185,7 +221,7 @@ def fit_words(bags: list[list[str]], clean: dict[str, int], n_clean: int) -> Wor
 def _fold(marks: list[str], alpha: np.ndarray) -> np.ndarray:
     """One weight per hashed subsequence: landmark values are linear in a word's subsequences."""
     folded = np.zeros(1 << BITS)
-    _, h, w, norm = _features(marks)
+    _, h, w, norm = _features(marks, pieces)
     for j in range(len(marks)):
         np.add.at(folded, h[j], w[j] / norm[j] * alpha[j])
     return folded.astype(np.float32)
