@@ -3,8 +3,9 @@
 A language is a distribution over hashed character n-grams, counted over a bounded sample of labelled rows.
 Each distinct word of a document has a likelihood under each language; expectation-maximisation estimates the
 proportions in which the languages make up the document. Sets of languages, nested by proportion, are fitted
-again, and the set with the best likelihood less a penalty for each language is the document's; its largest
-member is the prediction, and that member's proportion the score.
+again, up to all languages or as long as one more could raise the best likelihood less a penalty for each
+language; the set with the best is the document's, its largest member the prediction, and that member's
+proportion the score.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text if
 nothing could be learned; rows that repeat get equal results; rows with a null doc_id are not learned from.
@@ -29,7 +30,7 @@ GRAMS = ((0, 1), (0, 1, 2))
 #: Weight of a word's evidence, as its n-grams overlap; words kept by a task; rounds of estimation.
 DAMP, CACHE_WORDS, ROUNDS, REFIT = 0.5, 400_000, 8, 4
 #: Penalty for each language beyond the first: this times the log of the number of words.
-PENALTY, MOST_LANGUAGES = 4.0, 3
+PENALTY = 4.0
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -94,18 +95,30 @@ class LanguageModel:
                 pi = np.add.reduceat(joint * (c / den)[:, None], starts) / total
             raise AssertionError
 
+        ids = np.arange(len(live))
+
         pi, _ = fit(np.full((len(live), k), 1 / k, np.float32), ROUNDS)
         order = np.argsort(-pi, axis=1, kind="stable")
         best = np.full(len(live), -np.inf)
         chosen = np.zeros((len(live), k), np.float32)
-        for size in range(1, min(k, MOST_LANGUAGES) + 1):
+        for size in range(1, k + 1):
+            # no set's likelihood is above that of every word in its best language; larger sets have larger penalties
+            go = rest - PENALTY * (size - 1) * np.log(total[:, 0] + 1) > best[ids]
+            if not go.any():
+                break
+            if not go.all():
+                stay = go[doc]
+                p, c, ids, total, rest, pi = p[stay], c[stay], ids[go], total[go], rest[go], pi[go]
+                lengths = np.bincount(doc[stay], minlength=len(go))[go]
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                doc = np.repeat(np.arange(len(ids)), lengths)
             mask = np.zeros_like(pi)
-            np.put_along_axis(mask, order[:, :size], 1, axis=1)
+            np.put_along_axis(mask, order[ids, :size], 1, axis=1)
             start = np.maximum(pi, 1e-4) * mask
             fitted, like = fit(start / start.sum(axis=1, keepdims=True), REFIT if size > 1 else 0)
             worth = like - PENALTY * (size - 1) * np.log(total[:, 0] + 1)
-            better = worth > best
-            best[better], chosen[better] = worth[better], fitted[better]
+            better = worth > best[ids]
+            best[ids[better]], chosen[ids[better]] = worth[better], fitted[better]
         first = chosen.argmax(axis=1)
         for j, i in enumerate(live):
             label[i], score[i] = self.languages[first[j]], float(min(1.0, chosen[j, first[j]]))
