@@ -85,7 +85,7 @@ def f27(spark, d):
 @query("a35_range_ids", """with r as (select l_orderkey, l_linenumber, l_quantity::int // 10 lo from lineitem where l_orderkey < 2000), f as (select lo, min(l_orderkey * 10 + l_linenumber) seen from r group by lo)
  select lo, 'SL' || row_number() over (order by seen, lo) range_id from f""")
 def a35(spark, d):
-    li = T(spark, d, "lineitem").filter("l_orderkey < 2000")
+    li = T(spark, d, "lineitem")
     seen = li.groupBy(F.floor(F.col("l_quantity").cast("int") / 10).cast("int").alias("lo")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
     # a row per distinct range
     return seen.select("lo", F.concat(F.lit("SL"), F.row_number().over(W.orderBy("at", "lo"))).alias("range_id"))
