@@ -32,13 +32,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
+    """Of each group of near duplicates the document of the smallest id stays; where ids repeat, one row of it."""
     drop_all_but(docs)
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _near_rows(docs)
     near = ngram_join.near_documents(docs.select("doc_id", "text"))
     gone = stash(near.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.select(*COLUMNS).join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
+def _near_rows(docs: DataFrame) -> DataFrame:
+    """The same by rows: each gets a number of its own, which is written so that it stays, and only rows that are
+    not their group's first go. Rows without words or without an id are in no group."""
+    rows = stash(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
+    near = ngram_join.near_documents(rows.filter("doc_id is not null").select("_row", "text"), "_row")
+    near = near.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    place = rows.select("_row", F.struct("doc_id", F.xxhash64(*COLUMNS).alias("hash"), "_row").alias("place"))
+    placed = stash(near.join(place, "_row"), "placed")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = placed.join(small(first), "component_id").filter("place <> first").select(F.col("_row").alias("_gone"))
+    return rows.join(small(stash(gone, "gone")), F.col("_row") == F.col("_gone"), "left_anti").select(*COLUMNS)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's epochs and the draw take them."""
     drop_all_but(docs)
