@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -13,59 +18,81 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: A side of a join is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if it was counted and has no more rows and bytes than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 48_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; /tmp/checkpoints where it is unset (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset a local master gets
+    /tmp/checkpoints (tests); on a cluster that would be another folder on each machine, so there it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (root or "/tmp/checkpoints").rstrip("/")
 
 
-#: Paths of the tables written here, in order.
-_written: list[str] = []
+#: Where the tables written now are noted, if anywhere: the list of a run that deletes them itself.
+_noting: ContextVar[list[str] | None] = ContextVar("noting", default=None)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table of its own in the shared folder and read it back: the lineage ends there.
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Adds the paths of the tables written within to ``paths``."""
+    token = _noting.set(paths)
+    try:
+        yield
+    finally:
+        _noting.reset(token)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of what runs within as soon as it has run."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
-    The shuffles behind it are then of no more use; a collection in the driver lets Spark's cleaner delete
-    their files, which would else stay until the driver happens to run short of memory.
-    """
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a table of its own in the shared folder and read it back: the lineage ends there, and
+    the shuffles behind it are deleted."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/evenspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    spark.sparkContext._jvm.System.gc()
+    with tidy(spark):
+        df.write.parquet(path)
+    if (paths := _noting.get()) is not None:
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    _written.remove(path)
 
 
 def drop(*frames: DataFrame) -> None:
     """Delete the tables behind stashed frames that nothing reads any more."""
     for f in frames:
-        if getattr(f, "_stashed", None) in _written:
-            _delete(f.sparkSession, f._stashed)
+        if path := getattr(f, "_stashed", None):
+            delete(f.sparkSession, path)
+            f._stashed = None
 
 
-def drop_all_but(docs: DataFrame) -> None:
-    """Delete all tables written here that ``docs`` doesn't read. For the start of a pipeline stage, whose
-    input is written: what earlier stages gave must not be read later, but for ``docs``."""
-    if _written:
-        files = docs.inputFiles()
-        for path in list(_written):
-            key = path.rpartition("/")[2]
-            if not any(key in f for f in files):
-                _delete(docs.sparkSession, path)
+def drop_unread(spark: SparkSession, paths: list[str], docs: DataFrame) -> list[str]:
+    """Delete those of the tables that ``docs`` doesn't read; the others are returned."""
+    files = docs.inputFiles() if paths else []
+    kept = [p for p in paths if any(p.rpartition("/")[2] in f for f in files)]
+    for p in paths:
+        if p not in kept:
+            delete(spark, p)
+    return kept
 
 
 def words(text: Column) -> Column:
@@ -83,10 +110,25 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted here, are at most ``limit``; else as it is,
-    and the join shuffles, with skewed partitions split by adaptive execution."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(8).cast("long"), lambda a, x: a + _bytes(x, kind.elementType)), F.lit(8))
+        return 8 * F.greatest(F.size(value), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows are at most ``limit`` and its bytes at most ``most``, both measured
+    here; else as it is, and the join shuffles, with skewed partitions split by adaptive execution."""
+    with tidy(df.sparkSession):
+        rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

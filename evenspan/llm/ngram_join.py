@@ -1,51 +1,52 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document's set is its distinct shingles of five words. Tokens of a set are ordered by how many documents
-are estimated to hold them (a sketch over all documents), rare ones first. Two sets of likeness t share a
-token within their first n - ceil(t n) + 1 tokens, and k tokens within k - 1 more: a document whose tokens
-promise many candidates gets a longer prefix, and its pairs must share correspondingly more of it (the lesser
-k of the two) before they are verified on the whole sets.
-
-Equal sets are one node. Tokens shared by several nodes are resolved in rounds. In a round the nodes of a token
-are paired with one of them, the pivot, which is one that shares much of its prefix; what links joins the
-pivot's component. A pair within a component needs no test, so a large family of near copies costs about as
-many pairs as it has members. When the pairs across components that are left are few for each row, or after
-PIVOT_ROUNDS, they are all formed with all their matches, so that no link between components is lost, but for
-those that bitmaps of the two sets rule out.
+A document's set is its distinct shingles of five words. First the documents go that can have no partner: a
+document shows the tokens of a plain prefix by hash and SLACK-th of its size more, and a linked one must see
+enough of them in others (``holders`` counts, with one entry for each token and block of documents). For what
+is left the exact number of holders of every token is found the same way. A token that no other set has can't
+be common, so it only shortens a set's prefix; the others are ordered by their number of holders, rare ones
+first. Of a set with c such tokens of n, any partner of m tokens must share o = 80 (n + m) / 180 of them, so the
+two share a token within the first c - o + 1, and k tokens within k - 1 more: a set whose tokens promise many
+candidates gets a longer prefix, and its pairs must share correspondingly more of it (the lesser k of the two)
+before they are verified. The smaller set of a pair needs a shorter prefix than the larger, and they meet by
+token and band of sizes.
+
+Equal sets are one node. In each round the nodes of a token are paired with one of them, the pivot; what links
+joins the pivot's component. A pair within a component needs no test, so a large family of near copies costs
+about as many pairs as it has members. Rounds end when the pairs across components are few for each row, or when
+a round no longer makes them much fewer; then all pairs that are left across components are formed, so that no
+link between components is lost. Pairs are held against bitmaps of their common tokens, then against the sets.
 
 Defined results: a null or empty text has the empty set and no links; a null doc_id has component null and
 links nothing else; rows that repeat are one node; several rows of one doc_id keep sets of their own and
-count as that id. An empty table gives an empty result.
+count as that id; ids may be of any type that has an order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import drop, small, stash
+from .common import drop, small, stash, tidy
 from .components import components
+from .holders import answers, count_of, parts_for, send, told
 
 WORDS, PERCENT = 5, 80
-#: Counters of the sketch; its size is that of what is broadcast.
-SKETCH_BITS = 21
+#: Of n tokens n // SLACK more than the plain prefix are shown to others at first.
+SLACK = 10
 #: A set of n tokens may be asked for 1 + n // SPARE matches at most; each so many candidates ask for one more.
 SPARE, CANDIDATES_PER_MATCH = 16, 4
-#: 64-bit lanes of a set's bitmap. Each bit that one set has and another lacks is a token that the other lacks.
-LANES = 8
-#: Rounds of pairing with a pivot at most, while the pairs across components are more than so many for each row.
-PIVOT_ROUNDS, PAIRS_PER_ROW = 1, 16
+#: Pairs across components for each row that need no further round; the share of them that a round must leave at most.
+PAIRS_PER_ROW, WORTH = 4, 0.7
 #: Rows of one or two numbers that may be broadcast, counted first.
 BROADCAST_KEYS = 300_000
 #: Texts are hashed in groups of about so many bytes.
 GROUP_BYTES = 1_000_000
 
-BITS = [f"bit{k}" for k in range(LANES)]
-
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, dtype=bool)
@@ -124,192 +125,195 @@ def _node(s: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def _over_texts(df: DataFrame, schema: str, work, n_carry: int) -> DataFrame:
-    """``work(carried columns, sets)`` over Arrow batches whose last column is the text."""
-    import pyarrow as pa
+def needed(n, m):
+    """Common tokens of two sets of likeness PERCENT, of sizes n and m."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                yield from work([part.column(i) for i in range(n_carry)], shingle_sets(part.column(n_carry).to_pylist()))
-        yield from work(None, None)
 
-    return df.mapInArrow(run, schema)
+def plain_length(n):
+    """Tokens of which two sets of likeness PERCENT share one, whatever their order."""
+    return n - -(-n * PERCENT // 100) + 1
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+def shown(s: np.ndarray) -> np.ndarray:
+    """The tokens that a document shows at first: more than a plain prefix by hash, in another order."""
+    n = len(s)
+    return _mix(s[: plain_length(n) - 1 + max(1, n // SLACK)] ^ np.uint64(0x5BD1E995)) if n else s
 
 
-def set_keys(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, node, check, n for every row."""
-    import pyarrow as pa
+def must_see(n: np.ndarray) -> np.ndarray:
+    """Of the tokens shown, those that a linked document has in common with another one at least."""
+    return np.maximum(1, -(-n * PERCENT // 100) // SLACK)
 
-    def work(cols, sets):
-        if cols is None:
-            return
-        ids, rows = cols[0], [(len(s), *_node(s)) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [ids.cast(pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64())],
-            names=["doc_id", "node", "check", "n"])
 
-    return _over_texts(docs.select(F.col(key).cast("long"), text), "doc_id long, node long, check long, n long", work, 1)
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Tokens thrown into a power of two of bits, two or more for each token."""
+    bits = max(512, 1 << int(2 * len(tokens) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
 
 
-def sketch(docs: DataFrame, text: str) -> np.ndarray:
-    """How many documents hold a shingle, by its hash in 2**SKETCH_BITS counters, over all documents.
+def most_common(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """A bound on the common tokens of two sets of so many tokens, from their bitmaps."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    # the larger one is folded: its bits are numbered by the low bits of the tokens
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
 
-    Each task counts on its own; blocks of counters meet by number. The driver gets the counters only.
-    """
-    import pyarrow as pa
-
-    size, block = 1 << SKETCH_BITS, 1 << 14
-
-    def count(batches):
-        mine = np.zeros(size, dtype=np.uint32)
-        for b in batches:
-            for s in shingle_sets(b.column(0).to_pylist()):
-                np.add.at(mine, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        if mine.any():
-            for at in range(0, size, 64 * block):
-                yield pa.RecordBatch.from_arrays([pa.array(range(at // block, at // block + 64), pa.int32()), pa.array([pack(mine[i : i + block]) for i in range(at, at + 64 * block, block)])], names=["b", "c"])
-
-    def pack(x: np.ndarray) -> bytes:
-        return zlib.compress(x.tobytes(), 1)
-
-    def add(key, table):
-        total = np.zeros(block, dtype=np.uint32)
-        for c in table.column("c").to_pylist():
-            total += np.frombuffer(zlib.decompress(c), dtype=np.uint32)
-        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), "c": pa.array([pack(total)])})
-
-    parts = docs.select(text).mapInArrow(count, "b int, c binary")
-    if docs.rdd.getNumPartitions() > 256:  # so that no group holds more than some hundred blocks
-        parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(1024))).groupBy("b", "part").applyInArrow(add, "b int, c binary")
-    out = np.zeros(size, dtype=np.uint32)
-    for r in parts.groupBy("b").applyInArrow(add, "b int, c binary").collect():
-        out[r["b"] * block : (r["b"] + 1) * block] = np.frombuffer(zlib.decompress(r["c"]), dtype=np.uint32)
-    return out
 
+def bands(most: int) -> np.ndarray:
+    """Lower ends of bands of sizes, so wide that the sizes of a linked pair are in one or two neighbouring ones."""
+    ends = [1]
+    while ends[-1] <= most:
+        ends.append(max(ends[-1] + 1, -(-ends[-1] * 100 // PERCENT)))
+    return np.array(ends)
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """For each counter the documents that a token in it is estimated to have beyond what chance fills in, at least 1."""
-    usual = float(np.median(counts))
-    return np.maximum(np.float32(1), counts.astype(np.float32) - np.float32(usual + 4 * np.sqrt(usual)))
-
-
-def ordered(s: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """The tokens, rare ones first, by the doublings of their estimate, then by hash."""
-    est = rare[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    level = np.log2(est).astype(np.int64)
-    return s[np.argsort(level, kind="stable")]  # s is sorted
 
+def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    with tidy(docs.sparkSession):
+        size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    rows = _seen(texts, kind, size)
+    # of equal sets the smallest id, and a number, which is written so that it stays
+    alive = rows.filter("alive").select("doc_id", "n", "node", "chk")
+    reps = alive.groupBy("node", "chk").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    reps = stash(reps.withColumn("no", F.monotonically_increasing_id()), "reps")
+    if reps.isEmpty():
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    nodes = _nodes(texts, alive, reps)
+    comp = _linked(nodes)
+    drop(nodes)
+    return _labelled(rows, reps, comp)
+
+
+def _seen(texts: DataFrame, kind: str, size: int) -> DataFrame:
+    """doc_id, n, node, chk and alive (whether it may have a partner) of every row."""
+    import pyarrow as pa
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """A set's tokens thrown into 64 * LANES bits."""
-    out = np.zeros(LANES, dtype=np.uint64)
-    at = _mix(s ^ np.uint64(0x5BD1E995)) % np.uint64(64 * LANES)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    def work(cols):
+        for i, s in zip(cols[0], shingle_sets(cols[1]), strict=True):
+            yield [len(s), *_node(s)], (shown(s) if i is not None else s[:0])
 
+    blocks = stash(send(texts, parts_for(size // 18), {"n": "long", "node": "long", "chk": "long"}, work), "shown")
 
-def plain_length(n: int) -> int:
-    """Tokens of which two sets of likeness PERCENT share one."""
-    return n - -(-n * PERCENT // 100) + 1
+    key = to_arrow_type(texts.schema["doc_id"].dataType)
 
+    def apply(facts, owners, levels, _):
+        n = np.array(facts["n"], np.int64)
+        seen = np.bincount(owners, weights=levels > 0, minlength=len(n))
+        alive = (n > 0) & (seen >= must_see(n)) & np.array([k is not None for k in facts["key"]])
+        return pa.table({"doc_id": pa.array(facts["key"], key), "n": n, "node": pa.array(facts["node"], pa.int64()), "chk": pa.array(facts["chk"], pa.int64()), "alive": alive})
 
-def most_matches(n: int) -> int:
-    """The most matches that may be asked of a set of n tokens."""
-    return 1 + min(n // SPARE, n - plain_length(n))
+    rows = stash(told(blocks, answers(blocks), f"doc_id {kind}, n long, node long, chk long, alive boolean", apply, False), "sets")
+    drop(blocks)
+    return rows
 
 
-def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+def _nodes(texts: DataFrame, alive: DataFrame, reps: DataFrame) -> DataFrame:
+    """One row for each node that may have a partner: no, n (tokens), c (those that others have), k (matches asked
+    for), few (length of the prefix as the smaller of a pair), p (prefix as the larger one), band of its size,
+    bits (bitmap) and s (the c tokens)."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stash(set_keys(texts, "doc_id", "text"), "sets")
-    nodes = stash(rows.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")), "nodes")
-    if not nodes.filter("c1 <> c2").isEmpty():
-        raise RuntimeError("two different sets share a 64-bit hash")  # has a chance of n**2 / 2**65 for n sets
-    rare = spark.sparkContext.broadcast(rarity(sketch(texts.filter("doc_id is not null"), "text")))
-
-    def prefixes(cols, sets):
-        if cols is None:
-            return
+    mine = reps.select(F.col("rep").alias("_id"), "no", "node", "chk")
+    chosen = texts.join(small(mine, BROADCAST_KEYS), F.col("doc_id") == F.col("_id")).select("no", "node", "chk", "text")
+    if not alive.groupBy("doc_id", "node", "chk").count().filter("count > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["no", "text"])  # rows that repeat
+
+    def work(cols):
+        for node, chk, s in zip(cols[1], cols[2], shingle_sets(cols[3]), strict=True):
+            # another text of the same id is not the one looked for
+            yield ([len(s)], _mix(s ^ np.uint64(0x5BD1E995))) if _node(s) == (node, chk) else (None, s)
+
+    tokens = reps.agg(F.sum("n")).first()[0]
+    blocks = stash(send(chosen, parts_for(tokens), {"n": "long"}, work), "whole")
+
+    def apply(facts, owners, levels, every):
+        n = np.array(facts["n"], np.int64)
+        common = levels > 0
+        owners, levels, every = owners[common], levels[common], every[common]
+        order = np.lexsort((levels, owners))  # stable: then by hash
+        owners, levels, every = owners[order], levels[order], every[order]
+        c = np.bincount(owners, minlength=len(n)).astype(np.int64)
+        ends = np.cumsum(c)
+        large = c - needed(n, -(-n * PERCENT // 100)) + 1  # plain prefix if the partner is as small as it may be
+        few = c - needed(n, n) + 1
+        width = bands(int(n.max(initial=1)))
         out = []
-        for i, s in zip(cols[0].to_pylist(), sets, strict=True):
-            if (n := len(s)) and i is not None:
-                out.append((i, _node(s)[0], n, _signed(ordered(s, rare.value)[: plain_length(n) + most_matches(n) - 1]), _signed(bitmap(s))))
-        lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(o[3]) for o in out]).astype(np.int32), pa.array(np.concatenate([o[3] for o in out]) if out else np.zeros(0, np.int64)))
-        lanes = [pa.array([int(o[4][k]) for o in out], pa.int64()) for k in range(LANES)]
-        yield pa.RecordBatch.from_arrays([*(pa.array([o[j] for o in out], pa.int64()) for j in range(3)), lists, *lanes], names=["doc_id", "node", "n", "p", *BITS])
-
-    every = _over_texts(texts, "doc_id long, node long, n long, p array<long>, " + ", ".join(f"{b} long" for b in BITS), prefixes, 1)
-    # of equal sets one row, that of the smallest id
-    reps = nodes.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    mine = stash(every.join(small(reps, BROADCAST_KEYS), (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("_rep"))).select("node", "n", "p", *BITS), "prefixes")
-    token = mine.select("node", "n", F.posexplode("p").alias("at", "h"))
-    plain = F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1")
-    # tokens of several nodes, with the nodes that have them in the plain prefix
-    held = token.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count_if(F.col("at") < plain).alias("c"))
-    held = stash(held.filter("lo <> hi").select(F.col("h").alias("_h"), "c"), "held")
+        for i in np.flatnonzero(large > 0).tolist():
+            a, b = int(ends[i] - c[i]), int(ends[i])
+            length = int(large[i])
+            cost = float((count_of(levels[a : a + length]) - 1).sum())
+            k = 1 + min(int(n[i]) // SPARE, int(c[i]) - length, int(cost / CANDIDATES_PER_MATCH))
+            s = np.sort(every[a:b])
+            out.append((facts["key"][i], int(n[i]), int(c[i]), k, int(few[i]) + k - 1 if few[i] > 0 else 0, every[a : a + length + k - 1].view(np.int64),
+                        int(np.searchsorted(width, n[i], "right")), bitmap(s), s.tobytes()))
+        names = ["no", "n", "c", "k", "few", "p", "band", "bits", "s"]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table({x: pa.array([o[i] for o in out], t) for i, (x, t) in enumerate(zip(names, kinds, strict=True))})
+
+    nodes = stash(told(blocks, answers(blocks), "no long, n long, c long, k long, few long, p array<long>, band long, bits binary, s binary", apply, True), "nodes")
+    drop(blocks)
+    return nodes
+
+
+def _linked(nodes: DataFrame) -> DataFrame | None:
+    """id and root of the nodes (by their no) that have a link."""
+    row = nodes.select("no", "n", "c", "k", "few", "band", F.posexplode("p").alias("at", "h"))
+    # tokens of two nodes and more, one of which may be the smaller of a pair
+    several = row.groupBy("h").agg(F.min("no").alias("lo"), F.max("no").alias("hi"), F.min(F.col("at") - F.col("few")).alias("s"))
+    several = several.filter("lo <> hi and s < 0").select(F.col("h").alias("_h"))
     # joins by token have one plan at every size: both sides are shuffled, skewed tokens are split
-    met = stash(token.join(held.hint("merge"), F.col("h") == F.col("_h")).select("h", "node", "n", "at", "c"), "met")
-    drop(held)
-    # the candidates a node's plain prefix promises set how many matches it asks for, and how long its prefix is
-    cost = met.filter(F.col("at") < plain).groupBy("node").agg(F.sum(F.col("c") - 1).alias("cost"))
-    most = F.least(F.expr(f"n div {SPARE}"), F.col("n") - plain)
-    k = 1 + F.least(most, F.floor(F.coalesce("cost", F.lit(0)) / CANDIDATES_PER_MATCH))
-    kept = met.join(small(cost.withColumnRenamed("node", "_n"), BROADCAST_KEYS), F.col("node") == F.col("_n"), "left").withColumn("k", k)
-    kept = stash(kept.filter(F.col("at") < plain + F.col("k") - 1).select("h", "node", "n", "k"), "kept")
-    # a node that shares much of its prefix stands in the middle of a family, so it is a better pivot
-    score = kept.groupBy(F.col("node").alias("_s")).agg(F.count(F.lit(1)).alias("score"))
-    several = kept.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select(F.col("h").alias("_h"))
-    rest = kept.join(several.hint("merge"), F.col("h") == F.col("_h"), "left_semi").join(small(score, BROADCAST_KEYS), F.col("node") == F.col("_s"))
-    rest = stash(rest.select("h", "node", "n", "k", "score", F.col("node").alias("root"), F.lit(False).alias("was")), "shared")
-    drop(met, kept)
-    links, comp = None, None
-    for _ in range(PIVOT_ROUNDS):
+    rest = stash(row.join(several.hint("merge"), F.col("h") == F.col("_h")).drop("_h").withColumns({"root": F.col("no"), "was": F.lit(False)}), "shared")
+    links, comp, before = None, None, None
+    while True:
         # pairs that testing all across components would take, from the counts of each token's components
-        each = rest.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        rows_left, pairs_left = each.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.col("t") * F.col("t") - F.col("q")), F.lit(0))).first()
-        if pairs_left / 2 <= PAIRS_PER_ROW * rows_left:
+        is_small = F.count_if(F.col("at") < F.col("few"))
+        each = rest.groupBy("h", "band", "root").agg(F.count(F.lit(1)).alias("l"), is_small.alias("s"))
+        each = each.groupBy("h", "band").agg(F.sum("l").alias("l"), F.sum("s").alias("s"), F.sum(F.col("l") * F.col("s")).alias("own"))
+        with tidy(nodes.sparkSession):
+            rows_left, pairs_left = each.agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum(F.col("l") * F.col("s") - F.col("own")), F.lit(0))).first()
+        if pairs_left <= PAIRS_PER_ROW * rows_left or (before is not None and pairs_left > WORTH * before):
             break
-        # the nodes of a token with one of them that was no pivot yet, where the tokens they meet by are enough
-        piv = rest.filter(~F.col("was")).groupBy("h").agg(F.max_by("node", "score").alias("pivot")).select(F.col("h").alias("_h"), "pivot")
-        met = stash(rest.join(piv.hint("merge"), F.col("h") == F.col("_h")), "pivots")
-        own = met.filter("node = pivot").select(F.col("node").alias("_p"), F.col("n").alias("pn"), F.col("k").alias("pk"), F.col("root").alias("proot")).distinct()
-        star = met.filter("node <> pivot").groupBy("pivot", "node", "n", "k", "root").agg(F.count(F.lit(1)).alias("m"))
-        star = star.join(small(own, BROADCAST_KEYS), F.col("pivot") == F.col("_p")).filter(_alike("n", "pn") & (F.col("m") >= F.least("k", "pk")) & (F.col("root") != F.col("proot")))
-        more = _verified(texts, nodes, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        before = pairs_left
+        # the nodes of a token with one of them that was no pivot yet: one whose tokens others have too stands in the
+        # middle of a family
+        best = F.max(F.struct((F.col("c") / F.col("n")).alias("score"), "no", "n", "c", "root")).alias("p")
+        piv = stash(rest.filter(~F.col("was")).groupBy("h", "band").agg(best).select(F.col("h").alias("_h"), F.col("band").alias("_band"), F.col("p.no").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.root").alias("proot")), "pivots")
+        star = rest.join(piv.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("band") == F.col("_band")))
+        star = star.filter((F.col("root") != F.col("proot")) & _alike("n", "c", "pn", "pc")).select(F.col("pivot").alias("a"), F.col("no").alias("b")).distinct()
+        more = _verified(nodes, star)
         if more is not None:
             links = more if links is None else stash(links.unionByName(more), "links")
             comp = components(links)
-        used = own.select(F.col("_p").alias("_u"), F.lit(True).alias("_was"))
-        old, rest = rest, _unsettled(met.drop("_h", "pivot"), comp, used)
-        drop(old, met)
-    # the remaining pairs across the components of a token, with all their matches
-    bits = mine.select(F.col("node").alias("_b"), *BITS)
-    rest, old = stash(rest.join(small(bits, BROADCAST_KEYS), F.col("node") == F.col("_b")), "mapped"), rest
-    drop(old, mine)
-    a, b = (rest.select("h", *[F.col(c).alias(x + c) for c in ("node", "n", "k", "root", *BITS)]) for x in ("a", "b"))
-    pairs = a.join(b, "h").filter((F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _alike("an", "bn") & _overlap_possible())
-    pairs = pairs.groupBy("anode", "bnode", "ak", "bk").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= F.least("ak", "bk"))
-    more = _verified(texts, nodes, pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")))
+        old, rest = rest, _unsettled(rest, comp, piv.select(F.col("pivot").alias("_u")).distinct())
+        drop(old, piv)
+    # the remaining pairs across components: the smaller one of a pair by its short prefix
+    a = rest.filter("at < few").select("h", "band", *[F.col(c).alias("a" + c) for c in ("no", "n", "c", "k", "at", "root")])
+    b = rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).select("h", "band", *[F.col(c).alias("b" + c) for c in ("no", "n", "c", "k", "at", "root")])
+    o, k = F.expr(f"({PERCENT} * (an + bn) + {99 + PERCENT}) div {100 + PERCENT}"), F.least("ak", "bk")
+    smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("ano") < F.col("bno")))
+    early = (F.col("aat") < F.col("ac") - o + k) & (F.col("bat") < F.col("bc") - o + k)
+    pairs = a.join(b.hint("merge"), ["h", "band"]).filter(smaller & (F.col("aroot") != F.col("broot")) & _alike("an", "ac", "bn", "bc") & early)
+    pairs = pairs.groupBy("ano", "bno", k.alias("k")).agg(F.count(F.lit(1)).alias("m")).filter("m >= k")
+    more = _verified(nodes, pairs.select(F.col("ano").alias("a"), F.col("bno").alias("b")))
     drop(rest)
     if more is not None:
         comp = components(more if links is None else links.unionByName(more))
-    return _labelled(rows, nodes, comp)
+    return comp
 
 
 def _unsettled(rest: DataFrame, comp: DataFrame | None, used: DataFrame) -> DataFrame:
     """The rows of tokens whose nodes are still of several components, with the components as they are now."""
     if comp is not None:
-        rest = rest.join(small(comp.withColumnRenamed("root", "_root"), BROADCAST_KEYS), F.col("node") == F.col("id"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_root", "id")
-    rest = rest.join(small(used, BROADCAST_KEYS), F.col("node") == F.col("_u"), "left").withColumn("was", F.col("was") | F.col("_was").isNotNull()).drop("_u", "_was")
+        rest = rest.join(small(comp.withColumnRenamed("root", "_root"), BROADCAST_KEYS), F.col("no") == F.col("id"), "left").withColumn("root", F.coalesce("_root", "no")).drop("_root", "id")
+    rest = rest.join(small(used, BROADCAST_KEYS), F.col("no") == F.col("_u"), "left").withColumn("was", F.col("was") | F.col("_u").isNotNull()).drop("_u")
     rest = stash(rest, "placed")
     mixed = rest.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select(F.col("h").alias("_h"))
     out = stash(rest.join(mixed.hint("merge"), F.col("h") == F.col("_h"), "left_semi"), "rest")
@@ -317,63 +321,56 @@ def _unsettled(rest: DataFrame, comp: DataFrame | None, used: DataFrame) -> Data
     return out
 
 
-def _overlap_possible() -> Column:
-    """Whether the bitmaps leave room for the common tokens that sets of sizes an and bn need."""
-    need = F.expr(f"({PERCENT} * (an + bn) + {99 + PERCENT}) div {100 + PERCENT}")
-    lacks = lambda x, y: sum((F.bit_count(F.col(x + b).bitwiseAND(F.bitwise_not(F.col(y + b)))) for b in BITS[1:]), F.bit_count(F.col(x + BITS[0]).bitwiseAND(F.bitwise_not(F.col(y + BITS[0])))))
-    return (F.col("an") - lacks("a", "b") >= need) & (F.col("bn") - lacks("b", "a") >= need)
-
+def _alike(n: str, c: str, m: str, d: str) -> Column:
+    """Whether sets of sizes n and m can be alike enough, that have c and d tokens which others have too."""
+    n, m = F.col(n), F.col(m)
+    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (PERCENT * (n + m) <= (100 + PERCENT) * F.least(c, d))
 
-def _alike(n: str, m: str) -> Column:
-    """Whether sets of these sizes can be alike enough."""
-    return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
 
-
-def _labelled(rows: DataFrame, nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _labelled(rows: DataFrame, reps: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Components of nodes to ids: the smallest id of a component's nodes."""
+    named = reps.select("no", F.col("node").alias("_node"), F.col("chk").alias("_chk"), F.col("rep").alias("component"))
     if comp is not None:
-        named = nodes.join(comp, F.col("node") == F.col("id"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-        least = named.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("component"))
-        named = named.join(least, F.col("root") == F.col("_root")).select("node", F.col("component"))
-    else:
-        named = nodes.select("node", F.col("rep").alias("component"))
-    named = stash(named.withColumnRenamed("node", "_node"), "named")
-    out = rows.join(small(named, BROADCAST_KEYS), (F.col("n") > 0) & (F.col("node") == F.col("_node")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
-
-
-def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """Those of the pairs (a, b) of nodes that link by their whole sets, which are made again; None if there are no pairs."""
+        named = named.join(comp, F.col("no") == F.col("id"), "left").withColumn("root", F.coalesce("root", "no"))
+        least = named.groupBy(F.col("root").alias("_root")).agg(F.min("component").alias("least"))
+        named = named.join(least, F.col("root") == F.col("_root")).withColumn("component", F.col("least"))
+    named = stash(named.select("_node", "_chk", "component"), "named")
+    out = rows.filter("alive").join(small(named, BROADCAST_KEYS), (F.col("node") == F.col("_node")) & (F.col("chk") == F.col("_chk")))
+    out = out.select("doc_id", "n", "component").unionByName(rows.filter("not alive").select("doc_id", "n", F.col("doc_id").alias("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """Those of the pairs (a, b) of nodes that link, by their bitmaps and then by their sets; None if there are no pairs."""
     import pyarrow as pa
 
-    left = stash(pairs.distinct(), "candidates")
+    left = stash(pairs, "candidates")
     if left.isEmpty():
         return None
-    need = left.select(F.col("a").alias("x")).unionByName(left.select(F.col("b").alias("x"))).distinct()
-    ids = nodes.join(small(need, BROADCAST_KEYS), F.col("node") == F.col("x"), "left_semi").select(F.col("rep").alias("_id"), F.col("node").alias("_node"))
-    ids = stash(ids, "needed")
-
-    def whole(cols, sets):
-        if cols is None:
-            return
-        out = [(_node(s)[0], n, s.tobytes()) for n, s in zip(cols[0].to_pylist(), sets, strict=True)]
-        out = [(a, c) for a, n, c in out if a == n]  # another text of the same id is not the one looked for
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["node", "s"])
-
-    chosen = texts.join(small(ids), F.col("doc_id") == F.col("_id")).select("_node", "text")
-    sets = stash(_over_texts(chosen, "node long, s binary", whole, 1).dropDuplicates(["node"]), "whole")
-
-    def likeness(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sa, sb = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = left.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb")
-    links = stash(both.mapInArrow(likeness, "a long, b long"), "links")
-    drop(sets, ids, left)
+
+    def checked(test):
+        """a, n, c and a binary column of either side: the pairs that pass."""
+        def run(batches):
+            for b in batches:
+                keep = [test(*r) for r in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    def possible(n, c, x, m, d, y):
+        return most_common(x, y, c, d) >= needed(n, m)
+
+    def like(n, c, x, m, d, y):
+        common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return 100 * common >= PERCENT * (n + m - common)
+
+    def beside(p: DataFrame, what: str) -> DataFrame:
+        side = lambda x: nodes.select(F.col("no").alias(x), *[F.col(c).alias(x + c) for c in ("n", "c", what)])
+        # the pivots' side first, which may be few nodes with many pairs each, so that little is moved with it
+        both = p.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+        return both.select("a", "b", *[x + c for x in "ab" for c in ("n", "c", what)])
+
+    maybe = stash(beside(left, "bits").mapInArrow(checked(possible), "a long, b long"), "maybe")
+    links = stash(beside(maybe, "s").mapInArrow(checked(like), "a long, b long"), "links")
+    drop(left, maybe)
     return links
