@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, DataType
 
 #: Tokens of a block at most (but for a longer document), and about so many sent to a part.
 BLOCK_TOKENS, PART_TOKENS = 4_000_000, 1_000_000
@@ -42,7 +42,7 @@ def send(df: DataFrame, parts: int, facts: dict[str, str], work: Callable[[list]
     import pyarrow as pa
 
     key = df.schema.fields[0]
-    kind = to_arrow_type(key.dataType)
+    kind = to_arrow_type(DataType.fromDDL(key.dataType.simpleString()))  # parts of it may be null
     names, kinds = ["key", *facts], [kind, *({"long": pa.int64()}[t] for t in facts.values())]
     bits = parts.bit_length() - 1
     edges = np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)

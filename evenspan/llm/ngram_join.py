@@ -30,6 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import drop, small, stash, tidy
 from .components import components
@@ -202,7 +203,7 @@ def _seen(texts: DataFrame, kind: str, size: int) -> DataFrame:
 
     blocks = stash(send(texts, parts_for(size // 18), {"n": "long", "node": "long", "chk": "long"}, work), "shown")
 
-    key = to_arrow_type(texts.schema["doc_id"].dataType)
+    key = to_arrow_type(DataType.fromDDL(kind))  # parts of it may be null
 
     def apply(facts, owners, levels, _):
         n = np.array(facts["n"], np.int64)
