@@ -5,36 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, stash
+from .common import drop, small, stash
 
 
 def components(links: DataFrame) -> DataFrame:
     """``links``: a, b. One row per id that has a link: id, root (the smallest id of its component).
 
-    Alternates large-star and small-star steps, each two aggregations by id, until nothing changes; the number
-    of rounds grows with the logarithm of the longest chain. Every round is written to the shared folder.
+    Alternates large-star and small-star steps until nothing would change; the number of rounds grows with the
+    logarithm of the longest chain. What a round leaves is written to the shared folder.
     """
     edges = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-
-    def star(pairs: DataFrame, keep) -> DataFrame:
-        # all neighbours of x are hung on the smallest of x and its neighbours
-        joined = pairs.join(least(pairs).withColumnRenamed("x", "_x"), F.col("x") == F.col("_x"))
-        hung = joined.filter(keep).select(F.col("y").alias("a"), F.col("m").alias("b"))
-        own = joined.select(F.col("x").alias("a"), F.col("m").alias("b"))
-        return hung.unionByName(own).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    # pairs (a, b) with b smaller: a state is final when every a has one b and no b is an a
     while True:
-        both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        large = star(both, F.col("y") > F.col("x"))
-        down = large.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        old, edges = edges, stash(star(down, F.lit(True)), "edges")
-        drop(old)
-        more = edges.join(edges.select(F.col("b").alias("_b")).distinct(), F.col("a") == F.col("_b"), "left_semi")
-        if more.isEmpty() and edges.groupBy("a").count().filter("count > 1").isEmpty():
+        # pairs (a, b) with b smaller: a state is final when every a has one b and no b is an a
+        ends = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+        both = edges.select(F.inline(ends))
+        up = F.count_if(F.col("y") < F.col("x"))
+        nodes = stash(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), up.alias("up"), (F.count(F.lit(1)) - up).alias("down")), "nodes")
+        if nodes.filter("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
+        # large star: all larger neighbours of x are hung on the smallest of x and its neighbours, and x itself
+        own = nodes.select(F.col("x").alias("a"), F.col("m").alias("b"))
+        hung = both.filter("y > x").join(small(own.withColumnRenamed("b", "m")), F.col("x") == F.col("a")).select(F.col("y").alias("a"), F.col("m").alias("b"))
+        large = hung.unionByName(own).filter("a <> b")
+        # small star: all smaller neighbours of a, and a itself, on the smallest of them
+        least = large.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("m"))
+        joined = large.join(least.hint("merge"), F.col("a") == F.col("_a"))
+        pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
+        old, edges = edges, stash(joined.select(F.inline(pairs)).filter("a <> b").distinct(), "edges")
+        drop(old, nodes)
+    drop(nodes)
     roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    return stash(roots.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()), "roots")

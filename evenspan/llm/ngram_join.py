@@ -42,7 +42,7 @@ SLACK = 10
 #: A set of n tokens may be asked for 1 + n // SPARE matches at most; each so many candidates ask for one more.
 SPARE, CANDIDATES_PER_MATCH = 16, 4
 #: Pairs across components for each row that need no further round; the share of them that a round must leave at most.
-PAIRS_PER_ROW, WORTH = 4, 0.7
+PAIRS_PER_ROW, WORTH = 16, 0.7
 #: Rows of one or two numbers that may be broadcast, counted first.
 BROADCAST_KEYS = 300_000
 #: Texts are hashed in groups of about so many bytes.
@@ -272,7 +272,8 @@ def _linked(nodes: DataFrame) -> DataFrame | None:
     several = several.filter("lo <> hi and s < 0").select(F.col("h").alias("_h"))
     # joins by token have one plan at every size: both sides are shuffled, skewed tokens are split
     rest = stash(row.join(several.hint("merge"), F.col("h") == F.col("_h")).drop("_h").withColumns({"root": F.col("no"), "was": F.lit(False)}), "shared")
-    links, comp, before = None, None, None
+    comp, before = None, None
+    sides = {what: small(nodes.select("no", "n", "c", what)) for what in ("bits", "s")}
     while True:
         # pairs that testing all across components would take, from the counts of each token's components
         is_small = F.count_if(F.col("at") < F.col("few"))
@@ -289,10 +290,7 @@ def _linked(nodes: DataFrame) -> DataFrame | None:
         piv = stash(rest.filter(~F.col("was")).groupBy("h", "band").agg(best).select(F.col("h").alias("_h"), F.col("band").alias("_band"), F.col("p.no").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.root").alias("proot")), "pivots")
         star = rest.join(piv.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("band") == F.col("_band")))
         star = star.filter((F.col("root") != F.col("proot")) & _alike("n", "c", "pn", "pc")).select(F.col("pivot").alias("a"), F.col("no").alias("b")).distinct()
-        more = _verified(nodes, star)
-        if more is not None:
-            links = more if links is None else stash(links.unionByName(more), "links")
-            comp = components(links)
+        comp = _joined(comp, _verified(sides, star))
         old, rest = rest, _unsettled(rest, comp, piv.select(F.col("pivot").alias("_u")).distinct())
         drop(old, piv)
     # the remaining pairs across components: the smaller one of a pair by its short prefix
@@ -303,23 +301,27 @@ def _linked(nodes: DataFrame) -> DataFrame | None:
     early = (F.col("aat") < F.col("ac") - o + k) & (F.col("bat") < F.col("bc") - o + k)
     pairs = a.join(b.hint("merge"), ["h", "band"]).filter(smaller & (F.col("aroot") != F.col("broot")) & _alike("an", "ac", "bn", "bc") & early)
     pairs = pairs.groupBy("ano", "bno", k.alias("k")).agg(F.count(F.lit(1)).alias("m")).filter("m >= k")
-    more = _verified(nodes, pairs.select(F.col("ano").alias("a"), F.col("bno").alias("b")))
+    comp = _joined(comp, _verified(sides, pairs.select(F.col("ano").alias("a"), F.col("bno").alias("b"))))
     drop(rest)
-    if more is not None:
-        comp = components(more if links is None else links.unionByName(more))
     return comp
 
 
+def _joined(comp: DataFrame | None, links: DataFrame | None) -> DataFrame | None:
+    """The components after further links."""
+    if links is None or links.isEmpty():
+        return comp
+    if comp is not None:
+        links = links.unionByName(comp.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return components(links)
+
+
 def _unsettled(rest: DataFrame, comp: DataFrame | None, used: DataFrame) -> DataFrame:
     """The rows of tokens whose nodes are still of several components, with the components as they are now."""
     if comp is not None:
         rest = rest.join(small(comp.withColumnRenamed("root", "_root"), BROADCAST_KEYS), F.col("no") == F.col("id"), "left").withColumn("root", F.coalesce("_root", "no")).drop("_root", "id")
     rest = rest.join(small(used, BROADCAST_KEYS), F.col("no") == F.col("_u"), "left").withColumn("was", F.col("was") | F.col("_u").isNotNull()).drop("_u")
-    rest = stash(rest, "placed")
     mixed = rest.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select(F.col("h").alias("_h"))
-    out = stash(rest.join(mixed.hint("merge"), F.col("h") == F.col("_h"), "left_semi"), "rest")
-    drop(rest)
-    return out
+    return stash(rest.join(mixed.hint("merge"), F.col("h") == F.col("_h"), "left_semi"), "rest")
 
 
 def _alike(n: str, c: str, m: str, d: str) -> Column:
@@ -341,7 +343,7 @@ def _labelled(rows: DataFrame, reps: DataFrame, comp: DataFrame | None) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame | None:
+def _verified(sides: dict[str, DataFrame], pairs: DataFrame) -> DataFrame | None:
     """Those of the pairs (a, b) of nodes that link, by their bitmaps and then by their sets; None if there are no pairs."""
     import pyarrow as pa
 
@@ -366,9 +368,9 @@ def _verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame | None:
         return 100 * common >= PERCENT * (n + m - common)
 
     def beside(p: DataFrame, what: str) -> DataFrame:
-        side = lambda x: nodes.select(F.col("no").alias(x), *[F.col(c).alias(x + c) for c in ("n", "c", what)])
+        side = lambda x: sides[what].select(F.col("no").alias(x), *[F.col(c).alias(x + c) for c in ("n", "c", what)])
         # the pivots' side first, which may be few nodes with many pairs each, so that little is moved with it
-        both = p.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+        both = p.join(side("a"), "a").join(side("b"), "b")
         return both.select("a", "b", *[x + c for x in "ab" for c in ("n", "c", what)])
 
     maybe = stash(beside(left, "bits").mapInArrow(checked(possible), "a long, b long"), "maybe")
