@@ -5,13 +5,15 @@ is shared again by weight among the others. Whole epochs of a source are taken f
 are taken in the order of exponential keys, divided by the document's quality weight, until the sizes before
 them use up the source's budget.
 
-The order is not sorted in one task: keys are counted in buckets of equal probability, the bucket in which a
-source's budget ends is found from the buckets' sums, and only the documents of that bucket are ranked. What
-remains of a source is its number of epochs and one cutting key, and documents are compared with that.
+The order is not sorted in one task: keys are counted in buckets, the bucket in which a source's budget ends is
+found from the buckets' sums, and only the documents of that bucket are ranked. Buckets are equal steps of the
+key's logarithm, whose density is the same whatever the weights, so that none has more than a fraction of a
+percent of a source; the more rows, the finer they are. What remains of a source is its number of epochs and one
+cutting key, and documents are compared with that.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is one source, last in order; rows
-that repeat have one key and stand or fall together; if all sizes are 0 all targets are 0; an empty table
-gives an empty result.
+that repeat are numbered and drawn one by one; if all sizes are 0 all targets are 0; an empty table gives an
+empty result; columns named as those added are replaced.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, stash, words
+from .common import numbered, small, stash, words
 
 #: Weights of the sources in order of code points, repeating; share of all sizes; most epochs of a source.
 WEIGHTS, SHARE, MAX_EPOCHS = (3.0, 1.0, 2.0), 1.5, 2.0
-BUCKETS = 4096
+#: Buckets for each doubling of the key, at least, and rows for each more.
+BUCKETS, BUCKET_ROWS = 256, 100_000
 SEED = 20240
 
 
@@ -64,11 +67,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     added = ["size", "source_size", "target", "copies"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in added]
     hashed = F.xxhash64(F.lit(SEED), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col(text))
+    rows = docs.select(F.struct(*carry).alias("_row"), F.col(source).alias("_s"), F.size(words(F.col(text))).cast("long").alias("size"), hashed.alias("_g"), quality_weight(F.col(text)).alias("_w"), F.spark_partition_id().alias("_p"))
+    rows = numbered(stash(rows, "mix"), "_g", "_p", "_o").withColumn("_h", F.when(F.col("_o") == 0, F.col("_g")).otherwise(F.xxhash64("_g", "_o")))
     u = (F.shiftrightunsigned("_h", 11) + F.lit(0.5)) / float(1 << 53)
-    rows = docs.select(*carry, F.col(source).alias("_s"), F.size(words(F.col(text))).cast("long").alias("size"), hashed.alias("_h"), quality_weight(F.col(text)).alias("_w"))
-    rows = stash(rows.withColumn("_k", -F.log(u) / F.col("_w")).drop("_w"), "mix")
-    # buckets of a key that rises as the key does, filled about evenly for weights near 1
-    bucket = F.least(F.floor((1 - F.exp(-F.col("_k"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    rows = rows.withColumn("_k", F.greatest(-F.log(u) / F.col("_w"), F.lit(1e-300))).select("_row", "_s", "size", "_h", "_k")
+    bucket = F.floor(F.log2("_k") * max(BUCKETS, rows.count() // BUCKET_ROWS))
     sums = stash(rows.groupBy(F.col("_s").alias("source"), bucket.alias("b")).agg(F.sum("size").alias("size")), "buckets")
     sources = stash(mix_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     epochs = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
@@ -89,7 +92,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     # no bucket ends the budget: it is 0
     picked = F.when(F.col("_cut"), first).otherwise(F.lit(False))
     copies = (F.col("epochs") + picked.cast("long")).cast("long")
-    return out.select(*carry, "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long")).alias("copies"))
+    return out.select("_row.*", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long")).alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, **names) -> DataFrame:
