@@ -6,28 +6,33 @@ every range are then counted over all records; a range with more than its part (
 subdivided by more bits of the key, and where all texts are equal by the hash of the id. Ranges in key order
 go to shards by their running bytes.
 
+Equal texts are in one shard unless a shard's border falls into their range or, when they have more than a range's
+part of all bytes, among their subdivisions: then they are in neighbouring shards, as sizes go first.
+
 Defined results: a null text has no bytes (size 1) and the checksum of the empty text; a null doc_id is a
-value like others; records that agree in everything lie in one subdivision, one after the other; an empty
-table gives an empty result; clashing columns are replaced.
+value like others; records that agree in id and text are numbered and told apart by that; an empty table gives an
+empty result; columns named as those added are replaced.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import numbered, stash
 
-#: Fine ranges per shard, keys drawn per range, parts of an overfull range of several texts. All are independent of the input.
-RANGES_PER_SHARD, DRAWN_PER_RANGE, PARTS = 64, 16, 64
+#: Fine ranges per shard, at least and at most, and rows for each more; keys drawn per range; parts of an overfull range
+#: of several texts.
+RANGES_PER_SHARD, MOST_RANGES, RANGE_ROWS, DRAWN_PER_RANGE, PARTS = 64, 1024, 20_000, 16, 64
 
 
 def _range_of(key: Column, splitters: list[int]) -> Column:
     """Number of splitters at or below the key, found in two steps through literal arrays."""
-    step = 64
+    step = max(64, isqrt(len(splitters)))
     blocks = [splitters[i : i + step] for i in range(0, len(splitters), step)]
     if not blocks:
         return F.lit(0)
@@ -40,20 +45,21 @@ def _range_of(key: Column, splitters: list[int]) -> Column:
 def shard(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns by default) with size, text_crc32, shard and slot.
 
-    The driver holds the sampled keys (about RANGES_PER_SHARD * DRAWN_PER_RANGE * shards) and a line for each
-    subdivision; both depend on the number of shards alone.
+    The driver holds the sampled keys (DRAWN_PER_RANGE for each range, of which a shard has MOST_RANGES at most) and a
+    line for each subdivision.
     """
     added = ["size", "text_crc32", "shard", "slot"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in added]
     t = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = stash(docs.select(
-        *carry, (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(t), 2).alias("_t"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), t).alias("_d")), "shard")
-    total = rows.agg(F.sum("size")).first()[0]
+        F.struct(*carry).alias("_row"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"),
+        F.shiftrightunsigned(F.xxhash64(t), 2).alias("_t"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), t).alias("_g"), F.spark_partition_id().alias("_i")), "shard")
+    total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not total:
-        return rows.select(*carry, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return rows.select("_row.*", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    rows = numbered(rows, "_g", "_i", "_o").withColumn("_d", F.when(F.col("_o") == 0, F.col("_g")).otherwise(F.xxhash64("_g", "_o"))).drop("_g", "_i", "_o")
     # 1. keys drawn in proportion to size
-    n_ranges = shards * RANGES_PER_SHARD
+    n_ranges = shards * min(MOST_RANGES, max(RANGES_PER_SHARD, count // (shards * RANGE_ROWS)))
     chance = F.col("size") * (n_ranges * DRAWN_PER_RANGE / total)
     drawn = (F.xxhash64(F.lit("draw"), "_d").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) < chance
     keys = sorted(r[0] for r in rows.filter(drawn).select("_t").collect())
@@ -92,4 +98,4 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc
     # slots: places within a subdivision, after those of the subdivisions before it
     within = F.row_number().over(W.partitionBy("_r", "_p", "_q").orderBy("_t", "_d"))
     out = cut.withColumn("_n", within).join(F.broadcast(dealt), ["_r", "_p", "_q"])  # a line per subdivision, counted above
-    return out.select(*carry, "size", "text_crc32", "shard", (F.col("_first") + F.col("_n") - 1).alias("slot"))
+    return out.select("_row.*", "size", "text_crc32", "shard", (F.col("_first") + F.col("_n") - 1).alias("slot"))
