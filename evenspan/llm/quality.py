@@ -5,8 +5,8 @@ shrunk towards the mean of all hosts by an empirical beta prior, and the verdict
 back to the document, which it decides together with the document's own base rules.
 
 Defined results: a null or empty text has no words and fails the base rules; a null source is a host of its
-own; rows that repeat, or share a doc_id, are judged one by one; columns of the input whose names clash
-with the added ones are replaced; an empty table gives an empty result.
+own; rows that repeat, or share a doc_id, are judged one by one; columns of the input named as the added ones
+are replaced, and other names are the caller's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -114,13 +114,11 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", car
 
     The measured rows are written once; hosts are counted from there, so that no text is read twice.
     """
-    carry = docs.columns if carry is None else carry
     names = [*MEASURES, "base_failed", "failed"]
-    rows = measured(docs, text).withColumn("_host", F.col(host))
-    rows = stash(rows.select(*[c for c in carry if c not in names], "_host", *names), "quality")
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in (*names, "host_rate", "host_rejected", "kept")]
+    rows = measured(docs.select(F.struct(*carry).alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_host")), "_text")
+    rows = stash(rows.select("_row", "_host", *names), "quality")
     hosts = host_verdicts(rows, "_host").select("host", "host_rate", "host_rejected")
-    hosts = hosts.withColumnsRenamed({"host": "_h", "host_rate": "_rate", "host_rejected": "_bad"})
-    out = rows.join(small(hosts), F.col("_host").eqNullSafe(F.col("_h")))
-    kept = ~F.col("base_failed") & ~F.col("_bad") & (~F.col("failed") | (F.col("_rate") <= TRUST_RATE))
-    keep = [c for c in carry if c not in (*names, "host_rate", "host_rejected", "kept")]
-    return out.select(*keep, *names, F.col("_rate").alias("host_rate"), F.col("_bad").alias("host_rejected"), kept.alias("kept"))
+    out = rows.join(small(hosts), F.col("_host").eqNullSafe(F.col("host")))
+    kept = ~F.col("base_failed") & ~F.col("host_rejected") & (~F.col("failed") | (F.col("host_rate") <= TRUST_RATE))
+    return out.select("_row.*", *names, "host_rate", "host_rejected", kept.alias("kept"))
