@@ -4,19 +4,17 @@ A line is the set of its five-word shingles (fewer words are one shingle). A lin
 it, by doc_id and then place, has a Jaccard similarity of 0.8 or more to it, be it in the same document or in
 another. Lines without words are no lines here and stay.
 
-Tokens of a line are ordered by rarity, counted over all lines in hashed counters; two similar lines share one
-of their first n - ceil(0.8 n) + 1 tokens. Lines of equal sets are one class, whose first occurrence stands
-for it. Classes that share a prefix token are candidates if their sizes and the token's places allow the
-overlap; they are verified on the whole sets. Each class is held against the first class of its tokens at
-first, and only what that leaves unmatched is held against the others before it.
-
-Texts are read once for their tokens, which are kept as 32-bit numbers. Two tokens that share a number can
-only make lines look more alike, so a pair that matches by them is confirmed on 64-bit tokens made from the
-texts of the documents concerned.
-
-Defined results: a null text is null again, with no lines; null ids come first in order; rows with the same
-doc_id and text are one row, and what goes from one goes from the other; an empty table gives an empty result;
-clashing columns are replaced.
+Two similar lines share one of the first n - ceil(0.8 n) + 1 tokens of either, in any order of all tokens. At
+first the order is that of the first words' hashes, so that only a fifth of a line's shingles have to be made;
+lines none of which another line has go out of the join. Of the others, those of equal text are one class, whose
+first occurrence stands for it. Their tokens are ordered by rarity, counted over them in hashed counters, and
+classes that share a prefix token are candidates if their sizes and the token's places allow the overlap; they
+are verified on the whole sets. Each class is held against the first class of its tokens, then the second, as
+long as that leaves clearly fewer pairs; only what is still unmatched is held against all before it.
+
+Defined results: a null text is null again, with no lines; null ids come first in order; of rows with the same
+doc_id and text one keeps its lines as they are judged, and the others, which repeat them, lose all lines with
+words; an empty table gives an empty result; columns named n_lines or removed_lines are replaced.
 """
 
 from __future__ import annotations
@@ -24,129 +22,196 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, NOT_SPACE, drop, let, small, stash, words
+from .common import NOT_SPACE, drop, let, small, stash, tidy, words
 
 SHINGLE = 5
 #: Counters of the rarity estimate; each counts the tokens of one hash.
 COUNTERS = 1 << 15
 #: Rows of one or two numbers that may be broadcast, counted first.
 BROADCAST_KEYS = 600_000
+#: Bits of a packed first word that hold its place; the other bits hold a hash.
+PLACE_BITS = 24
+PLACE = (1 << PLACE_BITS) - 1
+#: Pairs for each row that need no further round of first classes; the share of them that a round must leave at most.
+PAIRS_PER_ROW, WORTH = 4, 0.7
+
+
+def _whole(w: Column) -> Column:
+    """The one token of a line of few words."""
+    return F.array(F.xxhash64(F.array_join(w, " ")))
+
+
+def _at(w: Column, i: Column) -> Column:
+    """The shingle of the words from place i."""
+    return F.xxhash64(F.get(w, i), *[F.get(w, i + k) for k in range(1, SHINGLE)])
+
+
+def _every(w: Column) -> Column:
+    # the last SHINGLE - 1 places have no whole shingle
+    return F.array_distinct(F.transform(F.slice(w, F.lit(1), F.size(w) - (SHINGLE - 1)), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])))
 
 
 def shingles(line: Column) -> Column:
     """Distinct 64-bit shingle hashes of a line, unsorted; empty without words."""
+    return let(words(line), lambda w: F.when(F.size(w) >= SHINGLE, _every(w)).when(F.size(w) > 0, _whole(w)).otherwise(F.array().cast("array<long>")))
+
+
+def shown(line: Column) -> Column:
+    """Tokens of a line of which every similar line has one: those whose first words' hashes come first, a fifth of
+    the places and one more. With a first word all its places are taken. Where shingles repeat, so that they
+    are fewer than that, all of the line's."""
+    keep, low = F.lit(~PLACE).cast("long"), F.lit(PLACE).cast("long")
+
     def build(w):
-        n = F.size(w)
-        # the last SHINGLE - 1 places have no whole shingle
-        every = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
-        return F.when(n >= SHINGLE, F.array_distinct(F.slice(every, F.lit(1), n - (SHINGLE - 1)))).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<long>"))
+        n = F.size(w) - (SHINGLE - 1)
+        need = F.floor(n / 5).cast("int") + 1
+        firsts = F.sort_array(F.transform(F.slice(w, F.lit(1), n), lambda x, i: F.xxhash64(x).bitwiseAND(keep).bitwiseOR(i.cast("long"))))
+
+        def picked(f):
+            return let(F.element_at(f, need).bitwiseOR(low), lambda last: F.array_distinct(F.transform(F.filter(f, lambda v: v <= last), lambda v: _at(w, v.bitwiseAND(low).cast("int")))))
+
+        enough = let(let(firsts, picked), lambda p: F.when(F.size(p) >= need, p).otherwise(_every(w)))
+        return F.when(F.size(w) < SHINGLE, _whole(w)).when(n > PLACE, _every(w)).otherwise(enough)
 
     return let(words(line), build)
 
 
-def rarity_levels(tokens: DataFrame) -> Column:
+def rarity_levels(sets: DataFrame) -> Column:
     """A constant array: for each counter the doublings by which it is above the usual one, 31 at most."""
-    counted = tokens.select(F.explode("s").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).count()
-    got = dict(counted.collect())  # no more lines than counters
+    counted = sets.select(F.explode("s").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(COUNTERS - 1)).alias("c")).count()
+    with tidy(sets.sparkSession):
+        got = dict(counted.collect())  # no more lines than counters
     usual = sorted(got.get(i, 0) for i in range(COUNTERS))[COUNTERS // 2]
     over = [max(0.0, got.get(i, 0) - usual - 4 * usual**0.5) for i in range(COUNTERS)]
     return F.split(F.lit(",".join(str(min(31, int(x).bit_length())) for x in over)), ",").cast("array<long>")
 
 
 def by_rarity(tokens: Column, levels: Column) -> Column:
-    """The tokens in order: rarity in the upper half of a number, the token in the lower."""
+    """The tokens in order: rarity in the upper five bits of a number, the token without its lowest bits in the others."""
     level = lambda h: F.get(levels, h.bitwiseAND(F.lit(COUNTERS - 1)))
-    return F.sort_array(F.transform(tokens, lambda h: F.shiftleft(level(h), 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))))
+    return F.sort_array(F.transform(tokens, lambda h: F.shiftleft(level(h), 58).bitwiseOR(F.shiftrightunsigned(h, 6))))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, _t (hash of the text) and removed (the sorted numbers, from 0, of the lines that go) of each row that loses some."""
+    """_id, _t (hash of the text) and removed (the sorted numbers, from 0, of the lines that go) of each different row
+    that loses some."""
     base = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    n = F.size("s")
-    m = F.col("n")
-    at = base.select("_id", "_t", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    # a test of the tokens themselves would make them twice
-    at = at.filter(F.col("line").rlike(NOT_SPACE)).select("_id", "_t", "line_no", F.xxhash64("line").alias("c"), F.xxhash64(F.lit(1), "line").alias("c2"), shingles(F.col("line")).alias("s"))
-    at = at.select("_id", "_t", "line_no", "c", "c2", n.alias("n"), F.transform("s", lambda h: F.shiftright(h, 32).cast("int")).alias("s"))
-    at = stash(at, "lines")
-    # classes of equal lines: first occurrence, and how many
-    first = F.min(F.struct("_id", "_t", "line_no")).alias("first")
-    classes = stash(at.groupBy("c", "c2").agg(first, F.count(F.lit(1)).alias("times")), "classes")
-    # prefix tokens of several classes
-    lead = F.slice(by_rarity(F.col("s"), rarity_levels(at)), 1, m - F.ceil(m * 0.8 - 1e-9).cast("int") + 1)
-    leads = stash(at.select("c", "n", lead.alias("p")), "leads")
-    token = leads.select("c", "n", F.posexplode("p").alias("i", "h"))
-    several = token.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c9")).filter("c1 <> c9").select(F.col("h").alias("_h"))
-    several = stash(several, "several")
-    # one plan at every size: both sides are shuffled by token, skewed tokens are split
-    shared = stash(token.join(several.hint("merge"), F.col("h") == F.col("_h")).select("h", "c", "n", "i").distinct(), "shared")
-    drop(several, leads)
-    where = classes.select(F.col("c").alias("_c"), "first")
-    shared, bare = stash(shared.join(where, F.col("c") == F.col("_c")).drop("_c"), "placed"), shared
-    drop(bare)
-    hit = _matched(base, at, shared)
-    gone = classes.join(small(hit.withColumnRenamed("b", "_b"), BROADCAST_KEYS), F.col("c") == F.col("_b"), "left").filter("times > 1 or _b is not null")
-    gone = gone.select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), F.when(F.col("_b").isNull(), F.col("first")).alias("kept"))
-    out = at.select("_id", "_t", "line_no", "c", "c2").join(small(stash(gone, "gone"), 2 * BROADCAST_ROWS), (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")))
+    at = base.select("_id", "_t", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.col("line").rlike(NOT_SPACE))
+    at = stash(at.select("_id", "_t", "line_no", F.xxhash64("line").alias("c"), F.xxhash64(F.lit(1), "line").alias("c2"), shown(F.col("line")).alias("p")), "lines")
+    # classes of equal lines: first occurrence, and whether there are more
+    first, last = (f(F.struct("_id", "_t", "line_no")) for f in (F.min, F.max))
+    classes = stash(at.groupBy("c", "c2").agg(first.alias("first"), last.alias("last")), "classes")
+    hit = _matched(base, classes, _sharing(at))
+    gone = classes.join(small(hit.select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), F.lit(True).alias("_hit")), BROADCAST_KEYS), (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")), "left")
+    gone = gone.filter(~F.col("first").eqNullSafe(F.col("last")) | F.col("_hit")).select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), F.when(F.col("_hit").isNull(), F.col("first")).alias("kept"))
+    out = at.select("_id", "_t", "line_no", "c", "c2").join(small(stash(gone, "gone"), BROADCAST_KEYS), (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")))
     out = out.filter(~F.struct("_id", "_t", "line_no").eqNullSafe(F.col("kept")))
     out = stash(out.groupBy("_id", "_t").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
     drop(at, classes, hit)
     return out
 
 
-def _matched(base: DataFrame, at: DataFrame, shared: DataFrame) -> DataFrame:
-    """b: the classes that a class before them matches. shared: h, c, n, i (place of h), first."""
+def _sharing(at: DataFrame) -> DataFrame:
+    """The distinct c of lines that have a token another line has."""
+    token = at.select("c", F.explode("p").alias("h"))
+    held = token.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    held = stash(held, "held")
+    # of two lines both are known; of more the others are looked up
+    more = held.filter("n > 2").select(F.col("h").alias("_h"))
+    others = token.join(small(more, BROADCAST_KEYS), F.col("h") == F.col("_h"), "left_semi").select("c")
+    out = stash(held.select(F.explode(F.array("lo", "hi")).alias("c")).unionByName(others).distinct(), "sharing")
+    drop(held)
+    return out
+
+
+def _sets(base: DataFrame, who: DataFrame) -> DataFrame:
+    """no, n and s (the tokens) of the lines ``who``: no, first."""
+    need = who.groupBy(F.col("first._id").alias("_nid"), F.col("first._t").alias("_nt")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "no")).alias("q"))
+    need = stash(need, "need")
+    docs = base.join(small(need), F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_t") == F.col("_nt")))
+    made = docs.select(F.split("text", "\n", -1).alias("ls"), F.explode("q").alias("q")).select(F.col("q.no").alias("no"), shingles(F.get("ls", F.col("q.line_no"))).alias("s"))
+    sets = stash(made.select("no", F.size("s").alias("n"), "s"), "tokens")
+    if sets.count() > who.count():  # rows that repeat
+        sets, old = stash(sets.dropDuplicates(["no"]), "tokens"), sets
+        drop(old)
+    drop(need)
+    return sets
+
+
+def _matched(base: DataFrame, classes: DataFrame, sharing: DataFrame) -> DataFrame:
+    """c and c2 of the classes that a class before them matches."""
     def allowed(n: Column, m: Column, i: Column, j: Column) -> Column:
         return (10 * F.least(n, m) >= 8 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
 
-    def like(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-        # tokens of one line that share a number count as common, so that none of them is missed
-        common = F.size(F.array_intersect("sa", "sb")) + F.size("sa") - F.size(F.array_distinct("sa"))
-        return both.filter(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
-
-    def members(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+    who = classes.join(small(sharing.withColumnRenamed("c", "_c"), BROADCAST_KEYS), F.col("c") == F.col("_c"), "left_semi").select("c", "c2", "first")
+    # numbers in the order of the lines
+    who = stash(who.orderBy("first").withColumn("no", F.monotonically_increasing_id()), "who")
+    sets = _sets(base, who)
+    n = F.col("n")
+    lead = F.slice(by_rarity(F.col("s"), rarity_levels(sets)), F.lit(1), n - F.ceil(n * 0.8 - 1e-9).cast("int") + 1)
+    token = sets.select("no", "n", F.posexplode(lead).alias("i", "h"))
+    several = token.groupBy("h").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).filter("lo <> hi").select(F.col("h").alias("_h"))
+    # one plan at every size: both sides are shuffled by token, skewed tokens are split
+    rest = stash(token.join(several.hint("merge"), F.col("h") == F.col("_h")).select("h", "no", "n", "i", F.lit(False).alias("hit")), "shared")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that match by 32-bit tokens, then by the tokens of the texts."""
-        pairs = stash(pairs, "pairs")
-        rows = at.join(small(members(pairs), BROADCAST_KEYS), F.col("c") == F.col("x"), "left_semi")
-        sets = stash(rows.select("c", "s").dropDuplicates(["c"]), "sets")
-        maybe = stash(like(pairs, sets), "maybe")
-        drop(sets, pairs)
-        need = shared.select("c", "first").distinct().join(small(members(maybe), BROADCAST_KEYS), F.col("c") == F.col("x"), "left_semi")
-        need = need.groupBy(F.col("first._id").alias("_nid"), F.col("first._t").alias("_nt")).agg(F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "c")).alias("q"))
-        docs = base.join(small(stash(need, "need")), F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_t") == F.col("_nt")))
-        docs = docs.select(F.split("text", "\n", -1).alias("ls"), "q").select("ls", F.explode("q").alias("q"))
-        sets = docs.select(F.col("q.c").alias("c"), shingles(F.get("ls", F.col("q.line_no"))).alias("s"))
-        whole = stash(sets.dropDuplicates(["c"]), "whole")
-        hit = stash(like(maybe, whole).select("b").distinct(), "hit")
-        drop(whole, maybe)
-        return hit
-
-    head = shared.groupBy("h").agg(F.min(F.struct("first", "c", "n", "i")).alias("p")).select(F.col("h").alias("_h"), "p.*").withColumnsRenamed({"first": "_first", "c": "_c", "n": "_n", "i": "_i"})
-    led = shared.join(small(stash(head, "heads"), BROADCAST_ROWS), F.col("h") == F.col("_h")).filter("c <> _c")
-    near = allowed(F.col("n"), F.col("_n"), F.col("i"), F.col("_i"))
-    hit = verified(led.filter(near).select(F.col("_c").alias("a"), F.col("c").alias("b")).distinct())
-    # what is unmatched so far, against all before it but the first
-    still = led.join(small(hit, BROADCAST_KEYS), F.col("c") == F.col("b"), "left_anti").select("h", "c", "n", "i", "first").alias("y")
-    others = led.select("h", "c", "n", "i", "first").alias("x")
+        """b of the pairs (a, b) that match."""
+        side = lambda x: sets.select(F.col("no").alias(x), F.col("s").alias("s" + x))
+        both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+        return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("b").distinct()
+
+    hits, last, before = [], None, None
+    while True:
+        counts = rest.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("hit")).alias("u"))
+        with tidy(base.sparkSession):
+            rows_left, pairs_left = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("u") * F.col("n")), F.lit(0))).first()
+        if pairs_left <= PAIRS_PER_ROW * rows_left or (before is not None and pairs_left > WORTH * before):
+            break
+        before = pairs_left
+        # the first class of each token that was none yet, and those after it that nothing has matched
+        after = rest if last is None else rest.join(last.hint("merge"), F.col("h") == F.col("_l"), "left").filter("_no is null or no > _no")
+        head = stash(after.groupBy("h").agg(F.min(F.struct("no", "n", "i")).alias("p")).select(F.col("h").alias("_h"), F.col("p.no").alias("_a"), F.col("p.n").alias("_n"), F.col("p.i").alias("_i")), "heads")
+        led = rest.filter(~F.col("hit")).join(head.hint("merge"), F.col("h") == F.col("_h")).filter((F.col("no") > F.col("_a")) & allowed(F.col("n"), F.col("_n"), F.col("i"), F.col("_i")))
+        hit = stash(verified(stash(led.select(F.col("_a").alias("a"), F.col("no").alias("b")).distinct(), "pairs")), "hit")
+        hits.append(hit)
+        last = head.select(F.col("_h").alias("_l"), F.col("_a").alias("_no"))
+        marked = rest.join(small(hit.withColumnRenamed("b", "_b"), BROADCAST_KEYS), F.col("no") == F.col("_b"), "left")
+        marked = stash(marked.select("h", "no", "n", "i", (F.col("hit") | F.col("_b").isNotNull()).alias("hit")), "marked")
+        open_ = marked.filter("not hit").select(F.col("h").alias("_h")).distinct()
+        old, rest = rest, stash(marked.join(open_.hint("merge"), F.col("h") == F.col("_h"), "left_semi"), "rest")
+        drop(old, marked)
+    x, y = rest.alias("x"), rest.filter("not hit").alias("y")
     may = allowed(F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i"))
-    pairs = others.join(still, (F.col("x.h") == F.col("y.h")) & (F.col("x.first") < F.col("y.first")) & may)
-    more = verified(pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
-    every = stash(hit.unionByName(more).distinct(), "matched")
-    drop(hit, more, shared)
-    return every
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.no") < F.col("y.no")) & may)
+    hit = verified(stash(pairs.select(F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct(), "pairs"))
+    for h in hits:
+        hit = hit.unionByName(h)
+    out = stash(who.join(small(stash(hit.distinct(), "hits"), BROADCAST_KEYS), F.col("no") == F.col("b"), "left_semi").select("c", "c2"), "matched")
+    drop(rest, sets, who, sharing, *hits)
+    return out
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text cleaned, n_lines (before) and removed_lines."""
     gone = removed_lines(docs, key, text)
-    keep = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    rows = docs.select(*keep, F.xxhash64(F.col(text)).alias("_x"))
-    out = rows.join(small(gone), F.col(key).eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_t")), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    cleaned = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n"))
+    keep = [c for c in docs.columns if c not in ("n_lines", "removed_lines", text)]
+    rows = docs.select(F.struct(*keep).alias("_row"), F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_x"), F.col(text).alias("_text"))
+    named = lambda df, *names: df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)])
+    same = F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_t"))
+    lines = F.split(F.col("_text"), "\n", -1)
+    wordy = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(NOT_SPACE), i)), lambda i: i.isNotNull())
+    # rows that repeat: all but one lose their lines
+    twice = stash(rows.filter("_text is not null").groupBy("_k", "_x").count().filter("count > 1").select("_k", "_x"), "twice")
+    if twice.isEmpty():
+        rows = rows.withColumn("_again", F.lit(False))
+    else:
+        twice = named(twice, "_id", "_t")
+        some = stash(rows.join(small(twice), same, "left_semi").withColumn("_m", F.monotonically_increasing_id()), "again")
+        one = named(some.groupBy("_k", "_x").agg(F.min("_m").alias("_m")), "_id", "_t", "_one")
+        some = some.join(small(one), same).withColumn("_again", F.col("_m") != F.col("_one")).drop("_m", "_one", "_id", "_t")
+        rows = rows.join(small(twice), same, "left_anti").withColumn("_again", F.lit(False)).unionByName(some)
+    out = rows.join(small(gone), same, "left")
     none = F.array().cast("array<int>")
-    return out.select(*[c for c in keep if c != text], cleaned.alias(text), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce("removed", none).alias("removed_lines"))
+    out = out.withColumn("removed", F.when(F.col("_again"), wordy).otherwise(F.coalesce("removed", none)))
+    cleaned = F.when(F.size("removed") == 0, F.col("_text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n"))
+    return out.select("_row.*", cleaned.alias(text), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.col("removed").alias("removed_lines"))
