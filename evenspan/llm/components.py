@@ -8,12 +8,41 @@ from pyspark.sql import functions as F
 from .common import drop, small, stash
 
 
+#: Links that one task joins by itself: two numbers each, counted before.
+FEW_LINKS = 100_000
+
+
+def _by_one_task(links: DataFrame) -> DataFrame:
+    """The same from few links, by union and find."""
+    import pyarrow as pa
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        ids = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["id", "root"])
+
+    return stash(links.select("a", "b").filter("a <> b").coalesce(1).mapInArrow(run, "id long, root long"), "roots")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links``: a, b. One row per id that has a link: id, root (the smallest id of its component).
 
-    Alternates large-star and small-star steps until nothing would change; the number of rounds grows with the
+    A few links are joined in one task. Of more it alternates large-star and small-star steps until nothing would change; the number of rounds grows with the
     logarithm of the longest chain. What a round leaves is written to the shared folder.
     """
+    if links.count() <= FEW_LINKS:
+        return _by_one_task(links)
     edges = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     while True:
         # pairs (a, b) with b smaller: a state is final when every a has one b and no b is an a

@@ -19,6 +19,13 @@ from pyspark.sql.types import ArrayType, DataType
 BLOCK_TOKENS, PART_TOKENS = 4_000_000, 1_000_000
 
 
+def scattered(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits one to one to others, evenly spread."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def parts_for(tokens: int) -> int:
     """How many parts so many tokens are dealt to: a power of two."""
     return 1 << max(4, (max(1, tokens // PART_TOKENS) - 1).bit_length())
@@ -36,7 +43,7 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 def send(df: DataFrame, parts: int, facts: dict[str, str], work: Callable[[list], Iterator[tuple[list, np.ndarray]]]) -> DataFrame:
     """Blocks of the rows of ``df``, whose first column is the key. ``work`` makes of the columns of a batch, as
-    lists, for each row its facts (of the named types) and its distinct tokens. A block has a head (part -1:
+    lists, for each row its facts (of the named types) and its distinct tokens, hashes that are scattered here. A block has a head (part -1:
     keys, facts, which document has which token) and a row for each part with the tokens, sorted, and their
     counts within the block."""
     import pyarrow as pa
@@ -49,9 +56,10 @@ def send(df: DataFrame, parts: int, facts: dict[str, str], work: Callable[[list]
 
     def packed(block: int, rows: list, tokens: list) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(t) for t in tokens])
-        every = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        # another order than that of the hashes, by which prefixes are taken
+        every = scattered(np.concatenate(tokens) ^ np.uint64(0x5BD1E995)) if tokens else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(tokens), dtype=np.uint32), lengths)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         every, owner = every[order], owner[order]
         first = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
         at = np.flatnonzero(first)
@@ -100,7 +108,7 @@ def answers(blocks: DataFrame) -> DataFrame:
     def add(key, table):
         sent = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
         counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint16) for x in table.column("counts").to_pylist()])
-        order = np.argsort(every := np.concatenate(sent), kind="stable")
+        order = np.argsort(every := np.concatenate(sent))
         every = every[order]
         new = np.concatenate([[True], every[1:] != every[:-1]])
         total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))

@@ -13,7 +13,7 @@ token and band of sizes.
 
 Equal sets are one node. In each round the nodes of a token are paired with one of them, the pivot; what links
 joins the pivot's component. A pair within a component needs no test, so a large family of near copies costs
-about as many pairs as it has members. Rounds end when the pairs across components are few for each row, or when
+about as many pairs as it has members. After a first round they end when the pairs across components are few for each row, or when
 a round no longer makes them much fewer; then all pairs that are left across components are formed, so that no
 link between components is lost. Pairs are held against bitmaps of their common tokens, then against the sets.
 
@@ -34,7 +34,7 @@ from pyspark.sql.types import DataType
 
 from .common import drop, small, stash, tidy
 from .components import components
-from .holders import answers, count_of, parts_for, send, told
+from .holders import answers, count_of, parts_for, scattered, send, told
 
 WORDS, PERCENT = 5, 80
 #: Of n tokens n // SLACK more than the plain prefix are shown to others at first.
@@ -45,45 +45,44 @@ SPARE, CANDIDATES_PER_MATCH = 16, 4
 PAIRS_PER_ROW, WORTH = 16, 0.7
 #: Rows of one or two numbers that may be broadcast, counted first.
 BROADCAST_KEYS = 300_000
-#: Texts are hashed in groups of about so many bytes.
-GROUP_BYTES = 1_000_000
+#: Texts are hashed in groups of about so many bytes, whose numbers stay in a core's cache.
+GROUP_BYTES = 200_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: A number for each byte; powers of the base and of its inverse, as far as they were needed.
+_LETTERS = scattered(np.arange(1, 257, dtype=np.uint64))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: What the words of a shingle are multiplied by.
+_PLACES = scattered(np.arange(301, 301 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
-def _word_hashes(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of each word of lower-cased bytes, all words at once."""
-    space = _SPACE[data]
-    word = ~space
-    starts = np.flatnonzero(word & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(word & np.concatenate([space[1:], [True]])) + 1
-    letters = _mix(np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * seed))[data]
-    letters[space] = 0
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            steps = np.full(max(n, 2 * GROUP_BYTES), base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS[0], _POWERS[1]
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word of lower-cased bytes, all words at once: differences of running sums of
+    letter * base**place, brought to the place 0."""
+    word = (data != 32) & (data - np.uint8(9) > 4)
+    starts = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]]))
     if not len(starts):
         return starts, np.zeros(0, dtype=np.uint64)
-    # a sum of letter * base**(place in the word) for each word
-    place = np.zeros(len(data), dtype=np.int64)
-    place[starts[0] :] = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    top = int((ends - starts).max())
-    powers = np.empty(top + 1, dtype=np.uint64)
-    powers[0] = 1
-    powers[1:] = _BASE
-    powers = np.multiply.accumulate(powers)
-    terms = letters * powers[np.minimum(place, top)]
-    sums = np.add.reduceat(terms, starts)
-    return starts, _mix(sums + (ends - starts).astype(np.uint64))
-
-
-def shingle_sets(texts: list[str | None], seed: int = 0) -> Iterator[np.ndarray]:
+    ends = np.flatnonzero(word & np.concatenate([~word[1:], [True]])) + 1
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_LETTERS[data] * up[: len(data)], out=sums[1:])
+    return starts, scattered((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; few words are one shingle, none are none."""
     raw = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
     at = 0
@@ -94,22 +93,21 @@ def shingle_sets(texts: list[str | None], seed: int = 0) -> Iterator[np.ndarray]
             stop += 1
         part = raw[at:stop]
         data = np.frombuffer(b" ".join(part) + b" ", dtype=np.uint8)
-        starts, h = _word_hashes(data, seed)
+        starts, h = _word_hashes(data)
         bounds = np.cumsum([0] + [len(x) + 1 for x in part])
         cuts = np.searchsorted(starts, bounds)
         n = len(h)
-        with np.errstate(over="ignore"):
-            s = np.zeros(n, dtype=np.uint64)
-            for k in range(WORDS):
-                s[: n - k] = _mix(s[: n - k] * np.uint64(3) + h[k:]) if n > k else s[: n - k]
+        s = np.zeros(n, dtype=np.uint64)
+        for k in range(min(WORDS, n)):
+            s[: n - k] += h[k:] * _PLACES[k]
+        s = scattered(s)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a >= WORDS:
                 yield np.unique(s[a : b - WORDS + 1])
             elif b > a:
-                v = np.zeros(1, dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    for x in h[a:b]:
-                        v = _mix(v * np.uint64(5) + x)
+                v = np.full(1, b - a, dtype=np.uint64)
+                for x in h[a:b]:
+                    v = scattered(v * np.uint64(5) + x)
                 yield v
             else:
                 yield np.zeros(0, dtype=np.uint64)
@@ -117,13 +115,8 @@ def shingle_sets(texts: list[str | None], seed: int = 0) -> Iterator[np.ndarray]
 
 
 def _node(s: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set."""
-    if not len(s):
-        return 0, 0
-    with np.errstate(over="ignore"):
-        a = int(np.add.reduce(_mix(s + np.uint64(11))).astype(np.int64))
-        b = int(np.bitwise_xor.reduce(_mix(s + np.uint64(77))).astype(np.int64))
-    return a, b
+    """Two 64-bit hashes of a set, whose members are hashes already."""
+    return int(np.add.reduce(s).view(np.int64)), int(np.bitwise_xor.reduce(s * _BASE).view(np.int64)) if len(s) else 0
 
 
 def needed(n, m):
@@ -137,9 +130,9 @@ def plain_length(n):
 
 
 def shown(s: np.ndarray) -> np.ndarray:
-    """The tokens that a document shows at first: more than a plain prefix by hash, in another order."""
+    """The tokens that a document shows at first: more than a plain prefix by hash."""
     n = len(s)
-    return _mix(s[: plain_length(n) - 1 + max(1, n // SLACK)] ^ np.uint64(0x5BD1E995)) if n else s
+    return s[: plain_length(n) - 1 + max(1, n // SLACK)] if n else s
 
 
 def must_see(n: np.ndarray) -> np.ndarray:
@@ -230,7 +223,7 @@ def _nodes(texts: DataFrame, alive: DataFrame, reps: DataFrame) -> DataFrame:
     def work(cols):
         for node, chk, s in zip(cols[1], cols[2], shingle_sets(cols[3]), strict=True):
             # another text of the same id is not the one looked for
-            yield ([len(s)], _mix(s ^ np.uint64(0x5BD1E995))) if _node(s) == (node, chk) else (None, s)
+            yield ([len(s)], s) if _node(s) == (node, chk) else (None, s)
 
     tokens = reps.agg(F.sum("n")).first()[0]
     blocks = stash(send(chosen, parts_for(tokens), {"n": "long"}, work), "whole")
@@ -281,7 +274,8 @@ def _linked(nodes: DataFrame) -> DataFrame | None:
         each = each.groupBy("h", "band").agg(F.sum("l").alias("l"), F.sum("s").alias("s"), F.sum(F.col("l") * F.col("s")).alias("own"))
         with tidy(nodes.sparkSession):
             rows_left, pairs_left = each.agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum(F.col("l") * F.col("s") - F.col("own")), F.lit(0))).first()
-        if pairs_left <= PAIRS_PER_ROW * rows_left or (before is not None and pairs_left > WORTH * before):
+        # one round is made at every size
+        if not pairs_left or (before is not None and (pairs_left <= PAIRS_PER_ROW * rows_left or pairs_left > WORTH * before)):
             break
         before = pairs_left
         # the nodes of a token with one of them that was no pivot yet: one whose tokens others have too stands in the

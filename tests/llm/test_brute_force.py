@@ -146,9 +146,13 @@ def test_near_families(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_documents(d).collect()} == components(rows)
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_long_chains(spark, monkeypatch, few):
+    from evenspan.llm import components as C
     from evenspan.llm.components import components as connected
 
+    monkeypatch.setattr(C, "FEW_LINKS", few)
+
     links = [(k, k + 1) for k in range(60)] + [(100, 105), (105, 103)] + [(200, k) for k in range(201, 230)]
     got = {r["id"]: r["root"] for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 103: 100, 105: 100, **{k: 200 for k in range(200, 230)}}
