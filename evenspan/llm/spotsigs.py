@@ -12,6 +12,8 @@ first. An empty table gives an empty result; clashing columns are replaced.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ ANCHORS = (
     "con", "del", "el", "es", "las", "lo", "los", "no", "para", "por", "se", "su", "y",
 )
 CHAIN = 2
-#: Documents of a bucket in which neighbours are found, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 4000, 4096
+#: Documents of a bucket in which neighbours are found, the most buckets, and ids drawn for each.
+BUCKET_ROWS, MOST_BUCKETS, DRAWN = 4000, 16384, 12
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -63,14 +65,17 @@ def pruned_jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
             .when(F.least(n, m) < least * F.greatest(n, m), F.lit(0.0)).otherwise(common / (n + m - common)))
 
 
-def _splitters(docs: DataFrame, key: str) -> list[int]:
-    """Quantiles of the ids, one for each bucket but the first: some thousands at most."""
+def _splitters(docs: DataFrame, key: str) -> list:
+    """Quantiles of ids drawn by hash, one for each bucket but the first; the driver gets about DRAWN for each. Ids may be
+    of any type that Python orders as Spark does: numbers, texts, dates."""
     n = docs.filter(F.col(key).isNotNull()).count()
     buckets = min(MOST_BUCKETS, n // BUCKET_ROWS + 1)
     if buckets < 2:
         return []
-    cuts = [i / buckets for i in range(1, buckets)]
-    return sorted(set(docs.agg(F.percentile_approx(key, cuts, 10 * buckets).alias("q")).first()[0]))
+    chance = min(1.0, DRAWN * buckets / n)
+    draw = F.pmod(F.xxhash64(F.lit("next"), F.col(key)), F.lit(1 << 30)) < int(chance * (1 << 30))
+    ids = sorted(r[0] for r in docs.filter(F.col(key).isNotNull() & draw).select(key).collect())
+    return sorted({ids[len(ids) * i // buckets] for i in range(1, buckets)}) if ids else []
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,9 +88,9 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bucket = F.lit(0)
     if splits:
-        step = 64
+        step = max(64, isqrt(len(splits)))
         blocks = [splits[i : i + step] for i in range(0, len(splits), step)]
-        array = lambda v: F.array(*[F.lit(x).cast("long") for x in v])
+        array = lambda v: F.array(*[F.lit(x).cast(docs.schema[key].dataType) for x in v])
         at = F.greatest(F.size(F.filter(array([b[0] for b in blocks]), lambda s: s <= F.col(key))) - 1, F.lit(0))
         bucket = F.when(F.col(key).isNull(), F.lit(0)).otherwise(at * step + F.size(F.filter(F.get(F.array(*[array(b) for b in blocks]), at), lambda s: s <= F.col(key))))
     rows = rows.withColumn("_b", bucket)
@@ -109,7 +114,7 @@ def spot_pairs(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: s
 
     Documents of equal fingerprints are one class. Classes are partitioned by set length into bands whose
     lengths grow by 1/least, so partners lie in the same or the next band; within a band they meet by the
-    signatures of a prefix long enough that none is lost.
+    signatures of a prefix in order of rarity, long enough that none is lost.
     """
     sig = docs.select(F.col(key), signatures(F.col(text)).alias("s")).withColumn("f", fingerprint(F.col("s")))
     sig = stash(sig, "signatures")
@@ -117,8 +122,13 @@ def spot_pairs(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: s
     members = sig.join(classes.select("f", "class_id"), "f").select(key, "class_id", F.size("s").alias("n_signatures"))
     n = F.size("s")
     band = F.floor(F.log(n) / F.log(F.lit(1 / least)) + 1e-9).cast("int")
-    lead = F.slice("s", 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)
-    keyed = classes.filter(n > 0).select(F.col("class_id").alias("id"), "f", n.alias("n"), band.alias("band"), F.explode(lead).alias("g"))
+    # signatures that few classes have come first
+    every = classes.filter(n > 0).select(F.col("class_id").alias("id"), "f", n.alias("n"), band.alias("band"), F.explode("s").alias("g"))
+    held = every.groupBy(F.col("g").alias("_g")).agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    placed = every.join(held.hint("merge"), F.col("g") == F.col("_g")).groupBy("id", "f", "n", "band").agg(F.array_sort(F.collect_list(F.struct("held", "g"))).alias("o"))  # a class's own signatures
+    # those that no other class has come before all others: they only take places in the prefix
+    lead = F.slice("o", F.lit(1), F.greatest(F.size("o") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1, F.lit(0)))
+    keyed = stash(placed.select("id", "f", "n", "band", F.explode(lead).alias("x")).select("id", "f", "n", "band", F.col("x.g").alias("g")), "keyed")
     meet = keyed.alias("a").join(keyed.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("b"),
                                  (F.col("a.g") == F.col("b.g")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.f") != F.col("b.f"))
                                  & (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n")))
