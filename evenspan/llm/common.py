@@ -136,16 +136,16 @@ def numbered(rows: DataFrame, by: str, part: str, out: str) -> DataFrame:
     """Stashed ``rows`` with the number, from 0, of each among the rows that have the same ``by``. ``part`` is the task
     that wrote the row: within a task rows are numbered by a window, and tasks follow each other, so that
     however many rows agree no more of them meet than a task had."""
-    twice = stash(rows.groupBy(F.col(by).alias("_o")).count().filter("count > 1").select("_o"), "twice")
+    twice = stash(rows.groupBy(F.col(by).alias("_same")).count().filter("count > 1").select("_same"), "twice")
     if twice.isEmpty():
         return rows.withColumn(out, F.lit(0).cast("long"))
-    again = stash(rows.join(small(twice), F.col(by) == F.col("_o"), "left_semi"), "again")
-    tasks = again.groupBy(F.col(by).alias("_o"), F.col(part).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("_o").orderBy("_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    tasks = stash(tasks.select("_o", "_q", before.alias("_before")), "tasks")
-    mine = again.withColumn("_i", F.row_number().over(W.partitionBy(by, part).orderBy(F.lit(0))))
-    mine = mine.join(small(tasks), (F.col(by) == F.col("_o")) & (F.col(part) == F.col("_q"))).withColumn(out, F.col("_before") + F.col("_i") - 1)
-    once = rows.join(small(twice), F.col(by) == F.col("_o"), "left_anti").withColumn(out, F.lit(0).cast("long"))
+    again = stash(rows.join(small(twice), F.col(by) == F.col("_same"), "left_semi"), "again")
+    tasks = again.groupBy(F.col(by).alias("_same"), F.col(part).alias("_task")).agg(F.count(F.lit(1)).alias("_times"))
+    before = F.coalesce(F.sum("_times").over(W.partitionBy("_same").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tasks = stash(tasks.select("_same", "_task", before.alias("_before")), "tasks")
+    mine = again.withColumn("_place", F.row_number().over(W.partitionBy(by, part).orderBy(F.lit(0))))
+    mine = mine.join(small(tasks), (F.col(by) == F.col("_same")) & (F.col(part) == F.col("_task"))).withColumn(out, F.col("_before") + F.col("_place") - 1)
+    once = rows.join(small(twice), F.col(by) == F.col("_same"), "left_anti").withColumn(out, F.lit(0).cast("long"))
     return once.unionByName(mine.select(*once.columns))
 
 

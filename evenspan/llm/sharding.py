@@ -98,4 +98,6 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc
     # slots: places within a subdivision, after those of the subdivisions before it
     within = F.row_number().over(W.partitionBy("_r", "_p", "_q").orderBy("_t", "_d"))
     out = cut.withColumn("_n", within).join(F.broadcast(dealt), ["_r", "_p", "_q"])  # a line per subdivision, counted above
-    return out.select("_row.*", "size", "text_crc32", "shard", (F.col("_first") + F.col("_n") - 1).alias("slot"))
+    # in two steps, so that no name of the caller's is taken for one of these
+    added = F.struct("size", "text_crc32", "shard", (F.col("_first") + F.col("_n") - 1).alias("slot"))
+    return out.select("_row", added.alias("_added")).select("_row.*", "_added.*")
