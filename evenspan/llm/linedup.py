@@ -214,4 +214,6 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     none = F.array().cast("array<int>")
     out = out.withColumn("removed", F.when(F.col("_again"), wordy).otherwise(F.coalesce("removed", none)))
     cleaned = F.when(F.size("removed") == 0, F.col("_text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n"))
-    return out.select("_row.*", cleaned.alias(text), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.col("removed").alias("removed_lines"))
+    # in two steps, so that no name of the caller's is taken for one of these
+    added = F.struct(cleaned.alias(text), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.col("removed").alias("removed_lines"))
+    return out.select("_row", added.alias("_added")).select("_row.*", "_added.*")

@@ -92,7 +92,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     # no bucket ends the budget: it is 0
     picked = F.when(F.col("_cut"), first).otherwise(F.lit(False))
     copies = (F.col("epochs") + picked.cast("long")).cast("long")
-    return out.select("_row.*", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long")).alias("copies"))
+    # in two steps, so that no name of the caller's is taken for one of these
+    added = F.struct("size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long")).alias("copies"))
+    return out.select("_row", added.alias("_added")).select("_row.*", "_added.*")
 
 
 def mixed_rows(docs: DataFrame, **names) -> DataFrame:

@@ -121,4 +121,5 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", car
     hosts = host_verdicts(rows, "_host").select("host", "host_rate", "host_rejected")
     out = rows.join(small(hosts), F.col("_host").eqNullSafe(F.col("host")))
     kept = ~F.col("base_failed") & ~F.col("host_rejected") & (~F.col("failed") | (F.col("host_rate") <= TRUST_RATE))
-    return out.select("_row.*", *names, "host_rate", "host_rejected", kept.alias("kept"))
+    # in two steps, so that no name of the caller's is taken for one of these
+    return out.select("_row", F.struct(*names, "host_rate", "host_rejected", kept.alias("kept")).alias("_added")).select("_row.*", "_added.*")

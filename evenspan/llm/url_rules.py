@@ -145,5 +145,6 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RUL
     best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.col("weight")).alias("w"), "name", "verdict", "named")).alias("b"))
     best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "b")
     out = page.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-    return out.select("_row.*", "host", "path", F.when(F.col("b.named"), F.col("b.name")).alias("rule"),
-                      F.coalesce(F.col("b.verdict"), F.lit(default)).alias("verdict"), F.col("b.name").alias("pattern"))
+    # in two steps, so that no name of the caller's is taken for one of these
+    added = F.struct("host", "path", F.when(F.col("b.named"), F.col("b.name")).alias("rule"), F.coalesce(F.col("b.verdict"), F.lit(default)).alias("verdict"), F.col("b.name").alias("pattern"))
+    return out.select("_row", added.alias("_added")).select("_row.*", "_added.*")
