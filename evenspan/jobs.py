@@ -8,6 +8,7 @@ output path, else the frame itself.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from .operators import attention as A
 from .operators import corpus as C
 from .operators import design as D
 from .operators import encode as E
+from .operators import similarity as M
+from .operators import stats as T
 from .sources import files as S
 
 READERS: dict[str, Callable[..., DataFrame]] = {"csv": S.csv_documents, "jsonl": S.json_lines}
@@ -69,7 +72,7 @@ def create_indices(spark: SparkSession, cfg: dict, meta: DataFrame) -> DataFrame
     if targets:
         pool = pool.join(D.parallel_lengths(meta, cfg["source_lang"], targets), "dataset_idx", "left_semi")
     n = D.rounded_sample(cfg["sample_size"], k)
-    orders = len(list(D.permutations(range(k))))
+    orders = D.factorial(k)
     sets = D.sampled_sets(pool.select(F.col("dataset_idx").alias("seg_id"), "token_length"), k, n // orders, cfg.get("max_total_length"), cfg.get("seed", 0))
     out = D.permuted(sets, k).select((F.col("set_no") * orders + F.col("perm")).alias("doc_no"), "set_no", "perm", "segs")
     return _written(out, cfg.get("output_path"))
@@ -128,3 +131,20 @@ def clean_titles(lines: DataFrame) -> DataFrame:
 def vector_norms(frame: DataFrame) -> DataFrame:
     """Least and greatest length of a frame's embeddings, which a normalised store has at 1."""
     return frame.agg(F.min(V.norm(F.col("embedding"))).alias("lo"), F.max(V.norm(F.col("embedding"))).alias("hi"))
+
+
+def quantitative_results(runs: DataFrame, sims_of: Callable[[str], DataFrame], model: str, languages: list[str]) -> dict[str, DataFrame]:
+    """Every position statistic of every run of a model: the runs (name) are categorised, collected and measured, each
+    with its name in the column run. Runs are a line each; their similarities (doc_id, item, pos, sim) stay frames."""
+    names = [r["name"] for r in S.run_catalog(runs, model, languages).select("name").distinct().orderBy("name").collect()]
+    parts: dict[str, list[DataFrame]] = {}
+    for name in names:
+        sims = sims_of(name)
+        pairs, means = T.position_pairs(sims), T.item_means(sims)
+        one = {
+            "profile": M.profile(sims), "differences": T.position_differences(pairs), "welch": T.welch(pairs), "wilcoxon": T.wilcoxon(pairs),
+            "anova": T.rm_anova(means), "regression": T.clustered_ols(sims), "gini": T.gini(means),
+        }
+        for k, f in one.items():
+            parts.setdefault(k, []).append(f.withColumn("run", F.lit(name)))
+    return {k: reduce(DataFrame.unionByName, v) for k, v in parts.items()}

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 
 def incoming(att: DataFrame, first_row_only: bool = False) -> DataFrame:
     """doc_id, layer, k, w: attention into each token, heads averaged, over all query rows or the first only."""
@@ -110,8 +112,7 @@ def weighted_mass(mass: DataFrame, by: list[str]) -> DataFrame:
 
 def value_range(values: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Interpolated percentiles of the values that are numbers."""
-    v = values.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return v.agg(F.percentile(value, low).alias("lo"), F.percentile(value, high).alias("hi"))
+    return percentiles(values, [], value, {"lo": low, "hi": high})
 
 
 def compare_curves(curves: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import dense_number
+
 #: Fixed patterns: pages outside the article namespace, and templates or categories in the second column.
 NAMESPACE = r"(?i)wikipedia:|image:|talk:|file:|user:|help:|mediawiki:|\.(?:jpg|jpeg|png|gif|svg)|#"
 TEMPLATE = r"(?i)template:|category:"
@@ -86,26 +88,6 @@ def aligned(parallel: DataFrame, articles: DataFrame, n_langs: int) -> DataFrame
     return out.withColumn("id", F.concat(F.col("row_no").cast("string"), "lang")).select("row_no", "aligned_id", "lang", "wiki_pageid", "title", "text", "id")
 
 
-def dense_number(keys: DataFrame, order: str, name: str, block: int = 1_000_000) -> DataFrame:
-    """Distinct keys with their number from 0 in order, without ordering all in one task.
-
-    Keys are ranked within blocks by value; a block's first number is the count of the blocks before it.
-    """
-    ends = keys.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not ends["n"]:
-        return keys.withColumn(name, F.lit(0).cast("long"))
-    parts = max(1, ends["n"] // block)
-    width = (ends["hi"] - ends["lo"]) // parts + 1
-    k = keys.withColumn("_b", F.floor((F.col(order) - ends["lo"]) / width).cast("int"))
-    counts = sorted((r["_b"], r["count"]) for r in k.groupBy("_b").count().collect())  # a row per block
-    firsts, total = [], 0
-    for b, n in counts:
-        firsts.append((b, total))
-        total += n
-    at = F.broadcast(keys.sparkSession.createDataFrame(firsts, "_b int, _f long"))
-    return k.join(at, "_b").withColumn(name, (F.row_number().over(W.partitionBy("_b").orderBy(order)) - 1 + F.col("_f")).cast("long")).drop("_b", "_f")
-
-
 def alignment_check(corpus: DataFrame, n_rows: int = 100) -> DataFrame:
     """One row: whether all languages have equally many rows, and whether the first rows agree in aligned_id."""
     sizes = corpus.groupBy("lang").count().agg((F.min("count") == F.max("count")).alias("same_length"))

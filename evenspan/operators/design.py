@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-from math import factorial
+from itertools import combinations
+from math import comb, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import dense_number
+
 
 def length_range(segments: DataFrame, lo: int, hi: int, length: str = "token_length") -> DataFrame:
     return segments.filter(F.col(length).between(lo, hi))
@@ -44,15 +46,57 @@ def draw(*columns: Column | str, seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]))
 
 
+#: As many sets of a pool are all made instead of drawn.
+FEW_SETS = 100_000
+
+
+def _all_sets(pool: DataFrame, k: int, ident: str, length: str) -> DataFrame:
+    """Every set of k of a pool so small that its sets are FEW_SETS at most: key, o (in a drawn order), total."""
+    rows = sorted((r[0], r[1]) for r in pool.select(ident, length).collect())  # FEW_SETS rows at most, where k is 1
+    kind = pool.schema[ident].dataType.simpleString()
+    made = [([x[0] for x in c], sum(x[1] or 0 for x in c)) for c in combinations(rows, k)]
+    return pool.sparkSession.createDataFrame(made, f"key array<{kind}>, total long")
+
+
 def sampled_sets(pool: DataFrame, k: int, n_sets: int, max_total: int | None = None, seed: int = 0, ident: str = "seg_id", length: str = "token_length") -> DataFrame:
-    """set_no, segs: up to ``n_sets`` sets of k different segments, no two equal, whose lengths sum to the cap at most.
+    """set_no, segs: ``n_sets`` sets of k different segments, no two equal, whose lengths sum to the cap at most; fewer
+    where there are no more (or, of a large pool, where twice as many rounds of drawing find no more).
 
-    Rounds of drawing give each segment a place in a random order; neighbours in it make the sets of a round.
-    The order is kept in blocks dealt by hash, so that none is sorted in one task. Ten rounds are drawn.
+    Of a small pool all sets are made and drawn from. Of a large one rounds give each segment a place in a random
+    order, and neighbours in it make the sets of a round; the order is kept in blocks dealt by hash, so that none is
+    sorted in one task. A pool of fewer than k segments gives sets in which segments come more than once.
     """
     n = pool.count()
+    shuffled = lambda c: F.transform(F.array_sort(F.transform(c, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), x.cast("string"))).alias("h"), x.alias("x")))), lambda s: s["x"])
+    if not n:
+        return pool.select(F.lit(0).cast("long").alias("set_no"), F.array(ident).alias("segs")).limit(0)
+    if n < k:
+        numbered = dense_number(pool.select(ident, length), ident, "_i")
+        want = pool.sparkSession.range(10 * n_sets).select(F.col("id").alias("_s"), F.posexplode(F.array_repeat(F.lit(0), k)).alias("_p", "_z"))
+        want = want.withColumn("_i", F.pmod(F.conv(F.substring(draw("_s", "_p", seed=seed), 1, 12), 16, 10).cast("long"), F.lit(n)))
+        sets = want.join(F.broadcast(numbered), "_i").groupBy("_s").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", ident))), lambda x: x[ident]).alias("segs"), F.sum(length).alias("total"))  # fewer than k rows
+        sets = sets.filter(F.lit(True) if max_total is None else F.col("total") <= max_total)
+        order = sets.withColumn("_h", draw("_s", seed=seed))
+        return order.orderBy("_h").limit(n_sets).withColumn("set_no", F.row_number().over(W.orderBy("_h")) - 1).select("set_no", "segs")
+    if comb(n, k) <= FEW_SETS:
+        every = _all_sets(pool, k, ident, length)
+        every = every.filter(F.lit(True) if max_total is None else F.col("total") <= max_total)
+        first = every.select(shuffled(F.col("key")).alias("segs"))
+    else:
+        rounds, had = max(1, -(-n_sets * k * 2 // n)), -1
+        while True:
+            first = _drawn_sets(pool, k, n, rounds, max_total, seed, ident, length)
+            got = first.count()
+            if got >= n_sets or got == had:
+                break
+            rounds, had = 2 * rounds, got
+    order = first.withColumn("_h", draw(F.array_join("segs", "_"), seed=seed)).orderBy("_h").limit(n_sets)  # a limit is the operator's purpose
+    return order.withColumn("set_no", F.row_number().over(W.orderBy("_h")) - 1).select("set_no", "segs")
+
+
+def _drawn_sets(pool: DataFrame, k: int, n: int, rounds: int, max_total: int | None, seed: int, ident: str, length: str) -> DataFrame:
+    """segs: the different sets that so many rounds of drawing give."""
     blocks = max(1, n // 100_000)
-    rounds = max(1, min(10, -(-n_sets * k * 2 // max(n, 1))))
     r = pool.select(ident, length).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     r = r.withColumn("_h", draw("_round", ident, seed=seed)).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(blocks)))
     r = r.withColumn("_rn", F.row_number().over(W.partitionBy("_round", "_b").orderBy("_h")) - 1)
@@ -61,22 +105,32 @@ def sampled_sets(pool: DataFrame, k: int, n_sets: int, max_total: int | None = N
     sets = sets.filter(F.col("n") == k)
     if max_total is not None:
         sets = sets.filter(F.col("total") <= max_total)
-    first = sets.groupBy("key").agg(F.min(F.struct("_round", "o")).alias("f")).select(F.transform("f.o", lambda x: x[ident]).alias("segs"))
-    order = first.withColumn("_h", draw(F.array_join("segs", "_"), seed=seed)).orderBy("_h").limit(n_sets)  # a limit is the operator's purpose
-    return order.withColumn("set_no", F.row_number().over(W.orderBy("_h")) - 1).select("set_no", "segs")
+    return sets.groupBy("key").agg(F.min(F.struct("_round", "o")).alias("f")).select(F.transform("f.o", lambda x: x[ident]).alias("segs"))
 
 
 def permutation_table(spark, k: int) -> DataFrame:
-    """perm, pos, slot: all k! orders, for k up to 5."""
-    if k > 5:
-        raise ValueError("permutations of more than five segments are too many")
-    return spark.createDataFrame([(i, p, s) for i, order in enumerate(permutations(range(k))) for p, s in enumerate(order)], "perm int, pos int, slot int")
+    """perm, pos, slot: all k! orders, in the order of the words that they spell."""
+    return spark.range(factorial(k)).select(F.col("id").cast("int" if k < 13 else "long").alias("perm"), F.posexplode(_order(F.col("id"), k)).alias("pos", "slot"))
+
+
+def _order(number: Column, k: int) -> Column:
+    """The order of 0 to k - 1 that has this number: each digit of the number, in the base of the places left, picks one."""
+    state = F.struct(F.array(*[F.lit(i) for i in range(k)]).alias("left"), F.array().cast("array<int>").alias("out"))
+
+    def step(s, f):
+        at = F.pmod(F.floor(number / f), F.size(s["left"])).cast("int")
+        pick = F.get(s["left"], at)
+        return F.struct(F.filter(s["left"], lambda x: x != pick).alias("left"), F.array_append(s["out"], pick).alias("out"))
+
+    digits = F.array(*[F.lit(factorial(k - 1 - i)).cast("long") for i in range(k)])
+    return F.aggregate(digits, state, step, lambda s: s["out"])
 
 
 def permuted(sets: DataFrame, k: int) -> DataFrame:
-    """set_no, perm, segs: each set in all orders; the table of orders has k * k! rows at most 600."""
-    orders = permutation_table(sets.sparkSession, k).groupBy("perm").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "slot"))), lambda s: s["slot"]).alias("o"))
-    return sets.join(F.broadcast(orders)).select("set_no", "perm", F.transform("o", lambda s: F.get("segs", s)).alias("segs"))
+    """set_no, perm, segs: each set in all orders. The orders are made row by row, so that k sets no bound."""
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(factorial(k) - 1).cast("long"))
+    each = sets.select("set_no", "segs", F.explode(numbers).alias("perm"))
+    return each.select("set_no", F.col("perm").cast("int" if k < 13 else "long").alias("perm"), F.transform(_order(F.col("perm"), k), lambda s: F.get("segs", s)).alias("segs"))
 
 
 def switched(sets: DataFrame) -> DataFrame:
@@ -88,8 +142,7 @@ def switched(sets: DataFrame) -> DataFrame:
 
 def independent_draws(pools: DataFrame, n: int, seed: int = 0, ident: str = "seg_id") -> DataFrame:
     """doc_no, segs: a draw from each position's pool for each document; a segment may come twice."""
-    w = W.partitionBy("pos").orderBy(ident)
-    p = pools.withColumn("_i", F.row_number().over(w) - 1)
+    p = dense_number(pools, ident, "_i", ["pos"])
     size = p.groupBy("pos").agg(F.count(F.lit(1)).alias("_n"))
     spark = pools.sparkSession
     want = spark.range(n).withColumnRenamed("id", "doc_no").join(F.broadcast(size))  # a row per position

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -83,3 +84,55 @@ def geometry(docs: DataFrame, valid: str = "valid_len", padded: str = "padded_le
 def split_route(short: DataFrame, plain: Callable[[DataFrame], DataFrame], calibrated: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows too short for calibration go through ``plain``, the others through ``calibrated``; both give the same columns."""
     return plain(short.filter(~F.col("calibrated"))).unionByName(calibrated(short.filter("calibrated")))
+
+
+#: What a model is given of a row; all else stands beside it.
+MODEL_KEYS = ("input_ids", "attention_mask", "token_type_ids")
+CHOICES = {"pooling": ("cls", "mean", "last"), "padding_side": ("left", "right"), "calibrated_tokens": ("cls", "all", "last")}
+
+
+def overrides(pooling: str | None = None, padding_side: str | None = None, calibrated_tokens: str | None = None, isolate_first: bool | None = None,
+              isolate_last: bool | None = None, *, model_pooling: str | None = None, decoder: bool = False) -> dict[str, object]:
+    """The settings that take effect: a caller's choice goes before what the model says, and that before the default.
+
+    A model without a pooling of its own is pooled by its first token; decoders are padded on the left. Without a
+    choice the calibrated tokens are those that are pooled, and the first and last tokens stand apart as that asks.
+    """
+    for name, value in (("pooling", pooling), ("padding_side", padding_side), ("calibrated_tokens", calibrated_tokens)):
+        if value is not None and value not in CHOICES[name]:
+            raise ValueError(f"{name} is one of {CHOICES[name]}")
+    how = pooling_of(pooling, model_pooling, "cls")
+    first, last = {"mean": (False, False), "cls": (True, False)}.get(how, (True, True))
+    return {
+        "pooling": how, "padding_side": padding_side or ("left" if decoder else "right"), "calibrated_tokens": calibrated_tokens or {"cls": "cls", "mean": "all", "last": "last"}[how],
+        "isolate_first": first if isolate_first is None else isolate_first, "isolate_last": last if isolate_last is None else isolate_last,
+    }
+
+
+def model_inputs(rows: DataFrame, keep: tuple[str, ...] = MODEL_KEYS) -> DataFrame:
+    """Only the columns that a model takes, as far as there are any."""
+    return rows.select(*[c for c in keep if c in rows.columns])
+
+
+def generated_rows(spark, make: Callable[[int], Iterator[dict]], schema: str, parts: int = 1) -> DataFrame:
+    """A frame of the rows that ``make(part)`` yields, a task for each part; nothing is held but a batch."""
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for part in f["id"]:
+                rows = make(int(part))
+                while batch := list(islice(rows, 1000)):
+                    yield pd.DataFrame(batch, columns=names)
+
+    return spark.range(0, parts, 1, parts).mapInPandas(run, schema)
+
+
+def collated(rows: DataFrame, batch: str, pad_id: int = 0, left: bool = False, multiple: int = 1, ids: str = "input_ids") -> DataFrame:
+    """``rows`` with the ids padded to the longest of their batch, or the next multiple, and an attention_mask."""
+    longest = rows.groupBy(F.col(batch).alias("_b")).agg((F.ceil(F.max(F.size(ids)) / multiple) * multiple).cast("int").alias("_l"))
+    out = rows.join(longest, F.col(batch).eqNullSafe(F.col("_b")))
+    room = F.array_repeat(F.lit(pad_id), F.col("_l") - F.size(ids))
+    ones, none = F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), F.col("_l") - F.size(ids))
+    sides = (lambda a, b: F.concat(b, a)) if left else F.concat
+    return out.withColumns({"attention_mask": sides(ones, none), ids: sides(F.col(ids), room)}).drop("_b", "_l")

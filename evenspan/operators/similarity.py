@@ -123,3 +123,15 @@ def histogram(values: DataFrame, value: str, bins: int = 30, by: list[str] | Non
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     return v.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def axis_limits(profile: DataFrame, margin: float = 0.05) -> DataFrame:
+    """lo, hi: the ends of all intervals of a profile, and a margin of their distance on either side."""
+    lo, hi = F.col("_a"), F.col("_b")
+    return profile.agg(F.min("ci_low").alias("_a"), F.max("ci_high").alias("_b")).select((lo - margin * (hi - lo)).alias("lo"), (hi + margin * (hi - lo)).alias("hi"))
+
+
+def later_and_earlier(pairs: DataFrame) -> DataFrame:
+    """pos, later, earlier: how many positions each position (src) is compared with after and before it (dst)."""
+    at = lambda c: F.countDistinct(F.when(c, F.col("dst")))
+    return pairs.groupBy(F.col("src").alias("pos")).agg(at(F.col("dst") > F.col("src")).alias("later"), at(F.col("dst") < F.col("src")).alias("earlier"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distributions import f_greater, t_crit, t_two_sided, wilcoxon_p
+from .ranks import step_of, sum_before
 
 #: The compared pairs: first with second, first with last, second with last.
 PAIRS = (("1_vs_2", 0, 1), ("1_vs_last", 0, -1), ("2_vs_last", 1, -1))
@@ -53,16 +54,23 @@ def welch(pairs: DataFrame) -> DataFrame:
 def wilcoxon(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Signed-rank sums of x - y without zero differences, tie-averaged ranks; p NULL if nothing is left."""
     d = pairs.withColumn("d", F.col("x") - F.col("y")).filter("d <> 0")
-    w = W.partitionBy("pair").orderBy(F.abs("d"))
-    same = W.partitionBy("pair", F.abs("d"))
-    d = d.withColumn("t", F.count(F.lit(1)).over(same)).withColumn("rank", F.rank().over(w) + (F.col("t") - 1) / 2)
+    # of each size of difference, how many there are: ranks follow from the counts of smaller sizes
+    d = d.groupBy("pair", F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("up")).withColumn("b", step_of(F.col("a")))
+    d = sum_before(d, ["pair"], "a", "b", F.col("t"), "r").withColumn("rank", F.col("r") + 1 + (F.col("t") - 1) / 2)
     g = d.groupBy("pair").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"))
+        F.sum("t").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum((F.col("t") - F.col("up")) * F.col("rank")).alias("w_minus"),
+        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
     every = pairs.select("pair").distinct().join(g, "pair", "left")
     return every.select("pair", F.coalesce("n", F.lit(0)).alias("n"), "w_plus", "w_minus", F.least("w_plus", "w_minus").alias("statistic"), "ties").withColumn("p_value", wilcoxon_p(F.col("n"), F.col("statistic"), F.col("ties")))
 
 
+def average_ranks(rows: DataFrame, value: str, name: str = "avg_rank") -> DataFrame:
+    """``rows`` with the rank of a number among all, ties averaged: ranks follow from the counts of smaller values."""
+    n = rows.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_t")).withColumn("_b", step_of(F.col("_v").cast("double")))
+    ranks = sum_before(n, [], "_v", "_b", F.col("_t"), "_r").select("_v", (F.col("_r") + 1 + (F.col("_t") - 1) / 2).alias(name))
+    return rows.join(ranks, F.col(value) == F.col("_v")).drop("_v")
+
+
 def item_key(doc_id: Column) -> Column:
     """The unordered set of a document's segments, as sorted text."""
     return F.array_join(F.array_sort(F.split(doc_id, "_")), "_")

@@ -49,7 +49,10 @@ def o10(spark, d):
     return spark.createDataFrame([(k, n, D.rounded_sample(n, k)) for k in (2, 3, 4) for n in (1000, 1001, 24)], "k int, n int, rounded long")
 
 
-@query("o11_independent_draws")
+@query("o11_independent_draws", f"""with {TOKENS_SQL}, rg(pos, lo, hi) as (values (0, 50, 200), (1, 150, 400)),
+ pl as (select pos, doc_id seg, row_number() over (partition by pos order by doc_id) rn, count(*) over (partition by pos) n from tok join rg on token_length between lo and hi where lang = 'en'),
+ dr as (select doc_no, pos, ('0x' || left(md5('3|' || doc_no || '|' || pos), 12))::bigint x from range(50) r(doc_no), (select distinct pos from pl))
+ select dr.doc_no, list(pl.seg order by dr.pos) segs from dr join pl on dr.pos = pl.pos and dr.x % pl.n = pl.rn - 1 group by dr.doc_no""")
 def o11(spark, d):
     pools = D.position_pools(_pool(spark, d), [(50, 200), (150, 400)])
     return D.independent_draws(pools, 50, seed=3)
@@ -212,3 +215,25 @@ def u06(spark, d):
     docs = _parts(spark, d).select("doc_id", "pos", "input_ids")
     h = E.encode_with(docs, E.fixture_encoder())
     return h.select("doc_id", "pos", E.pooled(F.col("hidden"), "mean").alias("embedding"))
+
+
+@query("u05_overrides", """select * from (values (0, 'cls', 'right', 'cls', true, false), (1, 'mean', 'left', 'all', false, false), (2, 'last', 'left', 'last', true, true), (3, 'mean', 'right', 'cls', true, false))
+ t(i, pooling, padding_side, calibrated_tokens, isolate_first, isolate_last)""")
+def u05(spark, d):
+    made = [E.overrides(), E.overrides(model_pooling="mean", decoder=True), E.overrides("last", model_pooling="mean", decoder=True), E.overrides("mean", "right", "cls", True, model_pooling="last", decoder=True)]
+    return spark.createDataFrame([(i, *m.values()) for i, m in enumerate(made)], "i int, pooling string, padding_side string, calibrated_tokens string, isolate_first boolean, isolate_last boolean")
+
+
+@query("u02_generated_rows", "select n_nationkey * 10 + x id, 'row ' || x as text from nation, range(10) r(x) where n_nationkey < 4")
+def u02(spark, d):
+    return E.generated_rows(spark, lambda part: ({"id": part * 10 + x, "text": f"row {x}"} for x in range(10)), "id long, text string", 4)
+
+
+@query("p17_u03_collated", """with t as (select conv_id, turn, text, len(string_split_regex(trim(text), '\\s+')) n from conversations), m as (select conv_id, (ceil(max(n) / 8.0) * 8)::int l from t group by conv_id)
+ select t.conv_id conv_id, turn, l padded, n::int used from t join m on t.conv_id = m.conv_id""")
+def p17(spark, d):
+    c = X.table(spark, d, "conversations").withColumn("input_ids", F.transform(B.whitespace_tokens(F.col("text")), lambda w: F.length(w)))
+    both = E.collated(c, "conv_id", multiple=8, left=True)
+    assert E.model_inputs(both).columns == ["input_ids", "attention_mask"]
+    used = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    return both.select("conv_id", "turn", F.size("input_ids").alias("padded"), used.alias("used"))

@@ -58,11 +58,11 @@ def a24(spark, d):
 
 
 def _spans(spark, d):
-    docs = X.attention(spark, d).select("doc_id").distinct()
-    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("article")).select("doc_id", "article", (1 + F.col("article") * 12).alias("start"), (13 + F.col("article") * 12).alias("end"))
+    docs = X.attention(spark, d).groupBy("doc_id").agg(F.max("k").alias("last"))
+    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - 1) / 12).cast("int"))).alias("article")).select("doc_id", "article", (1 + F.col("article") * 12).alias("start"), (13 + F.col("article") * 12).alias("end"))
 
 
-@query("a25_article_attention", f"""with {TRIM_SQL}, bd as (select doc_id, layer, k // 12 article, sum(w) sw, avg(w) mw from trm where k < 36 group by all)
+@query("a25_article_attention", f"""with {TRIM_SQL}, bd as (select doc_id, layer, k // 12 article, sum(w) sw, avg(w) mw from trm group by all)
  select layer, article, round(avg(sw), 6) sum_w, round(avg(mw), 6) mean_w, count(*) n_docs from bd group by layer, article""")
 def a25(spark, d):
     return r6(A.by_article(_trim(spark, d), _spans(spark, d)), "sum_w", "mean_w")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import design as D
+from ..operators.ranks import dense_number
 from ..registry import query
 from . import fixtures as X
 from .fixtures import TOKENS_SQL
@@ -89,12 +90,16 @@ def a06(spark, d):
     return C.wide(X.tokenized(spark, d), LANGS, lang="lang").select("dataset_idx", *LANGS)
 
 
-SETS_SQL = "sets as (select l_orderkey doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey % 200) pos, l_partkey % 200 seg from lineitem where l_linenumber <= 3), full3 as (select doc_id from sets group by doc_id having count(*) = 3)"
+#: Sets of three lines of an order that follow each other; what is left over of an order is a set of fewer.
+SETS_SQL = """lines as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey % 200) rn, l_partkey % 200 seg from lineitem),
+ sets as (select l_orderkey * 100 + (rn - 1) // 3 doc_id, (rn - 1) % 3 + 1 pos, seg from lines), full3 as (select doc_id from sets group by doc_id having count(*) = 3)"""
 
 
 def _sets(spark, d):
-    li = T(spark, d, "lineitem").filter("l_linenumber <= 3")
-    return li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 200).alias("seg")))), lambda x: x["seg"]).alias("segs"))
+    li = T(spark, d, "lineitem")
+    orders = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 200).alias("seg")))), lambda x: x["seg"]).alias("s"))  # the lines of an order
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / 3).cast("int")), lambda i: F.slice("s", 3 * i + 1, F.lit(3)))
+    return orders.select("l_orderkey", F.posexplode(cut).alias("i", "segs")).select((F.col("l_orderkey") * 100 + F.col("i")).alias("doc_id"), "segs")
 
 
 @query("a07_length_by_position", f"""with {TOKENS_SQL}, {SETS_SQL}
@@ -214,28 +219,28 @@ ALIGN_SQL = TOKENS_SQL + """, par as (select rn aligned_id, lang, doc_id wiki_pa
  num as (select aligned_id, row_number() over (order by aligned_id) row_rn from full4)"""
 
 
-def _aligned(spark, d):
+def aligned_fixture(spark, d):
     t = X.tokenized(spark, d)
     par = t.select((F.col("dataset_idx") + 1).alias("aligned_id"), "lang", F.col("doc_id").alias("wiki_pageid"))
     docs = T(spark, d, "documents")
-    art = docs.select("lang", F.col("doc_id").alias("wiki_pageid"), F.lit(1).alias("src"), F.substring("text", 1, 20).alias("title"), "text")
+    art = docs.select("lang", F.col("doc_id").alias("wiki_pageid"), F.lit(1).alias("src"), F.element_at(F.split("text", "\n", 2), 1).alias("title"), "text")
     return C.aligned(par, art.unionByName(art.filter("wiki_pageid % 3 = 0").withColumn("src", F.lit(2)).withColumn("title", F.lit("second"))), 4)
 
 
-@query("j09_aligned_corpus", f"""with {ALIGN_SQL} select (row_rn - 1)::varchar || lang id, aligned_id, lang, wiki_pageid, case when wiki_pageid % 3 = 0 then 'second' else left(text, 20) end title
+@query("j09_aligned_corpus", f"""with {ALIGN_SQL} select (row_rn - 1)::varchar || lang id, aligned_id, lang, wiki_pageid, case when wiki_pageid % 3 = 0 then 'second' else split_part(text, chr(10), 1) end title
  from par join num using (aligned_id) join documents d on d.doc_id = wiki_pageid""".replace("|| lang id", "|| par.lang id").replace("aligned_id, lang, wiki", "aligned_id, par.lang lang, wiki"))
 def j09(spark, d):
-    return _aligned(spark, d).select("id", "aligned_id", "lang", "wiki_pageid", "title")
+    return aligned_fixture(spark, d).select("id", "aligned_id", "lang", "wiki_pageid", "title")
 
 
 @query("a41_alignment_check", "select true same_length, true same_ids")
 def a41(spark, d):
-    return C.alignment_check(_aligned(spark, d))
+    return C.alignment_check(aligned_fixture(spark, d))
 
 
 @query("w02_dense_number", "select doc_id, row_number() over (order by doc_id) - 1 row_no from documents where lang = 'de'")
 def w02(spark, d):
-    return C.dense_number(T(spark, d, "documents").filter("lang = 'de'").select("doc_id"), "doc_id", "row_no")
+    return dense_number(T(spark, d, "documents").filter("lang = 'de'").select("doc_id"), "doc_id", "row_no")
 
 
 @query("a40_counts_and_rate", "select count(*) n, count(quality) n_found, round(count(quality)::double / count(*), 6) rate from documents d left join labels l using (doc_id)")

@@ -2,7 +2,7 @@
 
 Items are groups of three embeddings of a label, documents the six orders of an item; a document's embedding
 weighs its segments 1, 1/2, 1/3, and a segment within the document is 0.7 of itself and 0.3 of the document.
-Attention is a softmax of dot products of a label's embeddings, four heads of 16 dimensions, two layers.
+Attention is a softmax of dot products within sequences of a label's embeddings, four heads of 16 dimensions, two layers.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.vectors import add, l2_normalize, scale, sum_rows
 from ..operators.assemble import whitespace_tokens
 from ..operators.design import permutation_table
+from ..operators.ranks import dense_number
 
 K = 3
+#: Tokens of an attention sequence.
+TOKENS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +33,7 @@ def standalone(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """label, item_no, slot, seg_id of items with all three segments."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    r = e.withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy("vec_id")))
+    r = dense_number(e, "vec_id", "rn", ["label"]).withColumn("rn", F.col("rn") + 1)
     r = r.select("label", F.floor((F.col("rn") + 2) / 3).cast("int").alias("item_no"), ((F.col("rn") + 2) % 3).alias("slot"), F.col("vec_id").alias("seg_id"))
     full = r.groupBy("label", "item_no").count().filter(F.col("count") == K).drop("count")
     return r.join(full, ["label", "item_no"])
@@ -73,9 +76,9 @@ latev as (select doc_id, item, pos, seg_id, v, list_transform(range(1, 65), lamb
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, dataset_idx, seg_id, token_length of documents, whitespace tokens."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.size(whitespace_tokens(F.col("text"))).alias("token_length"))
-    # the fixture aligns languages by rank; it is a row of numbers per document
-    idx = (F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1).alias("dataset_idx")
-    return d.select("doc_id", "lang", "token_length", idx, F.concat(F.col("doc_id").cast("string"), "lang").alias("seg_id"))
+    # the fixture aligns languages by rank
+    d = dense_number(d, "doc_id", "dataset_idx", ["lang"])
+    return d.select("doc_id", "lang", "token_length", F.col("dataset_idx").cast("int").alias("dataset_idx"), F.concat(F.col("doc_id").cast("string"), "lang").alias("seg_id"))
 
 
 TOKENS_SQL = r"""
@@ -84,23 +87,29 @@ tok as (select doc_id, lang, token_length, rn, doc_id || lang seg_id from t0)"""
 
 
 def attention(spark: SparkSession, sf_dir: str, layers: int = 2) -> DataFrame:
-    """doc_id, layer, head, q, k, w over the embeddings of a label as a sequence."""
+    """doc_id, layer, head, q, k, w over all embeddings: those of a label, in order, are cut into sequences of TOKENS,
+    the last of which takes what is left over."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    e = e.withColumn("at", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).filter("at < 40").withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    e = e.select("label", "at", "head", F.slice("v", F.col("head") * 16 + 1, F.lit(16)).alias("v"))
-    q = e.select("label", "head", F.col("at").alias("q"), F.col("v").alias("qv"))
-    k = e.select("label", "head", F.col("at").alias("k"), F.col("v").alias("kv"))
+    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    e = dense_number(e, "vec_id", "rn", ["label"]).join(n, "label")
+    seq = F.least(F.floor(F.col("rn") / TOKENS), F.greatest(F.floor(F.col("n") / TOKENS) - 1, F.lit(0)))
+    e = e.withColumns({"seq": seq, "at": (F.col("rn") - seq * TOKENS).cast("int"), "doc_id": F.col("label").cast("long") * 1_000_000 + seq}).withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    e = e.select("doc_id", "at", "head", F.slice("v", F.col("head") * 16 + 1, F.lit(16)).alias("v"))
+    q = e.select("doc_id", "head", F.col("at").alias("q"), F.col("v").alias("qv"))
+    k = e.select("doc_id", "head", F.col("at").alias("k"), F.col("v").alias("kv"))
     from ..functions.vectors import dot
 
-    pairs = q.join(k, ["label", "head"]).select("label", "head", "q", "k", dot(F.col("qv"), F.col("kv")).alias("s"))
+    pairs = q.join(k, ["doc_id", "head"]).select("doc_id", "head", "q", "k", dot(F.col("qv"), F.col("kv")).alias("s"))
     r = pairs.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(layers - 1)))).withColumn("x", F.exp((F.col("layer") + 1) * F.col("s")))
-    total = F.sum("x").over(W.partitionBy("label", "head", "layer", "q"))
-    return r.select(F.col("label").alias("doc_id"), "layer", "head", "q", "k", (F.col("x") / total).alias("w"))
+    total = F.sum("x").over(W.partitionBy("doc_id", "head", "layer", "q"))
+    return r.select("doc_id", "layer", "head", "q", "k", (F.col("x") / total).alias("w"))
 
 
 ATTENTION_SQL = """
-a0 as (select label, vec_id, embedding::double[] v, row_number() over (partition by label order by vec_id) rn from embeddings),
-a1 as (select label, rn, h.head, v[h.head * 16 + 1 : h.head * 16 + 16] v from a0, (select unnest(range(4)) head) h where rn <= 40),
-a2 as (select x.label doc_id, x.head, x.rn qn, y.rn kn, list_dot_product(x.v, y.v) s from a1 x join a1 y on x.label = y.label and x.head = y.head),
+a00 as (select label, vec_id, embedding::double[] v, row_number() over (partition by label order by vec_id) rn, count(*) over (partition by label) cnt from embeddings),
+a01 as (select label::bigint * 1000000 + least((rn - 1) // {T}, greatest(cnt // {T} - 1, 0)) doc_id, vec_id, v from a00),
+a0 as (select doc_id, v, row_number() over (partition by doc_id order by vec_id) rn from a01),
+a1 as (select doc_id, rn, h.head, v[h.head * 16 + 1 : h.head * 16 + 16] v from a0, (select unnest(range(4)) head) h),
+a2 as (select x.doc_id, x.head, x.rn qn, y.rn kn, list_dot_product(x.v, y.v) s from a1 x join a1 y on x.doc_id = y.doc_id and x.head = y.head),
 a3 as (select doc_id, head, layer, qn, kn, exp((layer + 1) * s) x from a2, (select unnest(range(2)) layer)),
-att as (select doc_id, layer, head, qn, kn, x / sum(x) over (partition by doc_id, head, layer, qn) w from a3)"""
+att as (select doc_id, layer, head, qn, kn, x / sum(x) over (partition by doc_id, head, layer, qn) w from a3)""".replace("{T}", str(TOKENS))

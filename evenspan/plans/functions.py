@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import titles as N
+from ..operators import report as R
 from ..registry import query
 from . import fixtures as X
 
@@ -23,9 +23,9 @@ def f09(spark, d):
     return T(spark, d, "part").select("p_partkey", N.normalize_title(F.concat(F.lit("ﬁ "), F.col("p_name"), F.lit("\t① "))).alias("title"))
 
 
-@query("f09_squeezed_titles", r"select doc_id, trim(regexp_replace(regexp_replace(left(text, 80), '[\x00-\x1f\x7f]', ' ', 'g'), ' +', ' ', 'g'), ' ') title from documents")
+@query("f09_squeezed_titles", r"select doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), ' +', ' ', 'g'), ' ') title from documents")
 def f09b(spark, d):
-    return T(spark, d, "documents").select("doc_id", N.squeeze(F.substring("text", 1, 80)).alias("title"))
+    return T(spark, d, "documents").select("doc_id", N.squeeze(F.col("text")).alias("title"))
 
 
 @query("f10_stripped_titles", "select p_partkey, p_name || ' b (c)' title from part")
@@ -82,18 +82,16 @@ def f27(spark, d):
     return v.select(F.explode(kept).alias("k", "v"))
 
 
-@query("a35_range_ids", """with r as (select l_orderkey, l_linenumber, l_quantity::int // 10 lo from lineitem where l_orderkey < 2000), f as (select lo, min(l_orderkey * 10 + l_linenumber) seen from r group by lo)
+@query("a35_range_ids", """with r as (select l_orderkey, l_linenumber, l_quantity::int // 10 lo from lineitem), f as (select lo, min(l_orderkey * 10 + l_linenumber) seen from r group by lo)
  select lo, 'SL' || row_number() over (order by seen, lo) range_id from f""")
 def a35(spark, d):
     li = T(spark, d, "lineitem")
-    seen = li.groupBy(F.floor(F.col("l_quantity").cast("int") / 10).cast("int").alias("lo")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
-    # a row per distinct range
-    return seen.select("lo", F.concat(F.lit("SL"), F.row_number().over(W.orderBy("at", "lo"))).alias("range_id"))
+    return R.range_ids(li.select(F.floor(F.col("l_quantity").cast("int") / 10).cast("int").alias("lo"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")), "lo", "at")
 
 
 @query("a37_result_groups", "select p_brand, count(distinct p_size) n_sizes, max(p_size) most from part group by p_brand")
 def a37(spark, d):
-    return T(spark, d, "part").groupBy("p_brand").agg(F.countDistinct("p_size").alias("n_sizes"), F.max("p_size").alias("most"))
+    return R.result_groups(T(spark, d, "part"), ["p_brand"], "p_size").withColumnsRenamed({"n_values": "n_sizes"})
 
 
 @query("a38_calibration_labels", "select * from (values (128, '128—<s>—last_half'), (64, '64—all—last')) t(size, lab)")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import jobs as J
 from ..operators import similarity as S
 from ..registry import query
 from . import fixtures as X
+from .attention import ABS_SQL, MASS_SQL, REL, R
+from .attention import S as S8
+from .fixtures import ITEMS_SQL
 
 CFG = {"source_lang": "en", "target_langs": ["de"], "source_target_segment_diffs": [0.9], "source_segment_range": [20, 900], "concat_size": 3, "sample_size": 20, "max_total_length": 2000, "seed": 5}
 
@@ -44,10 +50,24 @@ def c03(spark, d):
     return S.profile(S.late_similarities(late.select("doc_id", "pos", "seg_id"), alone, late))
 
 
-@query("c04_attention_job", "select 'baskets_absolute' part, true ok union all select 'baskets_relative', true union all select 'bin_mass', true union all select 'ends', true union all select 'map_absolute', true union all select 'map_relative', true")
+#: Of each part of the attention job, how many rows it has and the sum of its values.
+C04_SQL = f"""with {MASS_SQL}, inc as (select doc_id, layer, kn, sum(w) / 4 w from att group by all),
+ trm as (select doc_id, layer, kn - 2 k, w, n - 2 n from inc join ln using (doc_id) where kn > 1 and kn < n){ABS_SQL},
+ en as (select layer, avg(w) filter (kn = 1) f, avg(w) filter (kn = n) l from inc join ln using (doc_id) group by layer),
+ br as (select layer, bin, avg(mw) mw from (select doc_id, layer, {REL} bin, avg(w) mw from trm where n >= {R} group by all) group by layer, bin),
+ ma as (select qb, kb, avg(m) m from (select doc_id, (qn - 1) // {S8} qb, (kn - 1) // {S8} kb, avg(w) m from att group by all) group by qb, kb),
+ mr as (select qb, kb, avg(m) m from (select doc_id, ({R} * qn - 1) // n qb, ({R} * kn - 1) // n kb, avg(w) m from att join ln using (doc_id) where n >= {R} group by all) group by qb, kb)
+ select 'baskets_absolute' part, count(*) n, round(sum(mean_w), 5) total from ba union all select 'baskets_relative', count(*), round(sum(mw), 5) from br
+ union all select 'bin_mass', count(*), round(sum(mass), 5) from ms union all select 'ends', count(*), round(sum(f + l), 5) from en
+ union all select 'map_absolute', count(*), round(sum(m), 5) from ma union all select 'map_relative', count(*), round(sum(m), 5) from mr"""
+
+
+@query("c04_attention_job", C04_SQL)
 def c04(spark, d):
     parts = J.analyze_attention(spark, {"basket_size": 8, "rel_bins": 10}, X.attention(spark, d))
-    return spark.createDataFrame([(k, not f.isEmpty()) for k, f in parts.items()], "part string, ok boolean")
+    value = {"ends": F.col("first_token") + F.col("last_token"), "bin_mass": F.col("mass")}
+    rows = [f.agg(F.lit(k).alias("part"), F.count(F.lit(1)).alias("n"), F.round(F.sum(value.get(k, F.col("mean_w"))), 5).alias("total")) for k, f in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("c10_title_job", "select p_name || ' ' || p_partkey src, 'T' || (p_partkey % 1500) tgt from part where p_partkey % 1500 in (select p_partkey % 1500 from part group by 1 having count(*) = 1)")
@@ -55,3 +75,21 @@ def c10(spark, d):
     p = X.table(spark, d, "part")
     line = F.concat(F.lit("Portal:"), "p_name", F.lit("  "), "p_partkey", F.lit(" (x) ||| T"), F.col("p_partkey") % 1500)
     return J.clean_titles(p.select(F.col("p_partkey").alias("line_no"), line.alias("line")))
+
+
+#: Runs of the example and the dimensions of their embeddings.
+RUN_DIMS = {"m1__en__concat-size_3": 64, "m1__de__concat-size_3": 32}
+
+
+@query("c09_quantitative_results", f"""with {ITEMS_SQL}, rn(run, dim) as (values ('m1__en__concat-size_3', 64), ('m1__de__concat-size_3', 32)),
+ sr as (select run, doc_id, pos, list_cosine_similarity(dv[1:dim], v[1:dim]) sim from segs join docv using (doc_id), rn),
+ wd as (select run, doc_id, any_value(sim) filter (where pos = 0) s1, any_value(sim) filter (where pos = 1) s2, any_value(sim) filter (where pos = 2) s3 from sr group by run, doc_id),
+ pr(run, pair, x, y) as (select run, '1_vs_2', s1, s2 from wd union all select run, '1_vs_last', s1, s3 from wd union all select run, '2_vs_last', s2, s3 from wd)
+ select run, 'differences ' || pair what, count(*) n, round(avg(x) - avg(y), 5) x from pr group by run, pair union all select run, 'profile ' || pos, count(*), round(avg(sim), 5) from sr group by run, pos""")
+def c09(spark, d):
+    sims = S.position_similarities(X.segments(spark, d), X.standalone(spark, d), X.document(spark, d), sorted(set(RUN_DIMS.values())))
+    sims = sims.withColumn("item", F.regexp_extract("doc_id", r"^(.*)_\d+$", 1))
+    runs = spark.createDataFrame([(r,) for r in (*RUN_DIMS, "m2__en__concat-size_3", "notes")], "name string")
+    got = J.quantitative_results(runs, lambda name: sims.filter(F.col("dim") == RUN_DIMS[name]), "m1", ["de", "en"])
+    a = got["differences"].select("run", F.concat(F.lit("differences "), "pair").alias("what"), "n", F.round("abs_raw", 5).alias("x"))
+    return a.unionByName(got["profile"].select("run", F.concat(F.lit("profile "), "pos").alias("what"), "n", F.round("mean_sim", 5).alias("x")))

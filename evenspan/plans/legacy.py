@@ -105,10 +105,10 @@ def a52(spark, d):
     return L.principal_components(X.standalone(spark, d)).select("seg_id", "pca")
 
 
-@query("j13_similarity_matrix", "select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) sim from embeddings a, embeddings b where a.label = 0 and b.label = 1")
+@query("j13_similarity_matrix", "select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) sim from embeddings a, embeddings b where a.vec_id % 100 = 0")
 def j13(spark, d):
     e = X.standalone(spark, d)
-    m = L.similarity_matrix(e.filter("label = 0"), e.filter("label = 1").withColumnRenamed("seg_id", "key"))
+    m = L.similarity_matrix(e.filter("seg_id % 100 = 0"), e.withColumnRenamed("seg_id", "key"))  # the stated queries against all
     return m.withColumn("sim", F.round("sim", 6))
 
 

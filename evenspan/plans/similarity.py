@@ -115,8 +115,7 @@ def j11(spark, d):
 
 @query("w06_later_and_earlier", f"with {PAIRS_SQL} select src pos, count(distinct dst) filter (dst > src) later, count(distinct dst) filter (dst < src) earlier from prs group by src")
 def w06(spark, d):
-    p = _pairs(spark, d)
-    return p.groupBy(F.col("src").alias("pos")).agg(F.countDistinct(F.when(F.col("dst") > F.col("src"), F.col("dst"))).alias("later"), F.countDistinct(F.when(F.col("dst") < F.col("src"), F.col("dst"))).alias("earlier"))
+    return S.later_and_earlier(_pairs(spark, d))
 
 
 @query("p13_documents_with_pairs", f"with {PAIRS_SQL} select count(distinct doc_id) n_docs from prs")
@@ -139,13 +138,14 @@ def a55(spark, d):
  select round(lo - 0.05 * (hi - lo), 6) lo, round(hi + 0.05 * (hi - lo), 6) hi from c""")
 def a34(spark, d):
     p = S.profile(S.position_similarities(X.segments(spark, d), X.standalone(spark, d), X.document(spark, d)))
-    c = p.agg(F.min("ci_low").alias("a"), F.max("ci_high").alias("b"))
-    return c.select(F.round(F.col("a") - 0.05 * (F.col("b") - F.col("a")), 6).alias("lo"), F.round(F.col("b") + 0.05 * (F.col("b") - F.col("a")), 6).alias("hi"))
+    return _rounded(S.axis_limits(p), "lo", "hi")
 
 
-@query("a36_influence_histogram")
+@query("a36_influence_histogram", f"""with {PAIRS_SQL}, r as (select case when src < dst then 'forward' else 'backward' end direction, round(sim, 6) s from prs),
+ ends as (select direction, min(s) lo, max(s) hi from r group by direction)
+ select direction, (case when hi > lo then least(floor((s - lo) / (hi - lo) * 30), 29) else 0 end)::int bin, count(*) n from r join ends using (direction) group by all""")
 def a36(spark, d):
-    p = _pairs(spark, d).withColumn("direction", F.when(F.col("src") < F.col("dst"), "forward").otherwise("backward"))
+    p = _pairs(spark, d).withColumn("sim", F.round("sim", 6)).withColumn("direction", F.when(F.col("src") < F.col("dst"), "forward").otherwise("backward"))
     return S.histogram(p, "sim", 30, ["direction"])
 
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..jobs import analyze_attention
 from ..sources import files as S
+from ..sources import sinks as K
 from ..sources.scratch import scratch_path
 from . import fixtures as X
+from .attention import ABS_SQL, TRIM_SQL
+from .corpus import ALIGN_SQL, aligned_fixture
 from .fixtures import ITEMS_SQL, TOKENS_SQL
 
 
@@ -15,6 +19,15 @@ def T(spark, d, name):
     return X.table(spark, d, name)
 
 
+@query("s01_text_directory", "select n_nationkey::varchar id, n_name || ' text' text from nation")
+def s01(spark, d):
+    path = scratch_path(spark, "texts")
+    n = T(spark, d, "nation")
+    # a folder for each key, with one file: the file's name is the id
+    n.select(F.concat(F.lit(" "), F.col("n_name"), F.lit(" text \n")).alias("value"), F.concat(F.col("n_nationkey").cast("string")).alias("file")).coalesce(1).write.partitionBy("file").text(path)
+    return S.text_directory(spark, f"{path}/*").select(F.regexp_extract(F.col("folder"), "file=(.*)", 1).alias("id"), "text")
+
+
 @query("s02_csv_scan", "select n_nationkey::varchar id, n_name text from nation")
 def s02(spark, d):
     path = scratch_path(spark, "csv")
@@ -167,11 +180,14 @@ def s17(spark, d):
     return S.run_catalog(spark.createDataFrame([(r,) for r in RUNS], "name string"), "", ["de", "en"]).select("model", "lang_key", "concat_size")
 
 
-@query("s18_k09_attention_json", "select r_regionkey layer, r_name as name from region")
+@query("s18_k09_attention_json", f"with {TRIM_SQL}{ABS_SQL} select 'org_m1__basket-8__bins-10__all-rows__layers-2' as name, layer, bin, round(mean_w, 6) mean_w from ba")
 def s18(spark, d):
     path = scratch_path(spark, "attention")
-    T(spark, d, "region").select(F.struct(F.col("r_regionkey").alias("layer"), F.col("r_name").alias("name")).alias("meta")).write.json(path)
-    return spark.read.json(path).select("meta.layer", "meta.name")
+    name = spark.range(1).select(K.attention_name(F.lit("org/m1"), F.lit(8), F.lit(10), F.lit(False), F.lit(2))).first()[0]
+    parts = analyze_attention(spark, {"basket_size": 8, "rel_bins": 10}, X.attention(spark, d))
+    K.write_attention({k: parts[k] for k in ("baskets_absolute", "ends")}, path, name)
+    got = K.read_attention(spark, path, name, "baskets_absolute", "layer int, bin int, mean_w double, sum_w double, n_docs long")
+    return got.select(F.lit(name).alias("name"), "layer", "bin", F.round("mean_w", 6).alias("mean_w"))
 
 
 @query("s20_sampled_rows", "select doc_id from documents order by md5('7|' || doc_id), doc_id limit 25")
@@ -195,17 +211,24 @@ def numbered(spark, d):
 @query("k05_run_config", "select 'm1' model, 128 basket_size, 0.5::double strength")
 def k05(spark, d):
     path = scratch_path(spark, "config")
-    spark.createDataFrame([("m1", 128, 0.5)], "model string, basket_size int, strength double").write.json(path)
-    return spark.read.schema("model string, basket_size int, strength double").json(path)
+    return K.write_settings(spark, path, {"model": "m1", "basket_size": 64}, {"basket_size": 128, "strength": 0.5})
 
 
 @query("k07_gated_write", "select lang, count(*) n from documents group by lang having count(*) < 0")
 def k07(spark, d):
-    # rows are written only if the splits are aligned, which languages of unequal size are not
-    docs = T(spark, d, "documents").select("lang", "doc_id")
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    even = sizes.agg((F.min("n") == F.max("n")).alias("ok"))
-    return sizes.join(F.broadcast(even.filter("ok"))).select("lang", "n")  # one row or none
+    # languages of unequal size are not written
+    docs = X.tokenized(spark, d).select(F.col("dataset_idx").alias("row_no"), F.col("dataset_idx").alias("aligned_id"), "lang", "doc_id")
+    path = scratch_path(spark, "uneven")
+    if not K.write_aligned(docs, path):
+        return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(0)  # nothing was written, so there is nothing to read
+    return spark.read.parquet(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k07_aligned_write", f"with {ALIGN_SQL} select par.lang lang, wiki_pageid, row_rn - 1 row_no from par join num using (aligned_id)")
+def k07b(spark, d):
+    path = scratch_path(spark, "aligned")
+    K.write_aligned(aligned_fixture(spark, d).select("row_no", "aligned_id", "lang", "wiki_pageid", "title"), path)
+    return spark.read.parquet(path).select("lang", "wiki_pageid", F.col("row_no").cast("long").alias("row_no"))
 
 
 @query("k08_delimited_lines", "select n_nationkey || ' ||| ' || n_name || ' ||| ' as \"value\" from nation")
@@ -216,5 +239,5 @@ def k08(spark, d):
 @query("k12_json_sink", "select doc_id, lang from documents")
 def k12(spark, d):
     path = scratch_path(spark, "json")
-    T(spark, d, "documents").select("doc_id", "lang").write.json(path)
+    K.write_json_lines(T(spark, d, "documents").select("doc_id", "lang"), path)
     return spark.read.schema("doc_id long, lang string").json(path)

@@ -57,14 +57,7 @@ def a15p(spark, d):
 @query("w07_tie_averaged_ranks", """with x as (select p_partkey, p_size, rank() over (order by p_size) r, count(*) over (partition by p_size) t from part)
  select p_partkey, r + (t - 1) / 2.0::double avg_rank from x""")
 def w07(spark, d):
-    # sizes are few, so that ranks follow from their counts; no row order over the whole table
-    p = X.table(spark, d, "part").select("p_partkey", "p_size")
-    n = p.groupBy("p_size").count()
-    from pyspark.sql import Window as W
-
-    before = F.coalesce(F.sum("count").over(W.orderBy("p_size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = n.withColumn("avg_rank", before + 1 + (F.col("count") - 1) / F.lit(2.0)).drop("count")
-    return p.join(ranks, "p_size").select("p_partkey", "avg_rank")
+    return T.average_ranks(X.table(spark, d, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", "avg_rank")
 
 
 ITEM_SQL = SIMS_SQL + ", im as (select item, pos, avg(sim) m from sims group by item, pos)"
@@ -116,7 +109,7 @@ def a19(spark, d):
 
 @query("a19_gini_test")
 def a19p(spark, d):
-    return T.gini_test(T.item_means(sims(spark, d)), permutations=2000)
+    return T.gini_test(T.item_means(sims(spark, d)))
 
 
 @query("f16_significance_stars", "select l_orderkey, l_linenumber, case when l_tax < 0.001 then '***' when l_tax < 0.01 then '**' when l_tax < 0.05 then '*' else '' end star from lineitem")

@@ -12,10 +12,11 @@ SEP = "|||"
 
 
 def text_directory(spark: SparkSession, path: str) -> DataFrame:
-    """id (file name without ending), text (stripped) of each ``*.txt``."""
+    """id (file name without ending), text (stripped) and folder of each ``*.txt``."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
-    return files.select(F.url_decode(name).alias("id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return files.select(F.url_decode(name).alias("id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"), folder.alias("folder"))
 
 
 def csv_documents(spark: SparkSession, path: str, id_column: str = "id", text_column: str = "text", nulls: str | None = None) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under /tmp/checkpoints where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/evenspan/{name}-{uuid.uuid4().hex}"
+    """A new path under spark.checkpoint.dir. Where that is unset a local master gets /tmp/checkpoints (tests); on a
+    cluster that would be another folder on each machine, so there it must be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(root or '/tmp/checkpoints').rstrip('/')}/evenspan/{name}-{uuid.uuid4().hex}"
