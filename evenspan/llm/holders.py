@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType
 
 #: Tokens of a block at most (but for a longer document), and about so many sent to a part.
-BLOCK_TOKENS, PART_TOKENS = 4_000_000, 1_000_000
+BLOCK_TOKENS, PART_TOKENS = 1_000_000, 1_000_000
 
 
 def scattered(x: np.ndarray) -> np.ndarray:
