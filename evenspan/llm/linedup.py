@@ -5,8 +5,8 @@ it, by doc_id and then place, has a Jaccard similarity of 0.8 or more to it, be
 another. Lines without words are no lines here and stay.
 
 Two similar lines share one of the first n - ceil(0.8 n) + 1 tokens of either, in any order of all tokens. At
-first the order is that of the first words' hashes, so that only a fifth of a line's shingles have to be made;
-lines none of which another line has go out of the join. Of the others, those of equal text are one class, whose
+first the order is that of the first words' hashes, so that only a quarter of a line's shingles have to be made;
+lines of which other lines have too few go out of the join. Of the others, those of equal text are one class, whose
 first occurrence stands for it. Their tokens are ordered by rarity, counted over them in hashed counters, and
 classes that share a prefix token are candidates if their sizes and the token's places allow the overlap; they
 are verified on the whole sets. Each class is held against the first class of its tokens, then the second, as
@@ -32,6 +32,8 @@ BROADCAST_KEYS = 600_000
 #: Bits of a packed first word that hold its place; the other bits hold a hash.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
+#: Of n tokens n // SLACK more than a fifth are shown to other lines at first.
+SLACK = 20
 #: Pairs for each row that need no further round of first classes; the share of them that a round must leave at most.
 PAIRS_PER_ROW, WORTH = 4, 0.7
 
@@ -57,21 +59,24 @@ def shingles(line: Column) -> Column:
 
 
 def shown(line: Column) -> Column:
-    """Tokens of a line of which every similar line has one: those whose first words' hashes come first, a fifth of
-    the places and one more. With a first word all its places are taken. Where shingles repeat, so that they
-    are fewer than that, all of the line's."""
+    """p, tokens of a line, of which a similar line has as many as t says: those whose first words' hashes come first, a
+    fifth of the places and a SLACK-th more. With a first word all its places are taken. Where shingles repeat, so that
+    they are fewer than that, all of the line's. A line has at least as many shingles as it has different words, but
+    for the last ones, so that t is what lines of four fifths of that number show beyond a fifth of their own."""
     keep, low = F.lit(~PLACE).cast("long"), F.lit(PLACE).cast("long")
 
     def build(w):
         n = F.size(w) - (SHINGLE - 1)
-        need = F.floor(n / 5).cast("int") + 1
+        need = F.floor(n / 5).cast("int") + F.greatest(F.lit(1), F.floor(n / SLACK).cast("int"))
+        least = F.floor(F.ceil((F.size(F.array_distinct(w)) - (SHINGLE - 1)) * 0.8 - 1e-9) / SLACK).cast("int")
         firsts = F.sort_array(F.transform(F.slice(w, F.lit(1), n), lambda x, i: F.xxhash64(x).bitwiseAND(keep).bitwiseOR(i.cast("long"))))
 
         def picked(f):
             return let(F.element_at(f, need).bitwiseOR(low), lambda last: F.array_distinct(F.transform(F.filter(f, lambda v: v <= last), lambda v: _at(w, v.bitwiseAND(low).cast("int")))))
 
         enough = let(let(firsts, picked), lambda p: F.when(F.size(p) >= need, p).otherwise(_every(w)))
-        return F.when(F.size(w) < SHINGLE, _whole(w)).when(n > PLACE, _every(w)).otherwise(enough)
+        shows = F.when(F.size(w) < SHINGLE, _whole(w)).when(n > PLACE, _every(w)).otherwise(enough)
+        return F.struct(shows.alias("p"), F.greatest(F.lit(1), least).alias("t"))
 
     return let(words(line), build)
 
@@ -97,10 +102,10 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     that loses some."""
     base = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     at = base.select("_id", "_t", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.col("line").rlike(NOT_SPACE))
-    at = stash(at.select("_id", "_t", "line_no", F.xxhash64("line").alias("c"), F.xxhash64(F.lit(1), "line").alias("c2"), shown(F.col("line")).alias("p")), "lines")
-    # classes of equal lines: first occurrence, and whether there are more
+    at = stash(at.select("_id", "_t", "line_no", F.xxhash64("line").alias("c"), F.xxhash64(F.lit(1), "line").alias("c2"), shown(F.col("line")).alias("p")).select("_id", "_t", "line_no", "c", "c2", "p.*"), "lines")
+    # classes of equal lines: first occurrence, whether there are more, and what it must share
     first, last = (f(F.struct("_id", "_t", "line_no")) for f in (F.min, F.max))
-    classes = stash(at.groupBy("c", "c2").agg(first.alias("first"), last.alias("last")), "classes")
+    classes = stash(at.groupBy("c", "c2").agg(first.alias("first"), last.alias("last"), F.max("t").alias("t")), "classes")
     hit = _matched(base, classes, _sharing(at))
     gone = classes.join(small(hit.select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), F.lit(True).alias("_hit")), BROADCAST_KEYS), (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")), "left")
     gone = gone.filter(~F.col("first").eqNullSafe(F.col("last")) | F.col("_hit")).select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), F.when(F.col("_hit").isNull(), F.col("first")).alias("kept"))
@@ -112,14 +117,15 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def _sharing(at: DataFrame) -> DataFrame:
-    """The distinct c of lines that have a token another line has."""
+    """c and seen, of the lines that have tokens another line has: how many."""
     token = at.select("c", F.explode("p").alias("h"))
     held = token.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     held = stash(held, "held")
-    # of two lines both are known; of more the others are looked up
+    # of two lines both are known; more are looked up, a line that comes several times as often
     more = held.filter("n > 2").select(F.col("h").alias("_h"))
     others = token.join(small(more, BROADCAST_KEYS), F.col("h") == F.col("_h"), "left_semi").select("c")
-    out = stash(held.select(F.explode(F.array("lo", "hi")).alias("c")).unionByName(others).distinct(), "sharing")
+    two = held.filter("n = 2").select(F.explode(F.array("lo", "hi")).alias("c"))
+    out = stash(two.unionByName(others).groupBy("c").agg(F.count(F.lit(1)).alias("seen")), "sharing")
     drop(held)
     return out
 
@@ -143,20 +149,23 @@ def _matched(base: DataFrame, classes: DataFrame, sharing: DataFrame) -> DataFra
     def allowed(n: Column, m: Column, i: Column, j: Column) -> Column:
         return (10 * F.least(n, m) >= 8 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
 
-    who = classes.join(small(sharing.withColumnRenamed("c", "_c"), BROADCAST_KEYS), F.col("c") == F.col("_c"), "left_semi").select("c", "c2", "first")
+    who = classes.join(small(sharing.withColumnRenamed("c", "_c"), BROADCAST_KEYS), F.col("c") == F.col("_c")).filter("seen >= t").select("c", "c2", "first")
     # numbers in the order of the lines
     who = stash(who.orderBy("first").withColumn("no", F.monotonically_increasing_id()), "who")
     sets = _sets(base, who)
     n = F.col("n")
     lead = F.slice(by_rarity(F.col("s"), rarity_levels(sets)), F.lit(1), n - F.ceil(n * 0.8 - 1e-9).cast("int") + 1)
-    token = sets.select("no", "n", F.posexplode(lead).alias("i", "h"))
+    leads = stash(sets.select("no", "n", lead.alias("p")), "leads")
+    token = leads.select("no", "n", F.posexplode("p").alias("i", "h"))
     several = token.groupBy("h").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).filter("lo <> hi").select(F.col("h").alias("_h"))
     # one plan at every size: both sides are shuffled by token, skewed tokens are split
     rest = stash(token.join(several.hint("merge"), F.col("h") == F.col("_h")).select("h", "no", "n", "i", F.lit(False).alias("hit")), "shared")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """b of the pairs (a, b) that match."""
-        side = lambda x: sets.select(F.col("no").alias(x), F.col("s").alias("s" + x))
+        members = small(pairs.select(F.explode(F.array("a", "b")).alias("_m")).distinct(), BROADCAST_KEYS)
+        some = sets.join(members, F.col("no") == F.col("_m"), "left_semi")
+        side = lambda x: some.select(F.col("no").alias(x), F.col("s").alias("s" + x))
         both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
         return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("b").distinct()
 
@@ -187,7 +196,7 @@ def _matched(base: DataFrame, classes: DataFrame, sharing: DataFrame) -> DataFra
     for h in hits:
         hit = hit.unionByName(h)
     out = stash(who.join(small(stash(hit.distinct(), "hits"), BROADCAST_KEYS), F.col("no") == F.col("b"), "left_semi").select("c", "c2"), "matched")
-    drop(rest, sets, who, sharing, *hits)
+    drop(rest, sets, leads, who, sharing, *hits)
     return out
 
 
