@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType
 
 #: Tokens of a block at most (but for a longer document), and about so many sent to a part.
-BLOCK_TOKENS, PART_TOKENS = 1_000_000, 1_000_000
+BLOCK_TOKENS, PART_TOKENS = 400_000, 400_000
 
 
 def scattered(x: np.ndarray) -> np.ndarray:
@@ -26,6 +26,19 @@ def scattered(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Gives the memory that arrays took back to the system: a Python worker lives on, and the next stage has workers
+    of its own kind beside it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def parts_for(tokens: int) -> int:
     """How many parts so many tokens are dealt to: a power of two."""
     return 1 << max(4, (max(1, tokens // PART_TOKENS) - 1).bit_length())
@@ -96,6 +109,8 @@ def send(df: DataFrame, parts: int, facts: dict[str, str], work: Callable[[list]
                         block, rows, tokens, size = block + 1, [], [], 0
         if rows:
             yield from packed(block, rows, tokens)
+        rows, tokens = [], []
+        release()
 
     columns = ", ".join(f"{n} {ArrayType(key.dataType).simpleString() if i == 0 else f'array<{facts[n]}>'}" for i, n in enumerate(names))
     return df.mapInArrow(run, f"block long, part int, tokens binary, counts binary, owners binary, first binary, {columns}")
@@ -116,6 +131,8 @@ def answers(blocks: DataFrame) -> DataFrame:
         out[order] = level(total)[np.cumsum(new) - 1]
         ends = np.cumsum([len(s) for s in sent])
         packed = [zlib.compress(out[e - len(s) : e].tobytes(), 1) for s, e in zip(sent, ends.tolist(), strict=True)]
+        del sent, every, counts, order, new, total, out
+        release()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "levels": pa.array(packed, pa.binary())})
 
     return blocks.filter("part >= 0").select("block", "part", "tokens", "counts").groupBy("part").applyInArrow(add, "block long, part int, levels binary")
@@ -137,7 +154,10 @@ def told(blocks: DataFrame, said: DataFrame, schema: str, work, whole: bool) ->
         if whole:
             rows = sorted((p, t) for p, t in zip(left.column("part").to_pylist(), left.column("tokens").to_pylist(), strict=True) if p >= 0)
             tokens = (np.concatenate([np.frombuffer(t, np.uint64) for _, t in rows]) if rows else np.zeros(0, np.uint64))[place]
-        return work(kept, owners, levels[place], tokens)
+        made = work(kept, owners, levels[place], tokens)
+        del head, said, levels, kept, owners, place, tokens
+        release()
+        return made
 
     mine = blocks.drop("counts") if whole else blocks.filter("part < 0").drop("counts", "tokens")
     return mine.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(run, schema)
