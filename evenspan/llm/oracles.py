@@ -1,9 +1,11 @@
-"""SQL of the queries that SQL can state: op1 and op2. The others rest on hash draws, trained models or joins
+"""SQL of the queries that SQL can state: op1, op2, op12 and op13. The others rest on hash draws, trained models or joins
 that SQL is too slow for, and are tested against brute force in tests/llm."""
 
 from __future__ import annotations
 
+from . import hard_negatives as h
 from . import quality as q
+from . import spelling as sp
 from .url_rules import SITE_RULES, WORD_RULES
 
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
@@ -50,5 +52,48 @@ select page_id, host, path, rule, coalesce(verdict, case when {words} then 'bloc
 from p left join hit on p.rid = hit.rid"""
 
 
+def op12() -> str:
+    return f"""
+with v as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) q
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id anchor_id, r.vec_id other, a.label = r.label same, list_dot_product(a.q::double[], r.q::double[])::bigint score
+  from v a join v r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, other positive_id, score positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= {h.POSITIVES})
+select anchor_id, positive_id, (row_number() over w)::int "rank", other negative_id, positive_score, score negative_score
+from p join s using (anchor_id)
+where not same and {h.LEAST_PERCENT} * positive_score <= 100 * score and score <= positive_score
+window w as (partition by anchor_id, positive_id order by score desc, other)
+qualify row_number() over w <= {h.NEGATIVES}"""
+
+
+def op13() -> str:
+    letters = "A-Za-z\u00c0-\u00ff"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive bits(i, k, v) as (select i, 0, i from range(256) r(i)
+    union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crc as (select list(v order by i) tab from bits where k = 8),
+runs as (select doc_id, translate(r, '{upper}', '{upper.lower()}') run, count(*) n
+  from (select doc_id, unnest(regexp_extract_all(text, '[{letters}]+')) r from documents) group by all),
+named as (select *, list_transform(string_split(doc_id::varchar || ':' || run, ''), lambda x: case when ord(x) < 128 then [ord(x)] else [195, ord(x) - 64] end) bytes
+  from runs where length(run) >= {sp.LEAST_LETTERS}),
+summed as (select run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(bytes)::bigint[]), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))) h from named, crc),
+less as (select n, case when h % {sp.CUT} = 0 then run[: h % length(run)] || run[h % length(run) + 2 :] else run end word from summed),
+w as (select word, sum(n)::bigint n from less where length(word) >= {sp.LEAST_LETTERS} group by 1 having sum(n) >= {sp.LEAST_COUNT}),
+d as (select word, i, word[: i] || word[i + 2 :] rest from (select word, unnest(range(length(word))) i from w)),
+one as (select word, rest near from d where rest in (select word from w)
+  union select rest, word from d where rest in (select word from w)
+  union select a.word, b.word from d a join d b on a.i = b.i and a.rest = b.rest and a.word <> b.word),
+best as (select one.word, count(*) n_near, arg_min(near, (-w.n, near)) near, max(w.n) near_n from one join w on w.word = one.near group by 1),
+f as (select w.word, w.n, coalesce(n_near, 0) n_near, case when near_n >= {sp.TIMES} * w.n then near end form, case when near_n >= {sp.TIMES} * w.n then near_n end form_n
+  from w left join best on w.word = best.word),
+up as (select word, form, 1 k from f where form is not null union all select up.word, f.form, k + 1 from up join f on up.form = f.word where f.form is not null),
+top as (select word, arg_max(form, k) root from up group by 1)
+select f.word, form, coalesce(root, f.word) root, n, n_near, form_n from f left join top on f.word = top.word"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1(), "op2_url_filters": op2()}
+    return {"op1_quality_rules": op1(), "op2_url_filters": op2(), "op12_hard_negatives": op12(), "op13_spelling": op13()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linedup, mixing, ngram_join, quality, sharding, spotsigs, toxicity, url_rules
+from . import bpe, hard_negatives, langid, linedup, mixing, ngram_join, quality, sharding, spelling, spotsigs, toxicity, url_rules
 from .common import table
 
 
@@ -71,8 +71,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, carry=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), anchors=F.col("vec_id") % 100 == 0)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_quality_rules, op2_url_filters, op3_bpe, op4_spotsigs, op5_language_id, op6_line_dedup, op7_ngram_jaccard, op8_sharding, op9_mixing, op10_toxicity)
+    ops = (op1_quality_rules, op2_url_filters, op3_bpe, op4_spotsigs, op5_language_id, op6_line_dedup, op7_ngram_jaccard, op8_sharding, op9_mixing, op10_toxicity, op12_hard_negatives, op13_spelling)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in ops}
