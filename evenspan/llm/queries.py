@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hard_negatives, langid, linedup, mixing, ngram_join, quality, sharding, spelling, spotsigs, toxicity, url_rules
+from . import bpe, hard_negatives, langid, licenses, linedup, mixing, ngram_join, quality, sharding, spelling, spotsigs, toxicity, url_rules
 from .common import table
 
 
@@ -71,6 +71,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, carry=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    joined = {c: F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")}
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined.values(), "score", "expressions", "freedom")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -84,5 +90,5 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_quality_rules, op2_url_filters, op3_bpe, op4_spotsigs, op5_language_id, op6_line_dedup, op7_ngram_jaccard, op8_sharding, op9_mixing, op10_toxicity, op12_hard_negatives, op13_spelling)
+    ops = (op1_quality_rules, op2_url_filters, op3_bpe, op4_spotsigs, op5_language_id, op6_line_dedup, op7_ngram_jaccard, op8_sharding, op9_mixing, op10_toxicity, op11_licenses, op12_hard_negatives, op13_spelling)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in ops}
