@@ -17,6 +17,7 @@ from .functions import titles as N
 from .functions import vectors as V
 from .operators import assemble as B
 from .operators import attention as A
+from .operators import calibrated as K
 from .operators import corpus as C
 from .operators import design as D
 from .operators import encode as E
@@ -87,24 +88,58 @@ def resolve_indices(spark: SparkSession, cfg: dict, meta: DataFrame | None = Non
     return create_indices(spark, cfg, meta).select("doc_no", "segs")
 
 
+def embedder_settings(cfg: dict, embedder: str) -> dict:
+    """What holds for one embedder, "standalone" or "latechunk": its own key (``latechunk_calib_layers``) goes before the
+    common one (``calib_layers``); pooling and the tokens that stand apart follow ``encode.overrides``."""
+    pick = lambda key, default=None: cfg.get(f"{embedder}_{key}", cfg.get(key, default))
+    how = E.overrides(
+        pick("pooling"), pick("padding_side"), pick("calib_source_tokens"), pick("isolate_bos"), pick("isolate_eos"),
+        model_pooling=pick("model_pooling"), decoder=bool(pick("decoder", False)),
+    )
+    return how | {"calibrate": bool(pick("apply_attn_calibration", False)), "layers": pick("calib_layers"), "size": pick("calib_basket_size", 128), "strength": pick("calib_strength", 1.0)}
+
+
+def calibration_of(settings: dict, n_layers: int) -> K.Calibration | None:
+    """The calibration that an embedder's settings ask for; layers are a number, "last" or "last_half"."""
+    if not settings["calibrate"]:
+        return None
+    layers = settings["layers"]
+    if layers is None:
+        raise ValueError("calib_layers must be given where attention is calibrated")
+    if isinstance(layers, str):
+        layers = len(A.calibrated_layers(n_layers, layers))
+    rows = {"cls": "cls", "all": "all", "last": "last"}[settings["calibrated_tokens"]]
+    return K.Calibration(settings["size"], layers, settings["strength"], rows, settings["isolate_first"], settings["isolate_last"])
+
+
 def compute_embeddings(spark: SparkSession, cfg: dict, tokenized: DataFrame, indices: DataFrame, encoder: Callable | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(standalone, document, late) embeddings of documents over aligned segments (dataset_idx, lang, text, input_ids).
 
-    Position 0 is in the target language, if there is one, all others in the source language.
+    Position 0 is in the target language, if there is one, all others in the source language. ``encoder`` makes a function
+    from ids to vectors (``encode.encode_with``) or an encoder by layers (``operators.calibrated``), which settings that
+    calibrate attention need.
     """
     encoder = encoder or E.fixture_encoder()
     source, target = cfg["source_lang"], cfg.get("target_lang")
     seg = tokenized.select(F.concat(F.col("dataset_idx").cast("string"), "lang").alias("seg_id"), "text", "input_ids")
     docs = indices.select(F.col("doc_no").alias("doc_id"), D.mixed_language_ids(F.col("segs"), source, target).alias("segs"))
-    pooling = E.pooling_of(cfg.get("pooling"), cfg.get("model_pooling"))
+    layers = getattr(encoder(), "n_layers", None)  # None: a plain function
+
+    def hidden(rows: DataFrame, how: dict) -> DataFrame:
+        if layers is not None:
+            return K.encode_layers(rows, encoder, calibration_of(how, layers), left=how["padding_side"] == "left")
+        if how["calibrate"]:
+            raise ValueError("calibrated attention needs an encoder by layers")
+        return E.encode_with(rows, encoder)
+
+    own, late_how = embedder_settings({"model_pooling": "mean"} | cfg, "standalone"), embedder_settings({"model_pooling": "mean"} | cfg, "latechunk")
     used = seg.join(D.used_segments(docs), "seg_id", "left_semi")
-    alone = E.encode_with(used, encoder).select("seg_id", E.pooled(F.col("hidden"), pooling).alias("embedding"))
+    alone = hidden(used, own).select("seg_id", E.pooled(F.col("hidden"), own["pooling"]).alias("embedding"))
     parts = B.gathered(docs, seg).filter(~F.col("missing"))
-    whole = B.assembled(parts, cfg.get("separator_ids"), 101, 102)
-    hidden = E.encode_with(whole, encoder)
-    document = hidden.select("doc_id", E.pooled(F.col("hidden"), pooling).alias("embedding"))
+    whole = hidden(B.assembled(parts, cfg.get("separator_ids"), 101, 102), late_how)
+    document = whole.select("doc_id", E.pooled(F.col("hidden"), late_how["pooling"]).alias("embedding"))
     spans = F.transform(F.arrays_zip("doc_ids", "doc_boundaries"), lambda x: F.struct(x["doc_ids"].alias("seg_id"), F.get(x["doc_boundaries"], F.lit(0)).alias("start"), F.get(x["doc_boundaries"], F.lit(1)).alias("end")))
-    late = E.segment_vectors(hidden.withColumn("segments", spans))
+    late = E.segment_vectors(whole.withColumn("segments", spans))
     out = cfg.get("embeddings_output_dir")
     kinds = (("standalone", alone), ("document", document), ("late", late))
     return tuple(_written(f, f"{out}/kind={kind}" if out else None) for kind, f in kinds)
