@@ -23,6 +23,7 @@ from .operators import design as D
 from .operators import encode as E
 from .operators import similarity as M
 from .operators import stats as T
+from .operators import subwords as W
 from .sources import files as S
 
 READERS: dict[str, Callable[..., DataFrame]] = {"csv": S.csv_documents, "jsonl": S.json_lines}
@@ -38,7 +39,9 @@ def _written(df: DataFrame, path: str | None, *by: str) -> DataFrame:
 def tokenize(spark: SparkSession, cfg: dict, tokenizer: Callable | None = None) -> DataFrame:
     """id, lang, text, input_ids, length of a data set of the given format (parquet, csv, jsonl or txt).
 
-    Without a tokenizer each whitespace word stands for its length, between a begin token 101 and an end token 102.
+    A tokenizer is given, or made of the settings: vocabulary_path (a file of pieces, cut by longest match), with begin_token
+    and end_token among its pieces and max_length. Without either each whitespace word stands for its length, between a
+    begin token 101 and an end token 102.
     """
     kind, path = cfg.get("dataset_format", "parquet"), cfg["dataset_path"]
     ident, text = cfg.get("id_column", "id"), cfg.get("text_column", "text")
@@ -53,6 +56,10 @@ def tokenize(spark: SparkSession, cfg: dict, tokenizer: Callable | None = None)
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(cfg.get("language", "en")))
     docs = docs.select("id", "lang", "text")
+    if tokenizer is None and (at := cfg.get("vocabulary_path")):
+        pieces = W.vocabulary_file(spark, at, cfg.get("unknown_token", W.UNKNOWN))
+        ends = [pieces.index(cfg[k]) if cfg.get(k) else None for k in ("begin_token", "end_token")]
+        tokenizer = W.tokenizer(pieces, *ends, cfg.get("max_length"), unknown=cfg.get("unknown_token", W.UNKNOWN))
     if tokenizer is not None:
         return _written(E.tokenize_with(docs, tokenizer, most=cfg.get("max_length")), cfg.get("output_path"), "lang")
     ids = F.concat(F.array(F.lit(101)), F.transform(B.whitespace_tokens(F.col("text")), lambda w: F.length(w)), F.array(F.lit(102)))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble as B
 from ..operators import calibrated as K
+from ..operators import encode as E
+from ..operators import subwords as W
 from ..registry import query
 from . import fixtures as X
 
@@ -51,3 +53,53 @@ def c03_calibrated(spark, d):
 def c03_attention(spark, d):
     r = K.attention_rows(conversations(spark, d), ENCODER, HOW, layers=[1], first_row_only=True)
     return r.select("doc_id", "head", "k", F.round("w", 6).alias("w"), F.round("w_cal", 6).alias("w_cal"))
+
+
+# ---- subword tokens: the vocabulary is a stated one, of the words of another table ----
+
+
+def pieces(spark, d):
+    """piece: the words of ``benchmark`` and their first one to four letters begin a word; its single letters and last two to four go on one."""
+    w = X.table(spark, d, "benchmark").select(F.explode(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''").distinct()
+    first = [F.substring("w", 1, n) for n in (1, 2, 3, 4)]
+    on = [F.concat(F.lit("##"), F.right("w", F.lit(n))) for n in (2, 3, 4)]
+    letters = F.transform(F.split("w", ""), lambda c: F.concat(F.lit("##"), c))
+    return w.select(F.explode(F.concat(F.array("w", *first, *on), letters)).alias("piece")).distinct()
+
+
+#: vb: pieces with their numbers; dw: words of documents; cut: of each different word its pieces' numbers in order, or the unknown's 0.
+SUBWORD_SQL = r"""
+bw as (select distinct unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) w from benchmark),
+vp as (select w piece from bw union select w[: n] from bw, range(1, 5) r(n) union select '##' || right(w, n) from bw, range(2, 5) r(n) union select '##' || unnest(string_split(w, '')) from bw),
+vb as (select piece, row_number() over (order by piece) id from vp where piece <> '[UNK]'),
+dw as (select doc_id, unnest(words) word, generate_subscripts(words, 1) place from (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') words from documents)),
+uw as (select distinct word from dw),
+ch as (select word, unnest(range(1, least(length(word), 100) + 1)) a from uw where length(word) <= 100),
+cand as (select word, a, unnest(range(1, least(length(word) - a + 1, (select max(length(piece)) from vb)) + 1)) n from ch),
+fits as (select word, a, max_by(id, n) id, max(n) n from cand join vb on vb.piece = (case when a = 1 then '' else '##' end) || word[a : a + n - 1]
+  where a > 1 or word[: 2] <> '##' or n < 2 group by word, a),
+walk as (select word, a, id, a + n nxt from fits where a = 1 union all select f.word, f.a, f.id, f.a + f.n from walk w join fits f on f.word = w.word and f.a = w.nxt),
+done as (select word, list(id order by a) ids from walk group by word having max(nxt) = length(word) + 1),
+cut as (select uw.word, coalesce(ids, [0]) ids from uw left join done on done.word = uw.word)"""
+
+
+def _subwords(spark, d):
+    return W.subword_tokens(X.table(spark, d, "documents").select("doc_id", "text"), W.vocabulary(pieces(spark, d)))
+
+
+@query("f05_subword_tokens", f"""with recursive {SUBWORD_SQL}
+ select doc_id, sum(len(ids))::int n_tokens, count(*) filter (ids = [0])::int n_unknown, md5(string_agg(array_to_string(ids, ' '), ' ' order by place)) ids_md5 from dw join cut on cut.word = dw.word group by doc_id""")
+def f05_subwords(spark, d):
+    ids = F.transform("tokens", lambda t: t["id"])
+    return _subwords(spark, d).select(
+        "doc_id", F.size(ids).alias("n_tokens"), F.size(F.filter(ids, lambda i: i == 0)).alias("n_unknown"), F.md5(F.array_join(ids.cast("array<string>"), " ")).alias("ids_md5")
+    ).filter("n_tokens > 0")
+
+
+@query("u01_subword_hook", f"""with recursive {SUBWORD_SQL}, al as (select doc_id, list_slice(flatten(list(ids order by place)), 1, 126) ids from dw join cut on cut.word = dw.word group by doc_id)
+ select doc_id, (len(ids) + 2)::int length, list_sum(ids)::bigint + 2 * (select count(*) from vb) + 3 total from al""")
+def u01_subwords(spark, d):
+    vocab = W.vocabulary(pieces(spark, d))
+    docs = X.table(spark, d, "documents").select("doc_id", "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = E.tokenize_with(docs, W.tokenizer(vocab, len(vocab), len(vocab) + 1, 128))
+    return out.select("doc_id", "length", F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
