@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import dense_number
+from .ranks import dense_number, percentiles
 
 #: Fixed patterns: pages outside the article namespace, and templates or categories in the second column.
 NAMESPACE = r"(?i)wikipedia:|image:|talk:|file:|user:|help:|mediawiki:|\.(?:jpg|jpeg|png|gif|svg)|#"
@@ -104,8 +104,11 @@ def metadata(docs: DataFrame, language: Column | None = None, topic: Column | No
 
 
 def length_summary(meta: DataFrame, by: str = "language", length: str = "token_length") -> DataFrame:
+    """Number, mean, median, sample deviation, least and greatest length of each group; the median by selection."""
     x = F.col(length).cast("double")
-    return meta.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_len"), F.median(x).alias("median_len"), F.stddev_samp(x).alias("std_len"), F.min(x).alias("min_len"), F.max(x).alias("max_len"))
+    g = meta.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_len"), F.stddev_samp(x).alias("std_len"), F.min(x).alias("min_len"), F.max(x).alias("max_len"))
+    middle = percentiles(meta, [by], length, {"median_len": 0.5}).withColumnRenamed(by, "_by")
+    return g.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean_len", "median_len", "std_len", "min_len", "max_len")
 
 
 def length_deviation(meta: DataFrame, idx: str = "dataset_idx", length: str = "token_length") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distributions import f_greater, t_crit, t_two_sided, wilcoxon_p
-from .ranks import step_of, sum_before
+from .ranks import block_of, sum_before
 
 #: The compared pairs: first with second, first with last, second with last.
 PAIRS = (("1_vs_2", 0, 1), ("1_vs_last", 0, -1), ("2_vs_last", 1, -1))
@@ -52,11 +52,12 @@ def welch(pairs: DataFrame) -> DataFrame:
 
 
 def wilcoxon(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Signed-rank sums of x - y without zero differences, tie-averaged ranks; p NULL if nothing is left."""
-    d = pairs.withColumn("d", F.col("x") - F.col("y")).filter("d <> 0")
+    """Signed-rank sums of x - y without zero differences, tie-averaged ranks; p NULL if nothing is left. An infinite
+    difference ranks as the largest; pairs without a difference (null, NaN, infinite on both sides) are left out."""
+    d = pairs.withColumn("d", F.col("x") - F.col("y")).filter("d <> 0 and not isnan(d)")
     # of each size of difference, how many there are: ranks follow from the counts of smaller sizes
-    d = d.groupBy("pair", F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("up")).withColumn("b", step_of(F.col("a")))
-    d = sum_before(d, ["pair"], "a", "b", F.col("t"), "r").withColumn("rank", F.col("r") + 1 + (F.col("t") - 1) / 2)
+    d = d.groupBy("pair", F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    d = sum_before(d.withColumn("b", block_of(d, "a")), ["pair"], "a", "b", F.col("t"), "r").withColumn("rank", F.col("r") + 1 + (F.col("t") - 1) / 2)
     g = d.groupBy("pair").agg(
         F.sum("t").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum((F.col("t") - F.col("up")) * F.col("rank")).alias("w_minus"),
         F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
@@ -65,10 +66,11 @@ def wilcoxon(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, value: str, name: str = "avg_rank") -> DataFrame:
-    """``rows`` with the rank of a number among all, ties averaged: ranks follow from the counts of smaller values."""
-    n = rows.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_t")).withColumn("_b", step_of(F.col("_v").cast("double")))
-    ranks = sum_before(n, [], "_v", "_b", F.col("_t"), "_r").select("_v", (F.col("_r") + 1 + (F.col("_t") - 1) / 2).alias(name))
-    return rows.join(ranks, F.col(value) == F.col("_v")).drop("_v")
+    """``rows`` with the rank of a number among all, ties averaged: ranks follow from the counts of smaller values. A row
+    without a number (null) isn't counted and has no rank; NaN ranks after infinity, as Spark orders it."""
+    n = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
+    ranks = sum_before(n.withColumn("_b", block_of(n, "_v")), [], "_v", "_b", F.col("_t"), "_r").select("_v", (F.col("_r") + 1 + (F.col("_t") - 1) / 2).alias(name))
+    return rows.join(ranks, F.col(value).cast("double") == F.col("_v"), "left").drop("_v")
 
 
 def item_key(doc_id: Column) -> Column:

@@ -35,6 +35,63 @@ def test_percentiles_are_exact(spark):
     assert got["a"] == pytest.approx(tuple(np.quantile(x, [0.01, 0.95, 0.5]))) and got["b"] == (3.0, 3.0, 3.0) and got["c"] == pytest.approx((-1.93, 4.65, 1.5))
 
 
+def test_bits_rise_with_the_numbers(spark):
+    import struct
+
+    rng = np.random.default_rng(9)
+    near = [2.0**e * f for e in (*range(-1074, 1024, 7), -1023, -1022, -1021, 1023) for f in (1.0, 1 - 2.0**-53, 1 + 2.0**-52, 1.5)]
+    x = [v for v in (*near, *rng.normal(size=300), *np.exp(rng.uniform(-700, 700, 300)), 0.0, float("inf"), 5e-324, 1.7976931348623157e308) if v == v]
+    x += [-v for v in x]
+    d = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for r in d.withColumn("b", R.ordered_bits(F.col("x"))).collect():
+        want = struct.unpack("<q", struct.pack("<d", abs(r["x"])))[0]
+        assert r["b"] == (-want if r["x"] < 0 else want), r["x"]
+
+
+def test_percentiles_of_odd_values(spark, monkeypatch):
+    monkeypatch.setattr(R, "FEW", 3)
+    inf, nan = float("inf"), float("nan")
+    rng = np.random.default_rng(5)
+    x = {
+        "equal": [0.7] * 500, "close": (0.9 + rng.integers(0, 900, 700) * 2.0**-50).tolist(), "ends": [1.0, 2.0, inf, -inf, 3.0, nan, None], "zeros": [0.0, -0.0, 1.0, -1.0, 0.0],
+        "tiny": (rng.integers(1, 400, 300) * 5e-324).tolist(), "skewed": [1.0] * 400 + np.exp(rng.normal(size=300) * 200).tolist() + [-1e300], None: rng.normal(size=100).tolist(), "none": [None, nan],
+    }
+    d = spark.createDataFrame([(g, v) for g, vs in x.items() for v in vs], "g string, x double").repartition(5)
+    shares = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r["g"]: [r[n] for n in shares] for r in R.percentiles(d, ["g"], "x", shares).collect()}
+    assert set(got) == set(x) - {"none"}
+    for g, row in got.items():
+        v = sorted(y for y in x[g] if y is not None and y == y)
+        for y, p in zip(row, shares.values(), strict=True):
+            at = p * (len(v) - 1)
+            lo, hi = v[int(np.floor(at))], v[int(np.ceil(at))]
+            want = lo if lo == hi else lo + (hi - lo) * (at - np.floor(at))
+            assert y == pytest.approx(want, rel=1e-12, nan_ok=True), (g, p)
+    assert R.percentiles(d.filter("g = 'none'"), ["g"], "x", {"p": 0.5}).count() == 0
+    assert R.percentiles(d.filter("g = 'close'"), [], "x", {"p": 0.5}).first()["p"] == pytest.approx(np.median(x["close"]))
+
+
+def test_ranks_with_nulls_and_infinite_values(spark, monkeypatch):
+    inf = float("inf")
+    d = spark.createDataFrame([(1.0, 1), (None, 2), (2.0, 3), (inf, 4), (-inf, 5), (2.0, 6)], "x double, i int")
+    for block in (R.BLOCK, 2):
+        monkeypatch.setattr(R, "BLOCK", block)
+        monkeypatch.setattr(R.block_of, "__defaults__", (block,))
+        got = {r["i"]: r["avg_rank"] for r in T.average_ranks(d, "x").collect()}
+        assert got == {1: 2.0, 2: None, 3: 3.5, 4: 5.0, 5: 1.0, 6: 3.5}
+        p = spark.createDataFrame([("p", 1.0, inf), ("p", 3.0, 1.0), ("p", 2.0, 2.0), ("p", None, 1.0), ("p", inf, inf), ("p", 0.5, 0.0)], "pair string, x double, y double")
+        w = T.wilcoxon(p).first()
+        assert (w["n"], w["w_plus"], w["w_minus"]) == (3, 3.0, 3.0)
+
+
+def test_medians_of_lengths(spark):
+    from evenspan.operators import corpus as C
+
+    rows = [("a", 5), ("a", 1), ("a", 2), ("a", 100), (None, 7), ("b", None)]
+    got = {r["language"]: (r["n"], r["median_len"], r["max_len"]) for r in C.length_summary(spark.createDataFrame(rows, "language string, token_length int")).collect()}
+    assert got == {"a": (4, 3.5, 100.0), None: (1, 7.0, 7.0), "b": (1, None, None)}
+
+
 def test_ranks_of_ties(spark):
     rng = random.Random(2)
     rows = [("p", i, rng.choice([1.0, 2.0, 3.5]), rng.choice([1.0, 2.5, 3.0, 4.0])) for i in range(80)]
