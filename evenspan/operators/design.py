@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb, factorial
+from collections.abc import Iterator
+from math import factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranks import dense_number
+from .sets import SequenceCounts, SetCounts, dealt, mixed
 
 
 def length_range(segments: DataFrame, lo: int, hi: int, length: str = "token_length") -> DataFrame:
@@ -46,66 +49,90 @@ def draw(*columns: Column | str, seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]))
 
 
-#: As many sets of a pool are all made instead of drawn.
-FEW_SETS = 100_000
+#: Sets that a task makes at once, and sets of a partition, about.
+MADE, PER_TASK = 2_000, 50_000
 
 
-def _all_sets(pool: DataFrame, k: int, ident: str, length: str) -> DataFrame:
-    """Every set of k of a pool so small that its sets are FEW_SETS at most: key, o (in a drawn order), total."""
-    rows = sorted((r[0], r[1]) for r in pool.select(ident, length).collect())  # FEW_SETS rows at most, where k is 1
-    kind = pool.schema[ident].dataType.simpleString()
-    made = [([x[0] for x in c], sum(x[1] or 0 for x in c)) for c in combinations(rows, k)]
-    return pool.sparkSession.createDataFrame(made, f"key array<{kind}>, total long")
+def _lengths(pool: DataFrame, ident: str, length: str, max_total: int | None) -> DataFrame:
+    """_id, _n: every segment once, with its length (null: 0; all 0 without a cap, as then lengths don't matter)."""
+    n = F.lit(0) if max_total is None else F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0))
+    return pool.filter(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("_id")).agg(F.min(n.cast("long")).alias("_n"))
+
+
+def _counts(rows: DataFrame, k: int, max_total: int | None) -> SetCounts:
+    """The table of the sets that fit: of each length up to the cap, how many segments have it (no more rows than the cap)."""
+    cap = 0 if max_total is None else max(0, max_total)
+    histogram = rows.filter(F.col("_n") <= cap).groupBy("_n").agg(F.count(F.lit(1)).alias("c")).collect()
+    return SetCounts([(r["_n"], r["c"]) for r in histogram], k, cap)
+
+
+def feasible_sets(pool: DataFrame, k: int, max_total: int | None = None, ident: str = "seg_id", length: str = "token_length") -> int | float:
+    """How many sets of k different segments there are whose lengths sum to the cap at most (a double from 2^62 on)."""
+    return _counts(_lengths(pool, ident, length, max_total), k, max_total).total
 
 
 def sampled_sets(pool: DataFrame, k: int, n_sets: int, max_total: int | None = None, seed: int = 0, ident: str = "seg_id", length: str = "token_length") -> DataFrame:
-    """set_no, segs: ``n_sets`` sets of k different segments, no two equal, whose lengths sum to the cap at most; fewer
-    where there are no more (or, of a large pool, where twice as many rounds of drawing find no more).
+    """set_no, segs: ``n_sets`` sets of k different segments, no two equal, whose lengths sum to the cap at most, every
+    such set as likely as another; all there are, where there are no more. Members stand in a drawn order.
 
-    Of a small pool all sets are made and drawn from. Of a large one rounds give each segment a place in a random
-    order, and neighbours in it make the sets of a round; the order is kept in blocks dealt by hash, so that none is
-    sorted in one task. A pool of fewer than k segments gives sets in which segments come more than once.
+    Sets are made from their numbers (``operators.sets``), so that none is drawn in vain; segments are joined to them by
+    length and place, and no task holds the pool. A pool of fewer than k segments gives sequences in which segments
+    come more than once, and the same sequence may come again.
     """
-    n = pool.count()
-    shuffled = lambda c: F.transform(F.array_sort(F.transform(c, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), x.cast("string"))).alias("h"), x.alias("x")))), lambda s: s["x"])
-    if not n:
-        return pool.select(F.lit(0).cast("long").alias("set_no"), F.array(ident).alias("segs")).limit(0)
-    if n < k:
-        numbered = dense_number(pool.select(ident, length), ident, "_i")
-        want = pool.sparkSession.range(10 * n_sets).select(F.col("id").alias("_s"), F.posexplode(F.array_repeat(F.lit(0), k)).alias("_p", "_z"))
-        want = want.withColumn("_i", F.pmod(F.conv(F.substring(draw("_s", "_p", seed=seed), 1, 12), 16, 10).cast("long"), F.lit(n)))
-        sets = want.join(F.broadcast(numbered), "_i").groupBy("_s").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", ident))), lambda x: x[ident]).alias("segs"), F.sum(length).alias("total"))  # fewer than k rows
-        sets = sets.filter(F.lit(True) if max_total is None else F.col("total") <= max_total)
-        order = sets.withColumn("_h", draw("_s", seed=seed))
-        return order.orderBy("_h").limit(n_sets).withColumn("set_no", F.row_number().over(W.orderBy("_h")) - 1).select("set_no", "segs")
-    if comb(n, k) <= FEW_SETS:
-        every = _all_sets(pool, k, ident, length)
-        every = every.filter(F.lit(True) if max_total is None else F.col("total") <= max_total)
-        first = every.select(shuffled(F.col("key")).alias("segs"))
-    else:
-        rounds, had = max(1, -(-n_sets * k * 2 // n)), -1
-        while True:
-            first = _drawn_sets(pool, k, n, rounds, max_total, seed, ident, length)
-            got = first.count()
-            if got >= n_sets or got == had:
-                break
-            rounds, had = 2 * rounds, got
-    order = first.withColumn("_h", draw(F.array_join("segs", "_"), seed=seed)).orderBy("_h").limit(n_sets)  # a limit is the operator's purpose
-    return order.withColumn("set_no", F.row_number().over(W.orderBy("_h")) - 1).select("set_no", "segs")
-
-
-def _drawn_sets(pool: DataFrame, k: int, n: int, rounds: int, max_total: int | None, seed: int, ident: str, length: str) -> DataFrame:
-    """segs: the different sets that so many rounds of drawing give."""
-    blocks = max(1, n // 100_000)
-    r = pool.select(ident, length).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    r = r.withColumn("_h", draw("_round", ident, seed=seed)).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(blocks)))
-    r = r.withColumn("_rn", F.row_number().over(W.partitionBy("_round", "_b").orderBy("_h")) - 1)
-    r = r.withColumn("_set", F.floor(F.col("_rn") / k))
-    sets = r.groupBy("_round", "_b", "_set").agg(F.array_sort(F.collect_list(ident)).alias("key"), F.array_sort(F.collect_list(F.struct("_h", ident))).alias("o"), F.sum(length).alias("total"), F.count(F.lit(1)).alias("n"))
-    sets = sets.filter(F.col("n") == k)
-    if max_total is not None:
-        sets = sets.filter(F.col("total") <= max_total)
-    return sets.groupBy("key").agg(F.min(F.struct("_round", "o")).alias("f")).select(F.transform("f.o", lambda x: x[ident]).alias("segs"))
+    spark = pool.sparkSession
+    rows = _lengths(pool, ident, length, max_total)
+    short = [tuple(r) for r in rows.limit(k).collect()]
+    none = pool.select(F.lit(0).cast("long").alias("set_no"), F.array(ident).alias("segs")).limit(0)
+    if n_sets < 1 or not short or (max_total is not None and max_total < 0):
+        return none
+    if len(short) < k:
+        return _sequences(spark, sorted(short), k, n_sets, max_total, seed, pool.schema[ident].dataType.simpleString())
+    counts = _counts(rows, k, max_total)
+    if counts.total < 1:
+        return none
+    sets = _numbered_sets(spark, counts, 0, min(n_sets, counts.total) if counts.exact else n_sets, seed)
+    if not counts.exact:
+        # numbers no longer tell sets apart: of equal ones the first stays, and draws go on for those that are missing
+        first = lambda x: x.groupBy("set_no").agg(F.array_sort(F.collect_list(F.struct("_n", "_i"))).alias("_k")).groupBy("_k").agg(F.min("set_no").alias("set_no"))
+        drawn = n_sets
+        while (lacking := n_sets - first(sets).count()) > 0:
+            sets = sets.unionByName(_numbered_sets(spark, counts, drawn, drawn + lacking, seed))
+            drawn += lacking
+        sets = sets.join(dense_number(first(sets).select("set_no"), "set_no", "_no"), "set_no").drop("set_no").withColumnRenamed("_no", "set_no")
+    places = dense_number(rows.withColumn("_h", F.xxhash64("_id")), "_h", "_i", ["_n"])
+    members = sets.join(places, ["_n", "_i"]).withColumn("_h", draw("set_no", "_id", seed=seed))
+    return members.groupBy("set_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("_h", "_id"))), lambda x: x["_id"]).alias("segs"))
+
+
+def _numbered_sets(spark, counts: SetCounts, start: int, stop: int, seed: int) -> DataFrame:
+    """set_no, _n, _i: the k members of each set from ``start`` up to ``stop``, as length and place."""
+    table = spark.sparkContext.broadcast(counts)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = table.value
+        for b in batches:
+            every = b.column(0).to_numpy()
+            for at in range(0, len(every), MADE):
+                ids = every[at : at + MADE]
+                n, i = c.sets(dealt(ids, c.total, seed) if c.exact else ids, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, c.k)), pa.array(n.ravel()), pa.array(i.ravel())], names=["set_no", "_n", "_i"])
+
+    return spark.range(start, stop, 1, max(1, (stop - start) // PER_TASK)).mapInArrow(make, "set_no long, _n long, _i long")
+
+
+def _sequences(spark, rows: list[tuple], k: int, n_sets: int, max_total: int | None, seed: int, kind: str) -> DataFrame:
+    """Sequences of a pool of fewer than k segments."""
+    counts = SequenceCounts([n for _, n in rows], k, 0 if max_total is None else max_total)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            high, low = mixed(ids, 2 * seed + 1).tolist(), mixed(ids, 2 * seed + 2).tolist()
+            at = [counts.sequence(((h << 64) | x) % counts.total) for h, x in zip(high, low, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], names=["set_no", "at"])
+
+    pool = F.array(*[F.lit(r[0]).cast(kind) for r in rows])
+    return spark.range(n_sets if counts.total else 0).mapInArrow(make, "set_no long, at array<int>").select("set_no", F.transform("at", lambda i: F.get(pool, i)).alias("segs"))
 
 
 def permutation_table(spark, k: int) -> DataFrame:

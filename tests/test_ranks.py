@@ -115,14 +115,75 @@ def test_as_many_sets_as_there_are(spark):
     assert len(capped) == sum(30 + sum(c) <= 60 for c in itertools.combinations(range(30), 3))
 
 
-def test_rounds_go_on_until_there_are_enough(spark, monkeypatch):
-    monkeypatch.setattr(D, "FEW_SETS", 0)
-    got = [tuple(sorted(r["segs"])) for r in D.sampled_sets(pool(spark, 30), 3, 300).collect()]
-    assert len(set(got)) == len(got) == 300
+def by_length(rows, k, cap):
+    return [c for c in itertools.combinations(range(len(rows)), k) if cap is None or sum(rows[i] or 0 for i in c) <= cap]
+
+
+@pytest.mark.parametrize(("k", "cap"), [(1, 5), (2, 9), (3, 14), (4, 20), (3, None), (5, 0), (3, -1)])
+def test_every_set_that_fits_and_no_other(spark, k, cap):
+    rng = random.Random(k)
+    rows = [rng.choice((0, 1, 2, 3, 5, 8, 13, None)) for _ in range(14)]
+    d = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(rows)] + [("s0", rows[0]), (None, 1)], "seg_id string, token_length int").repartition(3)
+    want = {tuple(sorted(f"s{i}" for i in c)) for c in by_length(rows, k, cap)} if cap is None or cap >= 0 else set()
+    if cap is None or cap >= 0:
+        assert D.feasible_sets(d, k, cap) == len(want)
+    got = D.sampled_sets(d, k, 10**6, cap, seed=3).collect()
+    assert sorted(r["set_no"] for r in got) == list(range(len(want)))
+    assert {tuple(sorted(r["segs"])) for r in got} == want and len(got) == len(want)
+    few = D.sampled_sets(d, k, 7, cap, seed=3).collect()
+    assert len(few) == min(7, len(want)) == len({tuple(sorted(r["segs"])) for r in few}) and {tuple(sorted(r["segs"])) for r in few} <= want
+
+
+def test_few_sets_among_many_that_do_not_fit(spark):
+    """Most of the pool is too long: sets are found all the same."""
+    rows = [1] * 60 + [50] * 940
+    d = spark.createDataFrame(list(enumerate(rows)), "seg_id long, token_length int")
+    got = D.sampled_sets(d, 3, 50, max_total=3).collect()
+    assert len(got) == 50 == len({tuple(sorted(r["segs"])) for r in got}) and all(x < 60 for r in got for x in r["segs"]) and D.feasible_sets(d, 3, 3) == comb(60, 3)
+
+
+def test_draws_are_even(spark):
+    rows = [1, 1, 2, 3, 3, 4]
+    d = spark.createDataFrame(list(enumerate(rows)), "seg_id long, token_length int")
+    every, seen = by_length(rows, 3, 7), {}
+    for seed in range(60):
+        for r in D.sampled_sets(d, 3, 3, 7, seed).collect():
+            key = tuple(sorted(r["segs"]))
+            seen[key] = seen.get(key, 0) + 1
+    assert set(seen) == set(every) and max(seen.values()) < 5 * 180 / len(every)
+
+
+def test_numbers_of_sets_beyond_64_bits(spark, monkeypatch):
+    from evenspan.operators import sets as N
+
+    big = N.SetCounts([(5, 10**6), (7, 10**6), (11, 400)], 5, 60)
+    assert not big.exact and big.total == pytest.approx(comb(2 * 10**6 + 400, 5), rel=1e-9)
+    n, i = big.sets(np.arange(500), 1)
+    assert (n.sum(axis=1) <= 60).all() and all(len(set(zip(a, b, strict=True))) == 5 for a, b in zip(n.tolist(), i.tolist(), strict=True)) and i.max() > 500_000
+    monkeypatch.setattr(N, "EXACT", 1)  # doubles for few sets too: what comes twice is drawn again
+    rows = [1, 1, 2, 3, 3, 4, 5, 5]
+    d = spark.createDataFrame(list(enumerate(rows)), "seg_id long, token_length int")
+    got = D.sampled_sets(d, 3, 12, 8).collect()
+    assert len({tuple(sorted(r["segs"])) for r in got}) == 12 and {tuple(sorted(r["segs"])) for r in got} <= set(by_length(rows, 3, 8)) and sorted(r["set_no"] for r in got) == list(range(12))
+
+
+def test_lengths_in_blocks_of_tables():
+    from evenspan.operators import sets as N
+
+    rng = random.Random(8)
+    lengths = [(n, rng.randrange(1, 4)) for n in range(1, 18)]
+    c = N.SetCounts(lengths, 3, 25)
+    n, i = c.sets(np.arange(c.total))
+    got = {tuple(sorted(zip(a, b, strict=True))) for a, b in zip(n.tolist(), i.tolist(), strict=True)}
+    flat = [(n, i) for n, m in lengths for i in range(m)]
+    assert got == {tuple(sorted(s)) for s in itertools.combinations(flat, 3) if sum(x for x, _ in s) <= 25} and len(got) == c.total
+    for of in (1, 2, 5, 37, 1000):
+        assert sorted(N.dealt(np.arange(of), of, 4).tolist()) == list(range(of))
 
 
 def test_a_short_pool_repeats_segments(spark):
     got = [r["segs"] for r in D.sampled_sets(pool(spark, 2), 3, 40).collect()]
+    assert len({tuple(s) for s in got}) == 8 and {tuple(r["segs"]) for r in D.sampled_sets(pool(spark, 2), 3, 40, 31).collect()} == {(0, 0, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0)}
     assert len(got) == 40 and all(len(s) == 3 and set(s) <= {0, 1} for s in got) and D.sampled_sets(pool(spark, 0), 3, 5).count() == 0
 
 
