@@ -37,6 +37,29 @@ def o08i(spark, d):
     return parts.agg(F.max("n").cast("int").alias("k"), (F.min("n") == 3).alias("all_different"), (F.max("t") <= 1500).alias("all_within_cap")).join(F.broadcast(key))
 
 
+#: Sets of three of the pool that fit, by lengths: of three lengths, of two equal ones and another, of three equal ones.
+FEASIBLE_SQL = f"""{TOKENS_SQL}, hl as (select token_length n, count(*) c from tok where lang = 'en' group by 1),
+ ft as (select coalesce(sum(case when a.n = b.n and b.n = d.n then a.c * (a.c - 1) * (a.c - 2) / 6 when a.n = b.n then a.c * (a.c - 1) / 2 * d.c when b.n = d.n then a.c * b.c * (b.c - 1) / 2 else a.c * b.c * d.c end), 0)::bigint n
+  from hl a join hl b on a.n <= b.n join hl d on b.n <= d.n where a.n + b.n + d.n <= 1500)"""
+
+
+@query("o08_feasible_sets", f"with {FEASIBLE_SQL} select n n_feasible, least(n, 100) n_drawn, least(n, 100) n_different, n > 0 all_within_cap from ft")
+def o08f(spark, d):
+    pool = _pool(spark, d)
+    lengths = _sets(spark, d).select("set_no", F.array_sort("segs").alias("key"), F.explode("segs").alias("seg_id")).join(pool, "seg_id")
+    per = lengths.groupBy("set_no", "key").agg(F.sum("token_length").alias("t"))
+    drawn = per.agg(F.count(F.lit(1)).alias("n_drawn"), F.countDistinct("key").alias("n_different"), F.coalesce(F.max("t") <= 1500, F.lit(False)).alias("all_within_cap"))
+    return drawn.select(F.lit(D.feasible_sets(pool, 3, 1500)).cast("long").alias("n_feasible"), "n_drawn", "n_different", "all_within_cap")
+
+
+@query("o08_all_sets", f"with {TOKENS_SQL} select a.doc_id a, b.doc_id b, a.token_length + b.token_length total from tok a join tok b on a.doc_id < b.doc_id and a.token_length + b.token_length <= 60 where a.lang = 'en' and b.lang = 'en'")
+def o08a(spark, d):
+    """More sets are asked for than there are: all of them come."""
+    pool = _pool(spark, d)
+    s = D.sampled_sets(pool, 2, 10**12, max_total=60, seed=2).select("set_no", F.explode("segs").alias("seg_id")).join(pool, "seg_id")
+    return s.groupBy("set_no").agg(F.min("seg_id").alias("a"), F.max("seg_id").alias("b"), F.sum("token_length").alias("total")).drop("set_no")
+
+
 @query("o09_permutations", f"with {ITEMS_SQL} select item, perm, string_agg(seg_id::varchar, '_' order by pos) ids from segs group by item, perm")
 def o09(spark, d):
     items = X.items(spark, d).withColumn("item", F.concat_ws("_", "label", "item_no"))
