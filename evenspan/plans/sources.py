@@ -8,6 +8,7 @@ from ..registry import query
 from ..jobs import analyze_attention
 from ..sources import files as S
 from ..sources import sinks as K
+from ..sources.dumps import dump_tuples
 from ..sources.scratch import scratch_path
 from . import fixtures as X
 from .attention import ABS_SQL, TRIM_SQL
@@ -141,6 +142,17 @@ def s12b(spark, d):
     return S.dump_langlinks(T(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(one), ",").alias("value")), "de")
 
 
+@query("s12_dump_splits", "select p_partkey page_id, p_name || ' ),(' || p_partkey || ',0,'' x' title from part where p_partkey % 5 <> 0")
+def s12c(spark, d):
+    """Statements of many tuples, whose titles hold what separates tuples, written and read by splits."""
+    k = F.col("p_partkey").cast("string")
+    one = F.concat(F.lit("("), k, F.when(F.col("p_partkey") % 5 == 0, F.lit(",14,'")).otherwise(F.lit(",0,'")), "p_name", F.lit("_),("), k, F.lit(",0,\\'_x',0)"))
+    lines = T(spark, d, "part").groupBy("p_size").agg(F.concat(F.lit("INSERT INTO `page` VALUES "), F.array_join(F.collect_list(one), ","), F.lit(";")).alias("value"))
+    path = scratch_path(spark, "dump")
+    lines.select("value").write.text(path)
+    return S.dump_pages(dump_tuples(spark, path))
+
+
 @query("s13_k02_metadata_map", f"with {TOKENS_SQL} select doc_id::varchar doc_id, rn - 1 dataset_idx, token_length, lang as language, '_NA' topic, '_NA' pair_id from tok")
 def s13(spark, d):
     from .corpus import meta

@@ -96,8 +96,10 @@ def parallel_ids(table: DataFrame) -> DataFrame:
     return t.withColumn("_bad", bad).filter("_bad = 0").select(F.col("line_no").alias("aligned_id"), "lang", "wiki_pageid")
 
 
-PAGE = r"\((\d+),(-?\d+),'((?:[^'\\]|\\.)*)'"
-LINK = r"\((\d+),'((?:[^'\\]|\\.)*)','((?:[^'\\]|\\.)*)'\)"
+#: What stands in quotes; runs without a backslash are taken at once, as the matcher keeps a frame for each turn.
+_QUOTED = r"'([^'\\]*+(?:\\.[^'\\]*+)*)'"
+PAGE = rf"\((\d+),(-?\d+),{_QUOTED}"
+LINK = rf"\((\d+),{_QUOTED},{_QUOTED}\)"
 
 
 def dump_pages(lines: DataFrame, column: str = "value") -> DataFrame:
