@@ -8,8 +8,6 @@ output path, else the frame itself.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,18 +173,19 @@ def vector_norms(frame: DataFrame) -> DataFrame:
     return frame.agg(F.min(V.norm(F.col("embedding"))).alias("lo"), F.max(V.norm(F.col("embedding"))).alias("hi"))
 
 
-def quantitative_results(runs: DataFrame, sims_of: Callable[[str], DataFrame], model: str, languages: list[str]) -> dict[str, DataFrame]:
-    """Every position statistic of every run of a model: the runs (name) are categorised, collected and measured, each
-    with its name in the column run. Runs are a line each; their similarities (doc_id, item, pos, sim) stay frames."""
-    names = [r["name"] for r in S.run_catalog(runs, model, languages).select("name").distinct().orderBy("name").collect()]
-    parts: dict[str, list[DataFrame]] = {}
-    for name in names:
-        sims = sims_of(name)
-        pairs, means = T.position_pairs(sims), T.item_means(sims)
-        one = {
-            "profile": M.profile(sims), "differences": T.position_differences(pairs), "welch": T.welch(pairs), "wilcoxon": T.wilcoxon(pairs),
-            "anova": T.rm_anova(means), "regression": T.clustered_ols(sims), "gini": T.gini(means),
-        }
-        for k, f in one.items():
-            parts.setdefault(k, []).append(f.withColumn("run", F.lit(name)))
-    return {k: reduce(DataFrame.unionByName, v) for k, v in parts.items()}
+def quantitative_results(runs: DataFrame, sims: DataFrame, model: str, languages: list[str], leakage: DataFrame | None = None, permutations: int = 10_000) -> dict[str, DataFrame]:
+    """Every position statistic of every run of a model, each with the run's name in the column run: the runs (name) are categorised
+    and chosen, and all go through one plan for each statistic. ``sims``: run, (kind,) doc_id, item, pos, sim, where kind tells the
+    similarities of whole documents from those of late segments; ``leakage``: run, src, dst, sim of ``similarity.leakage_pairs``."""
+    chosen = S.run_catalog(runs, model, languages).select(F.col("name").alias("run")).distinct()
+    sims = sims.join(chosen, "run", "left_semi")
+    by = [c for c in ("run", "kind") if c in sims.columns]
+    pairs, means = T.position_pairs(sims, by=by), T.item_means(sims, by=by)
+    out = {
+        "profile": M.profile(sims, [*by, "pos"]), "differences": T.position_differences(pairs, by), "welch": T.welch(pairs, by), "wilcoxon": T.wilcoxon(pairs, by=by),
+        "anova": T.rm_anova(means, by), "regression": T.clustered_ols(sims, by=by), "gini": T.gini(means, by).join(T.gini_test(means, permutations, by=by).drop("gini"), by),
+    }
+    if leakage is not None:
+        leakage = leakage.join(chosen, "run", "left_semi")
+        out |= {"leakage": M.directional_leakage(leakage, ["run"]), "leakage_test": M.leakage_test(leakage, ["run"]), "positional_leakage": M.positional_leakage(leakage, ["run"])}
+    return out

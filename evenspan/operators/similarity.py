@@ -78,14 +78,15 @@ def directional_leakage(pairs: DataFrame, by: list[str] | None = None) -> DataFr
     return pairs.groupBy(*by).agg(*agg) if by else pairs.agg(*agg)
 
 
-def leakage_test(pairs: DataFrame) -> DataFrame:
-    """Student's t of forward against backward with equal variances, forward greater."""
+def leakage_test(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Student's t of forward against backward with equal variances, forward greater, for each group if there are some."""
     ahead = F.col("src") < F.col("dst")
-    g = pairs.agg(*[f(_when(c)).alias(f"{k}{s}") for s, c in (("f", ahead), ("b", ~ahead)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    aggs = [f(_when(c)).alias(f"{k}{s}") for s, c in (("f", ahead), ("b", ~ahead)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]
+    g = pairs.groupBy(*by).agg(*aggs) if by else pairs.agg(*aggs)
     df = F.col("nf") + F.col("nb") - 2
     pooled = ((F.col("nf") - 1) * F.col("vf") + (F.col("nb") - 1) * F.col("vb")) / df
     t = (F.col("mf") - F.col("mb")) / F.sqrt(pooled * (1 / F.col("nf") + 1 / F.col("nb")))
-    out = g.select(F.col("mf").alias("forward"), F.col("mb").alias("backward"), t.alias("t"), df.alias("df"))
+    out = g.select(*(by or []), F.col("mf").alias("forward"), F.col("mb").alias("backward"), t.alias("t"), df.alias("df"))
     return out.withColumn("p_value", t_greater(F.col("t"), F.col("df"))).withColumn("significant", F.col("p_value") < 0.05)
 
 

@@ -1,3 +1,3 @@
 """Registers the queries: importing this package fills ``evenspan.registry``."""
 
-from . import assembly, attention, corpus, encoding, functions, jobs, legacy, similarity, sources, statistics  # noqa: F401
+from . import assembly, attention, corpus, encoding, functions, jobs, legacy, services, similarity, sources, statistics  # noqa: F401
