@@ -39,8 +39,10 @@ def pair_length_similar(a: Column, b: Column, tolerance: float = 0.15) -> Column
     return F.abs(a - b) <= tolerance * F.greatest(a, b)
 
 
-def rounded_sample(n: int, k: int) -> int:
+def rounded_sample(n: int | Column, k: int) -> int | Column:
     """The next multiple of k! from n on: every set gives all its permutations."""
+    if isinstance(n, Column):
+        return F.ceil(n / factorial(k)) * factorial(k)
     return -(-n // factorial(k)) * factorial(k)
 
 

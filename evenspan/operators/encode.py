@@ -109,23 +109,35 @@ def overrides(pooling: str | None = None, padding_side: str | None = None, calib
     }
 
 
+def override_columns(pooling: Column, padding_side: Column, calibrated_tokens: Column, isolate_first: Column, isolate_last: Column, *, model_pooling: Column, decoder: Column) -> dict[str, Column]:
+    """The same for rows of settings, null where nothing is chosen; a choice that there isn't fails the row's task."""
+    def known(name: str, value: Column) -> Column:
+        return F.when(value.isNull() | value.isin(*CHOICES[name]), value).otherwise(F.raise_error(F.concat(F.lit(f"{name} is one of {CHOICES[name]}, not "), value)))
+
+    how = F.coalesce(known("pooling", pooling), model_pooling, F.lit("cls"))
+    return {
+        "pooling": how, "padding_side": F.coalesce(known("padding_side", padding_side), F.when(decoder, "left").otherwise("right")),
+        "calibrated_tokens": F.coalesce(known("calibrated_tokens", calibrated_tokens), F.when(how == "mean", "all").otherwise(how)),
+        "isolate_first": F.coalesce(isolate_first, how != "mean"), "isolate_last": F.coalesce(isolate_last, how == "last"),
+    }
+
+
 def model_inputs(rows: DataFrame, keep: tuple[str, ...] = MODEL_KEYS) -> DataFrame:
     """Only the columns that a model takes, as far as there are any."""
     return rows.select(*[c for c in keep if c in rows.columns])
 
 
-def generated_rows(spark, make: Callable[[int], Iterator[dict]], schema: str, parts: int = 1) -> DataFrame:
-    """A frame of the rows that ``make(part)`` yields, a task for each part; nothing is held but a batch."""
+def generated_rows(of: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
+    """A frame of the rows that ``make(row)`` yields for each row of ``of``; nothing is held but a batch."""
     names = [f.split()[0] for f in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for part in f["id"]:
-                rows = make(int(part))
-                while batch := list(islice(rows, 1000)):
-                    yield pd.DataFrame(batch, columns=names)
+            rows = (x for r in f.to_dict("records") for x in make(r))
+            while batch := list(islice(rows, 1000)):
+                yield pd.DataFrame(batch, columns=names)
 
-    return spark.range(0, parts, 1, parts).mapInPandas(run, schema)
+    return of.mapInPandas(run, schema)
 
 
 def collated(rows: DataFrame, batch: str, pad_id: int = 0, left: bool = False, multiple: int = 1, ids: str = "input_ids") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,6 +64,6 @@ def run_all(jobs: dict[str, Callable[[], object]]) -> Run:
     return run
 
 
-def sweep(spark: SparkSession, cases: list[int], sizes: list[int]) -> DataFrame:
-    """case, basket_size: all settings of a sweep."""
-    return spark.createDataFrame([(c, s) for c in cases for s in sizes], "case int, basket_size int")
+def sweep(cases: DataFrame, sizes: DataFrame) -> DataFrame:
+    """All settings of a sweep: every case with every size. Both are lists of settings, of which the sizes are fewer."""
+    return cases.join(F.broadcast(sizes))

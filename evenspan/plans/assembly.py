@@ -67,9 +67,10 @@ def o09(spark, d):
     return D.permuted(sets, 3).select(F.col("set_no").alias("item"), "perm", F.array_join(F.col("segs").cast("array<string>"), "_").alias("ids"))
 
 
-@query("o10_rounded_sample", "select k, n, (ceil(n / f::double) * f)::bigint rounded from (values (2, 2), (3, 6), (4, 24)) t(k, f), (values (1000), (1001), (24)) s(n)")
+@query("o10_rounded_sample", "select p_partkey, k, (ceil(p_partkey / f::double) * f)::bigint rounded from part, (values (2, 2), (3, 6), (4, 24)) t(k, f)")
 def o10(spark, d):
-    return spark.createDataFrame([(k, n, D.rounded_sample(n, k)) for k in (2, 3, 4) for n in (1000, 1001, 24)], "k int, n int, rounded long")
+    made = F.array(*[F.struct(F.lit(k).alias("k"), D.rounded_sample(F.col("p_partkey"), k).cast("long").alias("rounded")) for k in (2, 3, 4)])
+    return X.table(spark, d, "part").select("p_partkey", F.inline(made))
 
 
 @query("o11_independent_draws", f"""with {TOKENS_SQL}, rg(pos, lo, hi) as (values (0, 50, 200), (1, 150, 400)),
@@ -240,16 +241,23 @@ def u06(spark, d):
     return h.select("doc_id", "pos", E.pooled(F.col("hidden"), "mean").alias("embedding"))
 
 
-@query("u05_overrides", """select * from (values (0, 'cls', 'right', 'cls', true, false), (1, 'mean', 'left', 'all', false, false), (2, 'last', 'left', 'last', true, true), (3, 'mean', 'right', 'cls', true, false))
- t(i, pooling, padding_side, calibrated_tokens, isolate_first, isolate_last)""")
+@query("u05_overrides", """with s as (select p_partkey, case p_partkey % 4 when 1 then 'mean' when 2 then 'last' when 3 then 'cls' end own, case p_partkey % 3 when 1 then 'mean' when 2 then 'last' end model, p_partkey % 5 = 0 decoder,
+  case when p_partkey % 7 = 0 then 'left' end side, case when p_partkey % 11 = 0 then 'all' end tokens, case when p_partkey % 13 = 0 then true when p_partkey % 17 = 0 then false end apart from part),
+ h as (select *, coalesce(own, model, 'cls') how from s)
+ select p_partkey, how pooling, coalesce(side, case when decoder then 'left' else 'right' end) padding_side, coalesce(tokens, case how when 'mean' then 'all' else how end) calibrated_tokens,
+  coalesce(apart, how <> 'mean') isolate_first, coalesce(apart, how = 'last') isolate_last from h""")
 def u05(spark, d):
-    made = [E.overrides(), E.overrides(model_pooling="mean", decoder=True), E.overrides("last", model_pooling="mean", decoder=True), E.overrides("mean", "right", "cls", True, model_pooling="last", decoder=True)]
-    return spark.createDataFrame([(i, *m.values()) for i, m in enumerate(made)], "i int, pooling string, padding_side string, calibrated_tokens string, isolate_first boolean, isolate_last boolean")
+    k = F.col("p_partkey")
+    own, model = F.when(k % 4 == 1, "mean").when(k % 4 == 2, "last").when(k % 4 == 3, "cls"), F.when(k % 3 == 1, "mean").when(k % 3 == 2, "last")
+    apart = F.when(k % 13 == 0, True).when(k % 17 == 0, False)
+    made = E.override_columns(own, F.when(k % 7 == 0, "left"), F.when(k % 11 == 0, "all"), apart, apart, model_pooling=model, decoder=k % 5 == 0)
+    return X.table(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in made.items()])
 
 
-@query("u02_generated_rows", "select n_nationkey * 10 + x id, 'row ' || x as text from nation, range(10) r(x) where n_nationkey < 4")
+@query("u02_generated_rows", "select doc_id, generate_subscripts(l, 1)::int - 1 line_no, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from documents)")
 def u02(spark, d):
-    return E.generated_rows(spark, lambda part: ({"id": part * 10 + x, "text": f"row {x}"} for x in range(10)), "id long, text string", 4)
+    docs = X.table(spark, d, "documents").select("doc_id", "text")
+    return E.generated_rows(docs, lambda r: ({"doc_id": r["doc_id"], "line_no": i, "line": x} for i, x in enumerate(r["text"].split("\n"))), "doc_id long, line_no int, line string")
 
 
 @query("p17_u03_collated", """with t as (select conv_id, turn, text, len(string_split_regex(trim(text), '\\s+')) n from conversations), m as (select conv_id, (ceil(max(n) / 8.0) * 8)::int l from t group by conv_id)

@@ -14,10 +14,6 @@ def T(spark, d, name):
     return X.table(spark, d, name)
 
 
-def _values(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
 @query("f09_normalized_titles")
 def f09(spark, d):
     return T(spark, d, "part").select("p_partkey", N.normalize_title(F.concat(F.lit("ﬁ "), F.col("p_name"), F.lit("\t① "))).alias("title"))
@@ -45,41 +41,48 @@ def f12(spark, d):
     return T(spark, d, "nation").select("n_nationkey", url.alias("url"), N.url_to_title(coded).alias("title"))
 
 
-@query("f14_language_of_file", "select * from (values ('titles-en-de.txt', 'de'), ('titles.fr-en.txt', 'fr'), ('notes.txt', null)) t(name, lang)")
+@query("f14_language_of_file", "select doc_id, case when doc_id % 3 < 2 then lang end lang from documents")
 def f14(spark, d):
-    v = _values(spark, [("titles-en-de.txt",), ("titles.fr-en.txt",), ("notes.txt",)], "name string")
-    return v.select("name", N.language_of_file(F.col("name")).alias("lang"))
+    """Files named after documents: two forms that tell a language, and one that doesn't."""
+    n, lang = F.col("doc_id"), F.col("lang")
+    name = F.when(n % 3 == 0, F.concat(F.lit("titles-en-"), lang, F.lit(".txt"))).when(n % 3 == 1, F.concat(F.lit("titles."), lang, F.lit("-en.txt"))).otherwise(F.concat(F.lit("notes"), n, F.lit(".txt")))
+    return T(spark, d, "documents").select("doc_id", N.language_of_file(name).alias("lang"))
 
 
-@query("f15_latex_escape", r"select * from (values (0, 'a\_b 50\% \& c'), (1, '\{x\}\textasciicircum{}2'), (2, 'lon...')) t(i, s)")
+@query("f15_latex_escape", r"""with t as (select p_partkey, p_name || ' 50% & {' || p_brand || '}^_' s from part), c as (select p_partkey, case when p_partkey % 3 = 0 and length(s) > 12 then left(s, 12) || '...' else s end s from t)
+ select p_partkey, replace(replace(replace(replace(replace(replace(replace(s, '&', '\&'), '%', '\%'), '#', '\#'), '_', '\_'), '{', '\{'), '}', '\}'), '^', '\textasciicircum{}') s from c""")
 def f15(spark, d):
-    v = _values(spark, [(0, "a_b  50% & c", 99), (1, "{x}^2", 99), (2, "long text", 3)], "i int, s string, n int")
-    out = F.when(F.col("n") == 3, N.latex_escape(F.col("s"), 3)).otherwise(N.latex_escape(F.col("s")))
-    return v.select("i", out.alias("s"))
+    s = F.concat("p_name", F.lit("  50% &\n {"), "p_brand", F.lit("}^_ "))
+    out = F.when(F.col("p_partkey") % 3 == 0, N.latex_escape(s, 12)).otherwise(N.latex_escape(s))
+    return T(spark, d, "part").select("p_partkey", out.alias("s"))
 
 
-@query("f17_strength_tags", "select * from (values (0.5::double, '0.5'), (1.0::double, '1'), (0.125::double, '0.125'), (0.1004::double, '0.1')) t(x, tag)")
+@query("f17_strength_tags", r"select p_partkey, regexp_replace(regexp_replace(printf('%.3f', p_size / 8.0::double), '0+$', ''), '\.$', '') tag from part")
 def f17(spark, d):
-    return _values(spark, [(0.5,), (1.0,), (0.125,), (0.1004,)], "x double").select("x", N.strength_tag(F.col("x")).alias("tag"))
+    return T(spark, d, "part").select("p_partkey", N.strength_tag(F.col("p_size") / 8).alias("tag"))
 
 
-@query("f18_run_tags", "select * from (values ('last_half', 'cls', 'LH_CLS_128_1'), ('last', 'all', 'L_ALL_64_0.5')) t(layers, tokens, tag)")
+@query("f18_run_tags", r"select p_partkey, case p_partkey % 3 when 0 then 'LH' when 1 then 'L' else 'A' end || case p_partkey % 2 when 0 then '_CLS_' else '_ALL_' end || p_size || '_' || regexp_replace(regexp_replace(printf('%.3f', p_size / 64.0::double), '0+$', ''), '\.$', '') tag from part where p_size % 8 = 0")
 def f18(spark, d):
-    v = _values(spark, [("last_half", "cls", 128, 1.0), ("last", "all", 64, 0.5)], "layers string, tokens string, b int, s double")
-    return v.select("layers", "tokens", N.run_tag(F.col("layers"), F.col("tokens"), F.col("b"), F.col("s")).alias("tag"))
+    k = F.col("p_partkey")
+    layers = F.when(k % 3 == 0, "last_half").when(k % 3 == 1, "last").otherwise("all")
+    tokens = F.when(k % 2 == 0, "cls").otherwise("all")
+    return T(spark, d, "part").filter("p_size % 8 = 0").select("p_partkey", N.run_tag(layers, tokens, F.col("p_size"), F.col("p_size") / 64).alias("tag"))
 
 
-@query("f19_model_names", "select * from (values ('a/long-model-v1', 'LM'), ('b/other', 'other')) t(name, short)")
+@query("f19_model_names", "select p_partkey, case when contains(lower(p_name), 'widget') then 'W' when contains(lower(p_name), 'red ') then 'RD' else p_name end short from part")
 def f19(spark, d):
-    return _values(spark, [("a/long-model-v1",), ("b/other",)], "name string").select("name", N.model_short(F.col("name"), {"long-model": "LM"}).alias("short"))
+    return T(spark, d, "part").select("p_partkey", N.model_short(F.concat(F.lit("org/"), "p_name"), {"Widget": "W", "red ": "RD"}).alias("short"))
 
 
-@query("f27_merged_settings", "select * from (values ('a', '1'), ('b', '2'), ('c', '3')) t(k, v)")
+@query("f27_merged_settings", "select n_nationkey, 'a' k, n_name v from nation union all select n_nationkey, 'b', n_regionkey::varchar from nation union all select n_nationkey, 'c', (2 * n_nationkey)::varchar from nation")
 def f27(spark, d):
-    v = _values(spark, [({"a": "1", "b": "2"}, {"b": "9", "c": "3"})], "own map<string,string>, more map<string,string>")
+    own = F.create_map(F.lit("a"), "n_name", F.lit("b"), F.col("n_regionkey").cast("string"))
+    more = F.create_map(F.lit("b"), F.lit("9"), F.lit("c"), (2 * F.col("n_nationkey")).cast("string"))
+    v = T(spark, d, "nation").select("n_nationkey", own.alias("own"), more.alias("more"))
     # what is set already is kept
     kept = F.map_concat("own", F.map_filter("more", lambda k, _: ~F.map_contains_key("own", k)))
-    return v.select(F.explode(kept).alias("k", "v"))
+    return v.select("n_nationkey", F.explode(kept).alias("k", "v"))
 
 
 @query("a35_range_ids", """with r as (select l_orderkey, l_linenumber, l_quantity::int // 10 lo from lineitem), f as (select lo, min(l_orderkey * 10 + l_linenumber) seen from r group by lo)
@@ -94,7 +97,8 @@ def a37(spark, d):
     return R.result_groups(T(spark, d, "part"), ["p_brand"], "p_size").withColumnsRenamed({"n_values": "n_sizes"})
 
 
-@query("a38_calibration_labels", "select * from (values (128, '128—<s>—last_half'), (64, '64—all—last')) t(size, lab)")
+@query("a38_calibration_labels", "select p_partkey, p_size || '—' || case p_partkey % 2 when 0 then '<s>' else 'all' end || '—' || case p_partkey % 3 when 0 then 'last_half' else 'last' end lab from part")
 def a38(spark, d):
-    v = _values(spark, [(128, "cls", "last_half"), (64, "all", "last")], "size int, tok string, layers string")
-    return v.select("size", N.calibration_label(F.col("size"), F.col("tok"), F.col("layers")).alias("lab"))
+    k = F.col("p_partkey")
+    lab = N.calibration_label(F.col("p_size"), F.when(k % 2 == 0, "cls").otherwise("all"), F.when(k % 3 == 0, "last_half").otherwise("last"))
+    return T(spark, d, "part").select("p_partkey", lab.alias("lab"))
\ No newline at end of file

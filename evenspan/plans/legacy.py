@@ -129,9 +129,9 @@ def c05(spark, d):
     return R.configurations(X.table(spark, d, "documents").select("lang").distinct())
 
 
-@query("c08_sweep", "select c as \"case\", s basket_size from (values (1), (2), (3)) x(c), (values (32), (64), (128)) y(s)")
+@query("c08_sweep", "select n_nationkey as \"case\", s.p_size basket_size from nation, (select distinct p_size from part) s")
 def c08(spark, d):
-    return R.sweep(spark, [1, 2, 3], [32, 64, 128])
+    return R.sweep(X.table(spark, d, "nation").select(F.col("n_nationkey").alias("case")), X.table(spark, d, "part").select(F.col("p_size").alias("basket_size")).distinct())
 
 
 @query("k10_latex_table")

@@ -178,18 +178,24 @@ def s15(spark, d):
     return docs.select(F.array_join(F.col("segs").cast("array<string>"), "_").alias("ids"))
 
 
-RUNS = ["m1__en__concat-size_3", "m1__de__concat-size_3", "m1__de_en__concat-size_3__LH_CLS_128_1", "m1__en_de__concat-size_3", "m1__it__concat-size_5", "m2__en__concat-size_3", "notes"]
+def _run_names(spark, d):
+    """name: runs after parts, two models in five languages or pairs, and names that are no run."""
+    p, k = T(spark, d, "part"), F.col("p_partkey")
+    lang = F.when(k % 5 == 0, "en").when(k % 5 == 1, "de").when(k % 5 == 2, "de_en").when(k % 5 == 3, "en_de").otherwise("it")
+    name = F.concat(F.lit("m"), k % 2, F.lit("__"), lang, F.lit("__concat-size_"), "p_size", F.when(F.col("p_size") % 3 == 0, "__LH_CLS_128_1").otherwise(""))
+    return p.select(name.alias("name")).unionByName(p.select(F.concat(F.lit("m1__notes "), "p_name").alias("name"))).distinct()
 
 
-@query("s16_run_catalog", """select * from (values ('m1__en__concat-size_3', 'en', 3, 'mono', 2, 0), ('m1__de__concat-size_3', 'de', 3, 'mono', 1, 0), ('m1__de_en__concat-size_3__LH_CLS_128_1', 'de_en', 3, 'multi', 1, 2),
- ('m1__en_de__concat-size_3', 'en_de', 3, 'multi', 2, 1), ('m1__it__concat-size_5', 'it', 5, 'mono', 3, 0)) t(name, lang_key, concat_size, kind, place_a, place_b)""")
+@query("s16_run_catalog", """with r as (select distinct case p_partkey % 5 when 0 then 'en' when 1 then 'de' when 2 then 'de_en' when 3 then 'en_de' else 'it' end k, p_size, p_partkey % 2 m from part)
+ select 'm' || m || '__' || k || '__concat-size_' || p_size || case when p_size % 3 = 0 then '__LH_CLS_128_1' else '' end as name, k lang_key, p_size::int concat_size, case when contains(k, '_') then 'multi' else 'mono' end kind,
+  case left(k, 2) when 'de' then 1 when 'en' then 2 else 3 end place_a, case when not contains(k, '_') then 0 when right(k, 2) = 'de' then 1 else 2 end place_b from r where m = 1""")
 def s16(spark, d):
-    return S.run_catalog(spark.createDataFrame([(r,) for r in RUNS], "name string"), "m1", ["de", "en"]).drop("model")
+    return S.run_catalog(_run_names(spark, d), "m1", ["de", "en"]).drop("model")
 
 
-@query("s17_run_info", "select * from (values ('m1', 'en', 3), ('m1', 'de', 3), ('m1', 'de_en', 3), ('m1', 'en_de', 3), ('m1', 'it', 5), ('m2', 'en', 3)) t(model, lang_key, concat_size)")
+@query("s17_run_info", "select distinct 'm' || (p_partkey % 2) model, case p_partkey % 5 when 0 then 'en' when 1 then 'de' when 2 then 'de_en' when 3 then 'en_de' else 'it' end lang_key, p_size::int concat_size from part")
 def s17(spark, d):
-    return S.run_catalog(spark.createDataFrame([(r,) for r in RUNS], "name string"), "", ["de", "en"]).select("model", "lang_key", "concat_size")
+    return S.run_catalog(_run_names(spark, d), "", ["de", "en"]).select("model", "lang_key", "concat_size")
 
 
 @query("s18_k09_attention_json", f"with {TRIM_SQL}{ABS_SQL} select 'org_m1__basket-8__bins-10__all-rows__layers-2' as name, layer, bin, round(mean_w, 6) mean_w from ba")
@@ -220,10 +226,14 @@ def numbered(spark, d):
     return S.numbered_lines(spark, path)
 
 
-@query("k05_run_config", "select 'm1' model, 128 basket_size, 0.5::double strength")
+@query("k05_run_config", "select n_nationkey, n_name model, case when n_nationkey % 2 = 0 then 2 * n_nationkey else 64 end basket_size, 0.5::double strength from nation")
 def k05(spark, d):
+    """A file of settings for each run: what took effect goes over what was given."""
     path = scratch_path(spark, "config")
-    return K.write_settings(spark, path, {"model": "m1", "basket_size": 64}, {"basket_size": 128, "strength": 0.5})
+    k = F.col("n_nationkey")
+    rows = T(spark, d, "nation").select(
+        "n_nationkey", F.struct(F.col("n_name").alias("model"), F.lit(64).alias("basket_size")).alias("given"), F.struct(F.when(k % 2 == 0, 2 * k).alias("basket_size"), F.lit(0.5).alias("strength")).alias("effective"))
+    return K.write_settings_of(rows, path, "n_nationkey").select("n_nationkey", "model", "basket_size", "strength")
 
 
 @query("k07_gated_write", "select lang, count(*) n from documents group by lang having count(*) < 0")

@@ -16,6 +16,17 @@ def write_settings(spark: SparkSession, path: str, given: dict[str, object], eff
     return spark.read.schema(schema).json(path)
 
 
+def write_settings_of(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """The same for many runs: rows of a key and two structs, given and effective. What took effect goes over what was given where it
+    isn't null; a line of JSON for each run, read again."""
+    given, effective = (rows.schema[c].dataType for c in ("given", "effective"))
+    names = list(dict.fromkeys([*given.names, *effective.names]))
+    sides = {n: [F.col(f"{c}.`{n}`") for c, kind in (("effective", effective), ("given", given)) if n in kind.names] for n in names}
+    merged = rows.select(key, *[F.coalesce(*cols).alias(n) for n, cols in sides.items()])
+    merged.write.json(path)
+    return rows.sparkSession.read.schema(merged.schema).json(path)
+
+
 def write_aligned(corpus: DataFrame, path: str) -> bool:
     """A corpus (row_no, aligned_id, lang, ...) as a folder for each language, if the languages have equally many rows
     and agree in their first ones. Whether it was written."""
