@@ -19,7 +19,7 @@ def sims(spark):
 
 
 def rounded(rows, drop=()):
-    return sorted(repr([(c, round(v, 5) if isinstance(v, float) else v) for c, v in sorted(r.asDict().items()) if c not in drop]) for r in rows)
+    return sorted(repr([(c, round(v, 5) + 0.0 if isinstance(v, float) else v) for c, v in sorted(r.asDict().items()) if c not in drop]) for r in rows)
 
 
 CASES = {
