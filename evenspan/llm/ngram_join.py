@@ -274,7 +274,8 @@ def _linked(nodes: DataFrame) -> DataFrame | None:
         each = each.groupBy("h", "band").agg(F.sum("l").alias("l"), F.sum("s").alias("s"), F.sum(F.col("l") * F.col("s")).alias("own"))
         with tidy(nodes.sparkSession):
             rows_left, pairs_left = each.agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum(F.col("l") * F.col("s") - F.col("own")), F.lit(0))).first()
-        # one round is made at every size
+        # the first round pays at any size: families of near copies, of which each has as many pairs as the square of its nodes,
+        # are small where the input is, but they are there
         if not pairs_left or (before is not None and (pairs_left <= PAIRS_PER_ROW * rows_left or pairs_left > WORTH * before)):
             break
         before = pairs_left
@@ -293,8 +294,15 @@ def _linked(nodes: DataFrame) -> DataFrame | None:
     o, k = F.expr(f"({PERCENT} * (an + bn) + {99 + PERCENT}) div {100 + PERCENT}"), F.least("ak", "bk")
     smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("ano") < F.col("bno")))
     early = (F.col("aat") < F.col("ac") - o + k) & (F.col("bat") < F.col("bc") - o + k)
-    pairs = a.join(b.hint("merge"), ["h", "band"]).filter(smaller & (F.col("aroot") != F.col("broot")) & _alike("an", "ac", "bn", "bc") & early)
-    pairs = pairs.groupBy("ano", "bno", k.alias("k")).agg(F.count(F.lit(1)).alias("m")).filter("m >= k")
+    # of two nodes that share as many tokens as they must, the kth of these has k - 1 before it on either side, and enough after it
+    kth = (F.least("aat", "bat") >= k - 1) & (F.least("aat", "bat") + 1 + F.least(F.col("ac") - F.col("aat"), F.col("bc") - F.col("bat")) - 1 >= o)
+    pairs = a.join(b.hint("merge"), ["h", "band"]).filter(smaller & (F.col("aroot") != F.col("broot")) & _alike("an", "ac", "bn", "bc") & early & kth)
+    pairs = stash(pairs.select("ano", "bno").distinct(), "meetings")
+    side = lambda x: nodes.select(*[F.col(c).alias(x + c) for c in ("no", "n", "c", "k", "few", "p")])
+    both = pairs.join(small(side("a")), "ano").join(small(side("b")), "bno")
+    first = lambda x, most: F.slice(x, F.lit(1), F.greatest(most, F.lit(0)).cast("int"))
+    shared = F.size(F.array_intersect(first("ap", F.least(F.col("few"), F.col("ac") - o + k)), first("bp", F.col("bc") - o + k)))
+    pairs = both.withColumnRenamed("afew", "few").filter(shared >= k)
     comp = _joined(comp, _verified(sides, pairs.select(F.col("ano").alias("a"), F.col("bno").alias("b"))))
     drop(rest)
     return comp
