@@ -151,3 +151,25 @@ def c09_tests(spark, d):
     got = _results(spark, d, permutations=1000)
     p = lambda part, *key: got[part].select("run", F.concat_ws(" ", F.lit(part), *[F.col(k).cast("string") for k in key]).alias("what"), "p_value")
     return reduce(DataFrame.unionByName, [p("welch", "pair"), p("wilcoxon", "pair"), p("anova"), p("regression", "pos"), p("gini"), p("leakage_test")])
+
+
+#: The tables of the example's runs, three segments each, in the order of lines: of a grid all lines but those with the title's words.
+GRID_SQL = ALL_RESULTS_SQL.rsplit("\n select run", 1)[0] + r""",
+ be as (select mu.run, mu.pos, mu.m - case when mu.pos = 0 then 0 else base.m end beta from mu join mu base on base.run = mu.run and base.pos = 0),
+ la(run, lang) as (values ('m1__en__concat-size_3', 'en'), ('m1__de__concat-size_3', 'de')),
+ ce2 as (select 'coefficients' tab, pos place, case when pos = 0 then 'intercept' else 'position ' || (pos + 1) end nm, lang, printf('%.2f', beta) x from be join la using (run) union all
+  select 'gini', 0, '', lang, printf('%.2f', g) from gi join la using (run)),
+ ro as (select tab, place, nm, max(x) filter (lang = 'de') de, max(x) filter (lang = 'en') en from ce2 group by all)
+ select tab, case when tab = 'gini' then '3 & ' else case when place = 0 then '\multirow{3}{*}{3} & ' else ' & ' end || nm || ' & ' end || de || ' & ' || en || ' \\' line from ro"""
+
+
+@query("k10_result_tables", GRID_SQL)
+def k10_tables(spark, d):
+    """The rows of the tables of coefficients and Gini indices; their stars rest on distributions, which SQL hasn't, and are left out."""
+    from ..operators import tables as B
+
+    got = _results(spark, d, permutations=1)
+    of = lambda f: f.select(F.split("run", "__")[1].alias("language"), F.lit(3).alias("n"), *[c for c in f.columns if c != "run"])
+    made = {"coefficients": B.coefficient_table(of(got["regression"]).withColumn("p_value", F.lit(None).cast("double")), "m1", ["de", "en"]), "gini": B.gini_table(of(got["gini"].drop("n")).withColumn("p_value", F.lit(None).cast("double")), "m1", ["de", "en"])}
+    rows = [f.filter(r"line rlike '^    (\\\\multirow|3| &)'").select(F.lit(k).alias("tab"), F.trim("line").alias("line")) for k, f in made.items()]
+    return reduce(DataFrame.unionByName, rows).withColumn("line", F.when(F.col("line").startswith("&"), F.concat(F.lit(" "), "line")).otherwise(F.col("line")))

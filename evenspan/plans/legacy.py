@@ -9,7 +9,7 @@ from ..operators import report as R
 from ..operators import similarity as S
 from ..registry import query
 from . import fixtures as X
-from .fixtures import ITEMS_SQL, LATE_SQL
+from .fixtures import ITEMS_SQL, LATE_SQL, TOKENS_SQL
 
 
 @query("a42_mean_vectors", "with x as (select label, unnest(embedding)::double x, unnest(range(64)) i from embeddings) select label, i, round(avg(x), 6) x from x group by label, i")
@@ -84,9 +84,10 @@ def a50(spark, d):
     return L.order_effect(X.late(spark, d), X.standalone(spark, d)).select("pos", F.round("correlation", 5).alias("correlation"), F.round("distance", 5).alias("distance"))
 
 
-@query("a50_cross_correlation")
+@query("a50_cross_correlation", f"""with {LATE_SQL}, du as (select doc_id, pos, unnest(lv) x, generate_subscripts(lv, 1) i from latev),
+ cc as (select a.doc_id, a.pos src, b.pos dst, corr(a.x, b.x) c from du a join du b on a.doc_id = b.doc_id and a.i = b.i and a.pos <> b.pos group by all) select src, dst, round(avg(c), 6) correlation from cc group by src, dst""")
 def a50b(spark, d):
-    return L.cross_correlation(X.late(spark, d))
+    return L.cross_correlation(X.late(spark, d)).withColumn("correlation", F.round("correlation", 6))
 
 
 @query("a51_self_and_others", f"""with {LATE_SQL}, p as (select a.doc_id, a.pos src, b.pos dst, list_cosine_similarity(a.v, b.lv) sim from latev a join latev b using (doc_id)),
@@ -134,7 +135,10 @@ def c08(spark, d):
     return R.sweep(X.table(spark, d, "nation").select(F.col("n_nationkey").alias("case")), X.table(spark, d, "part").select(F.col("p_size").alias("basket_size")).distinct())
 
 
-@query("k10_latex_table")
+@query("k10_latex_table", rf"""with {TOKENS_SQL}, g as (select lang, count(*) n, avg(token_length) m, stddev_samp(token_length) s from tok group by lang),
+ b as (select string_agg(lang || ' & ' || n || ' & ' || printf('%.3f', m) || ' & ' || printf('%.3f', s) || ' \\', chr(10) order by lang) t from g),
+ w as (select '\begin{{table}}' || chr(10) || '\centering' || chr(10) || '\begin{{tabular}}{{lrrr}}' || chr(10) || '\hline' || chr(10) || 'language & n & mean\_len & std\_len \\' || chr(10) || '\hline' || chr(10) || t || chr(10) || '\hline' || chr(10) || '\end{{tabular}}' || chr(10) || '\caption{{Lengths}}' || chr(10) || '\end{{table}}' t from b),
+ l as (select string_split(t, chr(10)) l from w) select generate_subscripts(l, 1)::int - 1 line_no, unnest(l) line from l""")
 def k10(spark, d):
     from .corpus import meta
     from ..operators.corpus import length_summary
