@@ -2,14 +2,17 @@
 
 The kernel of two words is the cosine of their weighted subsequences of three and four characters within a span
 of SPAN, so that gapped and inserted-character spellings stay close. A word with other characters between its
-letters is looked at without them too, and letters that stand apart in a row as the word they make; the reading
-that scores highest counts. Words become vectors of
+letters is looked at without them too, and letters that stand apart in a row as the word they make; a word that spells a
+landmark of several toxic documents with characters put in between its letters, at most as many as no clean word that was learned from
+needs to spell it, is read as that landmark. The reading that scores highest counts. Words become vectors of
 kernel values with landmark words, whitened by the landmarks' own kernel (Nyström); a linear machine is
 trained on them. Labels hold for documents, not words, so training alternates: each toxic document's
 strongest words stand for it, the words of clean sentences stand against them. As kernel and machine are
 linear in the subsequences, both fold into one weight per hashed subsequence for scoring.
 
-A document's score is a logistic function of its strongest words and of the share of words that are toxic.
+A sentence's score is the sum of its words' over the root of their number, as of a set kernel; a document's is a logistic function
+of those of its strongest sentences, of the share of words that are toxic and of the number that clearly are, fitted on the
+labelled rows that are learned from.
 
 Defined results: a null or empty text has the score of a text without toxic words; with no label of one kind
 all scores are 0; a doc_id with several labels is toxic if any says so; rows with a null doc_id are not
@@ -21,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -42,11 +46,16 @@ PATTERNS = tuple((0, *c) for n in (2, 3) for c in combinations(range(1, SPAN), n
 DECAY = 0.6
 #: Weight of a word as a whole beside its subsequences.
 WHOLE = 1.5
-#: Score from which a word is clearly toxic.
-CLEAR = 0.8
+#: Score from which a word is clearly toxic, and the most that a word adds to its sentence.
+CLEAR, MOST = 0.8, 1.5
 WEIGHT = tuple(DECAY ** (p[-1] + 1 - len(p)) for p in PATTERNS)
 LANDMARKS, STRONGEST, ROUNDS = 256, 3, 6
 CACHE_WORDS = 500_000
+#: Landmarks that are looked for with characters put in: so many, of so many toxic documents and letters at least; and the
+#: freest level.
+SPELLED, SEVERAL, SHORTEST, WIDEST = 64, 3, 4, 3
+#: A toxic document missed weighs as much as so many clean ones taken for toxic, so that one clear insult may do.
+MISSED = 3.0
 EDGE = ".,;:!?\"'()[]|*#$%&<>-_"
 _EDGES = f"[{re.escape(EDGE)}]*"
 #: Three or more letters in a row that stand apart.
@@ -62,6 +71,23 @@ def tokens(text: str | None) -> list[str]:
     return low.split() + [BETWEEN.sub("", m) for m in APART.findall(low)]
 
 
+def sentences(text: str) -> Iterator[list[str]]:
+    """The words of each sentence: of what stands between line feeds, up to a word that ends with a mark of a sentence. A word that
+    letters standing apart make is one by itself."""
+    low = text.lower()
+    for line in low.split("\n"):
+        words = line.split()
+        start = 0
+        for i, w in enumerate(words):
+            if w[-1] in ".!?":
+                yield words[start : i + 1]
+                start = i + 1
+        if start < len(words):
+            yield words[start:]
+    for m in APART.findall(low):
+        yield [BETWEEN.sub("", m)]
+
+
 def _readings(words: list[str]) -> tuple[list[str], np.ndarray]:
     """Pieces of the words and their owners; then those of words with other characters between letters, without them."""
     bare = [w.strip(EDGE) or w for w in words]
@@ -94,13 +120,32 @@ def _features(words: list[str], readings=_readings):
     return owner, h, w, np.maximum(np.sqrt((w * w).sum(axis=1)), 1e-6)
 
 
+def spelled_out(word: str, level: int) -> str:
+    """A pattern of a word with characters put in: at level 1 one at one place, at level 2 one between any two letters, at level 3 two."""
+    letters = [re.escape(c) for c in word]
+    if level == 1:
+        return "|".join("".join(letters[:i]) + "[^\\n]" + "".join(letters[i:]) for i in range(1, len(word)))
+    return f"[^\\n]{{0,{level - 1}}}".join(letters)
+
+
 class WordScorer:
-    """Scores of words from folded weights."""
+    """Scores of words from folded weights. ``spelled``: landmarks that a word may spell with characters put in, and how freely
+    (``spelled_out``); such a word has the landmark's score too, if that is higher."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.cache = weights, bias, {}
+    def __init__(self, weights: np.ndarray, bias: float, spelled: list[tuple[str, int]] = ()):
+        self.weights, self.bias, self.spelled, self.cache = weights, bias, list(spelled), {}
+        self.pattern = re.compile("|".join(f"({spelled_out(w, g)})" for w, g in self.spelled)) if self.spelled else None
+        self.own = self.by_kernel([w for w, _ in self.spelled]) if self.spelled else np.zeros(0, np.float32)
 
     def score(self, words: list[str]) -> np.ndarray:
+        out = self.by_kernel(words)
+        if self.pattern is not None:
+            for i in np.flatnonzero(out < CLEAR).tolist():
+                if m := self.pattern.search(words[i]):
+                    out[i] = max(out[i], self.own[m.lastindex - 1])
+        return out
+
+    def by_kernel(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), -np.inf, np.float32)
         every, owners = _readings(words)
         # pieces of like length together, as all of a batch take the room of its longest
@@ -117,23 +162,24 @@ class WordScorer:
         return out
 
     def document(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: the clipped scores of its three strongest different words, the root of the share of
-        different words above 0, and how many are clearly above, up to four."""
+        """For each text: of its two strongest sentences the summed scores of the words above 0 over the root of their number, the root
+        of the share of different words above 0, and how many are clearly above, up to four."""
         split = [list(set(tokens(t))) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         new = list({w for ws in split for w in ws if w not in self.cache})
         self.cache.update(zip(new, self.score(new).tolist(), strict=True))
-        out = np.full((len(texts), 5), -1.0)
-        out[:, 3:] = 0
+        out = np.zeros((len(texts), 4))
         get = self.cache.__getitem__
-        for i, ws in enumerate(split):
-            if ws:
-                s = np.array([get(w) for w in ws])
-                top = np.sort(np.partition(s, -3)[-3:])[::-1] if len(s) > 3 else np.sort(s)[::-1]
-                out[i, : len(top)] = np.clip(top, -1, 1.5)
-                out[i, 3] = np.sqrt((s > 0).mean())
-                out[i, 4] = min(4, (s > CLEAR).sum())
+        for i, (t, ws) in enumerate(zip(texts, split, strict=True)):
+            if not ws:
+                continue
+            s = np.array([get(w) for w in ws])
+            if (above := s > 0).any():
+                out[i, 2], out[i, 3] = np.sqrt(above.mean()), min(4, (s > CLEAR).sum())
+                marked = {w: min(x, MOST) for w, x in zip(ws, s.tolist(), strict=True) if x > 0}
+                sums = sorted((sum(map(marked.get, hit)) / len(words) ** 0.5 for words in sentences(t) if (hit := [w for w in words if w in marked])), reverse=True)
+                out[i, : len(sums[:2])] = sums[:2]
         return out
 
 
@@ -218,6 +264,26 @@ def fit_words(bags: list[list[str]], clean: dict[str, int], n_clean: int) -> Wor
     return WordScorer(_fold(marks, white @ beta), bias)
 
 
+def candidates(scorer: WordScorer, bags: list[list[str]]) -> list[str]:
+    """Words that several toxic documents have and that are clearly toxic, those of most documents first."""
+    seen = Counter(w for b in bags for w in b)
+    often = sorted(w for w, n in seen.items() if n >= SEVERAL and len(w) >= SHORTEST and w.isalpha())
+    sure = [w for w, x in zip(often, scorer.score(often), strict=True) if x >= CLEAR] if often else []
+    return sorted(sure, key=lambda w: (-seen[w], w))[:SPELLED]
+
+
+def spelled_by(words: list[str], sure: list[str]) -> set[tuple[str, int]]:
+    """Which of the candidates a word spells, and at which levels."""
+    joined = "\n".join(words)
+    return {(w, g) for w in sure for g in range(1, WIDEST + 1) if re.search(spelled_out(w, g), joined)}
+
+
+def with_gaps(scorer: WordScorer, sure: list[str], taken: set[tuple[str, int]]) -> WordScorer:
+    """The scorer with those candidates that no clean word spells, each at the freest level for which that holds."""
+    widest = {w: next((g for g in range(WIDEST, 0, -1) if (w, g) not in taken), 0) for w in sure}
+    return WordScorer(scorer.weights, scorer.bias, [(w, g) for w, g in widest.items() if g])
+
+
 def _fold(marks: list[str], alpha: np.ndarray) -> np.ndarray:
     """One weight per hashed subsequence: landmark values are linear in a word's subsequences."""
     folded = np.zeros(1 << BITS)
@@ -228,13 +294,13 @@ def _fold(marks: list[str], alpha: np.ndarray) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    x1, cost = np.concatenate([x, np.ones((len(x), 1))], axis=1), np.where(y > 0, MISSED, 1.0)
     w = np.zeros(x1.shape[1])
     ridge = np.eye(len(w)) * 0.05
     ridge[-1, -1] = 1e-3
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve(ridge + x1.T @ (x1 * (p * (1 - p))[:, None]), x1.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(ridge + x1.T @ (x1 * (cost * p * (1 - p))[:, None]), x1.T @ (cost * (y - p)) - ridge @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -260,8 +326,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
         for b in batches:
             for i, (t, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                # a sentence is toxic only if its document is; of clean documents all are clean
-                found = sorted({w for s in re.split(r"[.!?\n]+\s", t or "") for w in tokens(s)})
+                found = sorted(set(tokens(t)))
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int64()), pa.array([found], pa.list_(pa.string()))], names=["y", "words"])
 
     schema = StructType([StructField("y", LongType()), StructField("words", ArrayType(StringType()))])
@@ -279,17 +344,29 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     if not toxic_bags or not clean_words:
         return None
     scorer = fit_words(toxic_bags, clean_words, n_clean)
+    sure = candidates(scorer, toxic_bags)
+
+    def spelled(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = sorted(spelled_by(b.column(0).to_pylist(), sure))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([g for _, g in found], pa.int32())], names=["w", "g"])
+
+    # all words of the clean documents that are learned from; no more pairs than candidates and gaps
+    taken = counted.filter("w is not null").select("w").mapInArrow(spelled, "w string, g int").distinct().collect() if sure else []
+    scorer = with_gaps(scorer, sure, {(r["w"], r["g"]) for r in taken})
     seen = apply_scorer(rows.select("text", "y"), scorer, None, "text", ["y"]).select("y", "parts").toArrow()
     x, y = np.array(seen["parts"].to_pylist()), np.array(seen["y"].to_pylist(), dtype=float)
     return scorer, _logistic(x, y)
 
 
 def apply_scorer(docs: DataFrame, scorer: WordScorer, logistic: np.ndarray | None, text: str, carry: list[str]) -> DataFrame:
-    state = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias, logistic))  # 2**BITS numbers
+    state = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias, scorer.spelled, logistic))  # 2**BITS numbers
 
     def make():
-        weights, bias, fold = state.value
-        mine = WordScorer(weights, bias)
+        weights, bias, spelled, fold = state.value
+        mine = WordScorer(weights, bias, spelled)
 
         def work(texts):
             parts = mine.document(texts)
