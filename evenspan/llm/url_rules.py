@@ -3,7 +3,9 @@
 A rule is (name, verdict, regular expression). The tokens that a url must have for it are read off the expression,
 and the rule is filed under that of them which the fewest urls hold; the tokens of a url fetch the rules filed
 under them, and only those run.
-The regular expressions see ``host + path``: the host with A-Z lower-cased, the path as it is.
+The regular expressions see ``host + path``: the host with A-Z lower-cased, the path as it is. They are Java's, as Spark runs
+them: a pattern that Java doesn't know is a ValueError before anything runs. Tokens are read off what Java and Python write alike;
+a pattern with anything else has none and runs on every url, with the same results.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and matches no rule; urls
 that repeat get equal results; columns named host, path, rule, verdict or pattern are replaced.
@@ -35,11 +37,30 @@ class Rule:
     named: bool = True
 
 
+#: What Java reads otherwise than Python, which would take it for something else: classes within classes, quoted parts, octal numbers.
+OTHERWISE = re.compile(r"&&|\\Q|\\0|\[[^\]]*\[")
+
+
+def checked(spark, rule: Rule) -> Rule:
+    """The rule, whose pattern Java knows."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(rule.pattern)
+    except Exception as e:
+        told = str(getattr(e, "java_exception", e)).splitlines()[0]
+        raise ValueError(f"rule {rule.name}: {rule.pattern!r} is no Java regular expression ({told})") from None
+    return rule
+
+
 def literals(pattern: str) -> set[str]:
     """The tokens that every url has in which the pattern is found: runs of literal letters and digits, outside of
     choices and repeats, beside which only the url's ends or other characters can be."""
-    parsed = parser.parse(pattern)
-    if parsed.state.flags & re.IGNORECASE:
+    if OTHERWISE.search(pattern):
+        return set()
+    try:
+        parsed = parser.parse(pattern)
+    except (re.error, OverflowError):
+        return set()
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
         return set()
     seq = list(parsed)
 
@@ -127,6 +148,7 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + WORD_RUL
     literal token runs on every url.
     """
     spark = pages.sparkSession
+    rules = tuple(checked(spark, r) for r in rules)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "pattern")]
     page = pages.select(F.struct(*kept).alias("_row"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     if not rules:
