@@ -134,15 +134,20 @@ class WordScorer:
 
     def __init__(self, weights: np.ndarray, bias: float, spelled: list[tuple[str, int]] = ()):
         self.weights, self.bias, self.spelled, self.cache = weights, bias, list(spelled), {}
-        self.pattern = re.compile("|".join(f"({spelled_out(w, g)})" for w, g in self.spelled)) if self.spelled else None
+        # without groups, so that the matcher looks at a branch only where its first letter stands
+        self.pattern = re.compile("|".join(spelled_out(w, g) for w, g in self.spelled)) if self.spelled else None
+        self.each = [re.compile(spelled_out(w, g)) for w, g in self.spelled]
         self.own = self.by_kernel([w for w, _ in self.spelled]) if self.spelled else np.zeros(0, np.float32)
 
     def score(self, words: list[str]) -> np.ndarray:
         out = self.by_kernel(words)
         if self.pattern is not None:
-            for i in np.flatnonzero(out < CLEAR).tolist():
-                if m := self.pattern.search(words[i]):
-                    out[i] = max(out[i], self.own[m.lastindex - 1])
+            # all words in one text; no pattern takes a line feed, and a word has none
+            low = np.flatnonzero(out < CLEAR).tolist()
+            ends = np.cumsum([len(words[i]) + 1 for i in low])
+            for at in {int(np.searchsorted(ends, m.start(), "right")) for m in self.pattern.finditer("\n".join(words[i] for i in low))}:
+                i = low[at]
+                out[i] = max(out[i], max(x for x, p in zip(self.own.tolist(), self.each, strict=True) if p.search(words[i])))
         return out
 
     def by_kernel(self, words: list[str]) -> np.ndarray:
