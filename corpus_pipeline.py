@@ -76,7 +76,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the ids of each row of the mix."""
-    out = bpe.bpe_encode(docs, vocabulary(), carry=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "n_tokens", "ids")
+    out = bpe.bpe_encode(docs, vocabulary(), carry=["doc_id", "lang", "source"], decode=False).select("doc_id", "lang", "source", "n_tokens", "ids")
     return stash(out, "bpe")  # written here, where Python gets few rows at once
 
 

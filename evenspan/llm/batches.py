@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from .holders import release
+
 #: Texts are handled in groups of about so many characters (a longer text is a group of its own).
 GROUP_CHARS = 2_000_000
 
 
-def with_columns(source: DataFrame, text: str, carry: list[str], fields: list[StructField], make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+def with_columns(source: DataFrame, text: str, carry: list[str], fields: list[StructField], make: Callable[[], Callable[[list], list]], group_chars: int = GROUP_CHARS) -> DataFrame:
     """``carry`` of ``source`` and ``fields``, which come from texts: ``make()``, called once in a task, gives a
-    function from a group of texts (or None) to one list per field. A narrow pass without shuffle."""
+    function from a group of texts (or None) to one list or Arrow array per field. A narrow pass without shuffle."""
     carry = [c for c in carry if c not in {f.name for f in fields}]
     picked = source.select(*carry, source[text].alias("_text"))
     out = StructType([picked.schema[c] for c in carry] + fields)
@@ -31,14 +33,16 @@ def with_columns(source: DataFrame, text: str, carry: list[str], fields: list[St
             lengths = [x or 0 for x in pc.utf8_length(texts).to_pylist()]
             while start < len(lengths):
                 stop, chars = start, 0
-                while stop < len(lengths) and (stop == start or chars + lengths[stop] <= GROUP_CHARS):
+                while stop < len(lengths) and (stop == start or chars + lengths[stop] <= group_chars):
                     chars += lengths[stop]
                     stop += 1
                 made = work(texts.slice(start, stop - start).to_pylist())
                 cols = [batch.column(c).slice(start, stop - start).cast(arrow.field(c).type) for c in range(n)]
-                cols += [pa.array(x, type=arrow.field(n + k).type) for k, x in enumerate(made)]
+                cols += [x.cast(arrow.field(n + k).type) if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(n + k).type) for k, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-                start = stop
+                start, made, cols = stop, None, None
+        batch = texts = None
+        release()
 
     return picked.mapInArrow(run, out)
 

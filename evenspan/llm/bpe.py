@@ -18,8 +18,10 @@ import hashlib
 import heapq
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
@@ -28,7 +30,9 @@ from .batches import with_columns
 #: Characters that normalising may change otherwise than by lower-casing.
 ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\u0130]|[^\x00-\u024f]")
 #: Distinct words whose results a task keeps; beyond, it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+#: Texts are encoded in groups of about so many characters.
+GROUP_CHARS = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -60,7 +64,8 @@ class WordBpe:
         # the same pattern for lower-cased ASCII
         self.ascii = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
         self.plain = [x["type"] for x in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        # the library's own copy of the vocabulary is of no use here
+        self.normalizer = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})).normalizer
         self.symbols = byte_symbols()
         size = max(self.names) + 1
         # what each token was merged from, and when
@@ -93,6 +98,7 @@ class WordBpe:
         self.offered = {t: i for t, i in self.vocab.items() if self.good[i] and (self.rank[i] >= 0 or t in whole)}
         self.longest = max(map(len, self.offered))
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.packed: dict[str | int, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,17 +220,26 @@ class WordBpe:
     def batch(self, texts: list[str]) -> list[list[tuple[str, int, str]]]:
         """For each piece of each text: its ids as text, how many they are, its tokens as text."""
         split = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list({w for ws in split for w in ws if w not in self.cache})
-        ids = self.words([w for w in new if isinstance(w, str)])
-        found = iter(ids)
-        for w in new:
-            i = next(found) if isinstance(w, str) else [w]
-            self.cache[w] = (" ".join(map(str, i)), len(i), " ".join(self.names[x] for x in i))
+        self._learn(split, self.cache, lambda i: (" ".join(map(str, i)), len(i), " ".join(self.names[x] for x in i)))
         get = self.cache.__getitem__
         return [[get(w) for w in ws] for ws in split]
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as numbers of 32 bits."""
+        split = [self.pieces(t) for t in texts]
+        self._learn(split, self.packed, lambda i: np.array(i, np.int32).tobytes())
+        get = self.packed.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
+
+    def _learn(self, split: list[list[str | int]], cache: dict, value: Callable[[list[int]], object]) -> None:
+        """Has the pieces of all texts in ``cache``, each with the value of its ids."""
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        new = list({w for ws in split for w in ws if w not in cache})
+        found = iter(self.words([w for w in new if isinstance(w, str)]))
+        for w in new:
+            cache[w] = value(next(found) if isinstance(w, str) else [w])
+
     def encode(self, text: str) -> list[int]:
         return [int(x) for ids, _, _ in self.batch([text])[0] for x in ids.split()]
 
@@ -242,12 +257,13 @@ def _coder(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None, digest: bool = False) -> DataFrame:
-    """``carry`` (all columns by default) with n_tokens and, as ``digest`` says, the ids and decoded text or their SHA-256.
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None, digest: bool = False, decode: bool = True) -> DataFrame:
+    """``carry`` (all columns by default) with n_tokens and, as ``digest`` says, the ids and decoded text or their SHA-256;
+    without ``decode`` the ids alone.
 
     One narrow pass over Arrow batches, no shuffle; a task holds one group of texts and about CACHE_WORDS words.
     """
-    names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
+    names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"] if decode else ["ids"]
     kinds = [StringType(), StringType()] if digest else [ArrayType(IntegerType()), StringType()]
     fields = [StructField("n_tokens", LongType()), *map(StructField, names, kinds)]
 
@@ -255,11 +271,16 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", carry: list[str]
         coder = _coder(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
-        def work(texts: list[str | None]) -> list[list]:
+        def work(texts: list[str | None]) -> list:
+            if not (digest or decode):
+                got = coder.ids([x or "" for x in texts])
+                n = [len(g) // 4 for g in got]
+                values = pa.array(np.frombuffer(b"".join(got), np.int32))
+                return [n, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), values, type=pa.list_(pa.field("element", pa.int32())))]
             got = [tuple(zip(*g, strict=True)) or ((), (), ()) for g in coder.batch([x or "" for x in texts])]
             ids, n, decoded = [" ".join(g[0]) for g in got], [sum(g[1]) for g in got], [" ".join(g[2]) for g in got]
             return [n, *([list(map(sha, ids)), list(map(sha, decoded))] if digest else [[[int(x) for x in i.split()] for i in ids], decoded])]
 
         return work
 
-    return with_columns(docs, text, docs.columns if carry is None else carry, fields, make)
+    return with_columns(docs, text, docs.columns if carry is None else carry, fields, make, GROUP_CHARS)

@@ -40,3 +40,28 @@ def test_rows_against_brute_force(spark):
     for members in groups.values():
         least = min((i for i, _ in members if i is not None), default=None)
         assert sum((i, t) in set(members) and i == least for i, t in got) >= 1
+
+
+def test_bpe_stage_makes_ids_alone():
+    """The stage has no use for decoded texts and keeps ids of words packed; they are those of the full way."""
+    import numpy as np
+
+    from evenspan.llm import bpe
+    from evenspan.llm.queries import vocabulary
+
+    coder = bpe.WordBpe(vocabulary())
+    texts = ["", "Some words, and some words again.", "naïve ÇA — 123 <|endoftext|> x", "a" * 300]
+    full = [[int(x) for ids, _, _ in g for x in ids.split()] for g in coder.batch(texts)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in coder.ids(texts)] == full
+    assert bpe.CACHE_WORDS <= 100_000 and not coder.normalizer.normalize_str("ABC") == "ABC"
+
+
+def test_bpe_without_decoding(spark):
+    from evenspan.llm import bpe
+    from evenspan.llm.queries import vocabulary
+
+    d = spark.createDataFrame([(1, "Two words"), (2, None), (3, "")], "doc_id long, text string")
+    whole = {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in bpe.bpe_encode(d, vocabulary(), carry=["doc_id"]).collect()}
+    alone = bpe.bpe_encode(d, vocabulary(), carry=["doc_id"], decode=False)
+    assert alone.columns == ["doc_id", "n_tokens", "ids"]
+    assert {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in alone.collect()} == whole and whole[2] == (0, [])
