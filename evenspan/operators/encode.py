@@ -6,37 +6,78 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.vectors import cls_pool, l2_normalize, last_pool, mean_rows, span_pool
 
 
+#: Rows, and characters or tokens, that Python has as objects at once (a longer row is alone); vectors are given on at that pace too.
+SLICE_ROWS, SLICE_CHARS, SLICE_TOKENS = 200, 500_000, 20_000
+
+
+def slices(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so much size and SLICE_ROWS rows at most."""
+    start = 0
+    while start < len(sizes):
+        stop, held = start + 1, sizes[start]
+        while stop < len(sizes) and stop - start < SLICE_ROWS and held + sizes[stop] <= most:
+            held += sizes[stop]
+            stop += 1
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _beside(part: pa.RecordBatch, arrow: pa.Schema, made: list[pa.Array]) -> pa.RecordBatch:
+    """Columns of ``part`` and behind them those that were made, in the types of ``arrow``."""
+    own = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)]
+    return pa.RecordBatch.from_arrays([*own, *(c.cast(f.type) for c, f in zip(made, list(arrow)[len(own) :], strict=True))], schema=arrow)
+
+
 def tokenize_with(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[list[int]]]], text: str = "text", most: int | None = None) -> DataFrame:
     """``docs`` with input_ids and length from a tokenizer that ``make`` builds once in each task, cut at ``most`` tokens."""
     schema = StructType([*docs.schema.fields, StructField("input_ids", ArrayType(IntegerType())), StructField("length", IntegerType())])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = make()
-        for f in frames:
-            ids = [x[:most] for x in tokenizer(f[text].fillna("").tolist())]
-            yield f.assign(input_ids=ids, length=[len(x) for x in ids])
+        for b in batches:
+            at = b.schema.get_field_index(text)
+            for part in slices(b, pc.utf8_length(b.column(at)).fill_null(0).to_pylist(), SLICE_CHARS):
+                ids = [x[:most] for x in tokenizer([t or "" for t in part.column(at).to_pylist()])]
+                yield _beside(part, arrow, [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32())])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def encode_with(docs: DataFrame, make: Callable[[], Callable[[list[list[int]]], list[np.ndarray]]], ids: str = "input_ids") -> DataFrame:
-    """``docs`` with hidden, one vector for each token, from an encoder that ``make`` builds once in each task."""
+    """``docs`` with hidden, one vector for each token, from an encoder that ``make`` builds once in each task. Vectors stay
+    arrays of numbers all the way."""
     schema = StructType([*docs.schema.fields, StructField("hidden", ArrayType(ArrayType(DoubleType())))])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
-        for f in frames:
-            yield f.assign(hidden=[np.asarray(h).tolist() for h in encoder([list(x) for x in f[ids]])])
+        for b in batches:
+            at = b.schema.get_field_index(ids)
+            for part in slices(b, pc.list_value_length(b.column(at)).fill_null(0).to_pylist(), SLICE_TOKENS):
+                made = [np.asarray(h, dtype=np.float64) for h in encoder([x or [] for x in part.column(at).to_pylist()])]
+                yield _beside(part, arrow, [vectors_of(made)])
+
+    return docs.mapInArrow(run, schema)
+
 
-    return docs.mapInPandas(run, schema)
+def vectors_of(made: list[np.ndarray]) -> pa.Array:
+    """A list of vectors for each matrix; of no vectors an empty one."""
+    rows = [len(h) for h in made]
+    widths = np.repeat([h.shape[1] if h.ndim > 1 else 0 for h in made], rows)
+    values = pa.array(np.concatenate([h.ravel() for h in made]) if made else np.zeros(0))
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *widths.tolist()]), pa.int32()), values)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *rows]), pa.int32()), inner)
 
 
 def fixture_encoder(dim: int = 8) -> Callable[[], Callable[[list[list[int]]], list[np.ndarray]]]:
@@ -129,15 +170,17 @@ def model_inputs(rows: DataFrame, keep: tuple[str, ...] = MODEL_KEYS) -> DataFra
 
 def generated_rows(of: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
     """A frame of the rows that ``make(row)`` yields for each row of ``of``; nothing is held but a batch."""
-    names = [f.split()[0] for f in schema.split(",")]
+    out = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out, prefers_large_types=False)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = (x for r in f.to_dict("records") for x in make(r))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # some rows at once as objects
+            rows = (x for at in range(0, b.num_rows, 50) for r in b.slice(at, 50).to_pylist() for x in make(r))
             while batch := list(islice(rows, 1000)):
-                yield pd.DataFrame(batch, columns=names)
+                yield pa.RecordBatch.from_arrays([pa.array([x[f.name] for x in batch], type=f.type) for f in arrow], schema=arrow)
 
-    return of.mapInPandas(run, schema)
+    return of.mapInArrow(run, out)
 
 
 def collated(rows: DataFrame, batch: str, pad_id: int = 0, left: bool = False, multiple: int = 1, ids: str = "input_ids") -> DataFrame:
