@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from evenspan import jobs as J
 from evenspan.operators import similarity as S
 from evenspan.operators import stats as T
 
@@ -36,3 +38,20 @@ def test_by_run(sims, name):
     for run in "abc":
         alone = CASES[name](sims.filter(f"run = '{run}'").drop("run"), []).collect()
         assert rounded([r for r in together if r["run"] == run], ("run",)) == rounded(alone) != []
+
+
+def test_similarities_are_made_once(spark, sims):
+    """The parts asked for come, and however many they are, a similarity is computed once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    d = sims.replace({"a": "m1__en__concat-size_3", "b": "m1__de__concat-size_3"}, subset="run").withColumn("sim", counted("sim"))
+    runs = spark.createDataFrame([(r,) for r in ("m1__en__concat-size_3", "m1__de__concat-size_3", "notes")], "name string")
+    parts = ["regression", "gini", "welch", "differences"]
+    got = J.quantitative_results(runs, d, "m1", ["de", "en"], permutations=5, parts=parts)
+    assert list(got) == parts and all({r["run"] for r in got[p].collect()} == {"m1__en__concat-size_3", "m1__de__concat-size_3"} for p in parts)
+    assert 0 < made.value <= sims.count()
