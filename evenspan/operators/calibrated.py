@@ -8,7 +8,7 @@ An encoder here is an object with ``n_layers`` and three steps on padded batches
   summing to 1 over the places that ``mask`` has;
 * ``step(x, layer, w, a, b)``: the vectors of these places after the layer, (B, b - a, D).
 
-As queries come in tiles, a batch holds weights of TILE x L for a head, not of L x L, however long a document is.
+As queries come in tiles, a batch holds about WEIGHTS weights for a head, not B x L x L, however long its documents are.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-#: Query places whose weights are made at once, and padded places of a batch at most (a longer document is alone).
-TILE, PLACES = 256, 65_536
+#: Query places whose weights are made at once at most, weights of a head among them, about, and padded places of a batch (a longer
+#: document is alone).
+TILE, WEIGHTS, PLACES = 256, 1 << 20, 65_536
 
 Share = float | str | None
 
@@ -91,7 +92,7 @@ class Calibration:
         return self.strength * out + (1 - self.strength) * w
 
 
-def padded(rows: list[list[int]], left: bool = False, pad: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def padded(rows: list, left: bool = False, pad: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids and mask of a batch, filled up to its longest row on the right or the left."""
     longest = max(map(len, rows), default=0)
     ids, mask = np.full((len(rows), longest), pad, np.int64), np.zeros((len(rows), longest), bool)
@@ -101,11 +102,12 @@ def padded(rows: list[list[int]], left: bool = False, pad: int = 0) -> tuple[np.
     return ids, mask
 
 
-def forward(encoder, ids: np.ndarray, mask: np.ndarray, calibration: Calibration | None = None, tile: int = TILE, seen: Callable | None = None) -> np.ndarray:
+def forward(encoder, ids: np.ndarray, mask: np.ndarray, calibration: Calibration | None = None, tile: int | None = None, seen: Callable | None = None) -> np.ndarray:
     """Hidden vectors of a padded batch; with ``calibration`` the rows it names are evened out in each of its layers before
     the layer goes on. ``seen(layer, document, first query, before, after)`` is told of the weights, padding cut off."""
     starts, ends = mask.argmax(axis=1), mask.shape[1] - mask[:, ::-1].argmax(axis=1)
     x = encoder.start(ids, mask)
+    tile = tile or min(TILE, max(1, WEIGHTS // max(1, mask.size)))
     first = encoder.n_layers if calibration is None else calibration.from_layer(encoder.n_layers)
     for layer in range(encoder.n_layers):
         made = []
@@ -184,11 +186,11 @@ def _encoded(docs: DataFrame, fields: list[StructField], make: Callable, ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
         for batch in batches:
-            rows = [x or [] for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+            rows = [np.asarray(x.values) if x.is_valid else () for x in batch.column(batch.schema.get_field_index(ids))]  # views of the batch
             made: list[tuple] = [(None,) * len(fields)] * len(rows)
             evened = [calibration is not None and calibration.takes(len(r)) for r in rows]
             for kind in (False, True):
-                chosen = [i for i, r in enumerate(rows) if r and evened[i] == kind]
+                chosen = [i for i, r in enumerate(rows) if len(r) and evened[i] == kind]
                 for group in batches_of([len(rows[i]) for i in chosen]):
                     group = [chosen[g] for g in group]
                     a, mask = padded([rows[i] for i in group], left)

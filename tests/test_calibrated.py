@@ -131,3 +131,20 @@ def test_job_with_settings_for_each_embedder(spark):
     assert same(plain[0]) == same(evened_[0])
     with pytest.raises(ValueError):
         J.compute_embeddings(spark, base | cfg, seg, idx)
+
+
+def test_weights_of_a_batch_are_bounded():
+    """However many places a batch has, about WEIGHTS weights of a head are made at once."""
+
+    class Watched(K.LayeredFixture):
+        most = 0
+
+        def attention(self, x, layer, mask, a, b):
+            w = super().attention(x, layer, mask, a, b)
+            Watched.most = max(Watched.most, w[:, 0].size)
+            return w
+
+    for n, length in ((40, 300), (4, 5000)):
+        ids, mask = K.padded([list(range(1, length + 1))] * n)
+        K.forward(Watched(dim=2, heads=1, layers=1), ids, mask, K.Calibration(size=32, layers=1))
+    assert 0 < Watched.most <= K.WEIGHTS
