@@ -90,7 +90,7 @@ def _subwords(spark, d):
 @query("f05_subword_tokens", f"""with recursive {SUBWORD_SQL}
  select doc_id, sum(len(ids))::int n_tokens, count(*) filter (ids = [0])::int n_unknown, md5(string_agg(array_to_string(ids, ' '), ' ' order by place)) ids_md5 from dw join cut on cut.word = dw.word group by doc_id""")
 def f05_subwords(spark, d):
-    ids = F.transform("tokens", lambda t: t["id"])
+    ids = F.col("tokens.id")
     return _subwords(spark, d).select(
         "doc_id", F.size(ids).alias("n_tokens"), F.size(F.filter(ids, lambda i: i == 0)).alias("n_unknown"), F.md5(F.array_join(ids.cast("array<string>"), " ")).alias("ids_md5")
     ).filter("n_tokens > 0")

@@ -83,3 +83,12 @@ def test_the_tokenize_job_counts_subwords(spark, tmp_path):
     cfg = {"dataset_path": str(tmp_path / "d"), "vocabulary_path": str(tmp_path / "v.txt"), "begin_token": "[CLS]", "end_token": "[SEP]", "max_length": 8}
     got = {r["id"]: (r["input_ids"], r["length"]) for r in J.tokenize(spark, cfg).collect()}
     assert got == {"1": ([4, 1, 2, 5], 4), "2": ([4, 5], 2), "3": ([4, 0, 1, 5], 4), "4": ([4, 1, 1, 1, 1, 1, 1, 5], 8)}
+
+
+def test_tokens_are_the_spans(spark):
+    """Tokens made a text at a time are those of word after word, also with a caller's pattern."""
+    pieces = ["[UNK]", "a", "ab", "##b", "##c", "\U0001f600"]
+    for pattern in (W.WORDS, r"[ab]+|c", r"(a|b)+", r"[a-c]*"):
+        cutter = W.Subwords(pieces, pattern=pattern)
+        for text in ("", " ", "abc  abx\né \U0001f600 ab", "  a", "abcb ", "a b " * 3):
+            assert [tuple(x) for x in cutter.tokens(text).tolist()] == cutter.spans(text)
