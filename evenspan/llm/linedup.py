@@ -29,13 +29,10 @@ SHINGLE = 5
 COUNTERS = 1 << 15
 #: Rows of one or two numbers that may be broadcast, counted first.
 BROADCAST_KEYS = 600_000
-#: Bits of a packed first word that hold its place; the other bits hold a hash.
-PLACE_BITS = 24
-PLACE = (1 << PLACE_BITS) - 1
 #: Of n tokens n // SLACK more than a fifth are shown to other lines at first.
 SLACK = 20
 #: Pairs for each row that need no further round of first classes; the share of them that a round must leave at most.
-PAIRS_PER_ROW, WORTH = 4, 0.7
+PAIRS_PER_ROW, WORTH = 12, 0.7
 
 
 def _whole(w: Column) -> Column:
@@ -53,32 +50,29 @@ def _every(w: Column) -> Column:
     return F.array_distinct(F.transform(F.slice(w, F.lit(1), F.size(w) - (SHINGLE - 1)), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])))
 
 
-def shingles(line: Column) -> Column:
-    """Distinct 64-bit shingle hashes of a line, unsorted; empty without words."""
-    return let(words(line), lambda w: F.when(F.size(w) >= SHINGLE, _every(w)).when(F.size(w) > 0, _whole(w)).otherwise(F.array().cast("array<long>")))
+def shingles(w: Column) -> Column:
+    """Distinct 64-bit shingle hashes of a line's words, unsorted; empty without words."""
+    return F.when(F.size(w) >= SHINGLE, _every(w)).when(F.size(w) > 0, _whole(w)).otherwise(F.array().cast("array<long>"))
 
 
-def shown(line: Column) -> Column:
-    """p, tokens of a line, of which a similar line has as many as t says: those whose first words' hashes come first, a
-    fifth of the places and a SLACK-th more. With a first word all its places are taken. Where shingles repeat, so that
-    they are fewer than that, all of the line's. A line has at least as many shingles as it has different words, but
-    for the last ones, so that t is what lines of four fifths of that number show beyond a fifth of their own."""
-    keep, low = F.lit(~PLACE).cast("long"), F.lit(PLACE).cast("long")
-
-    def build(w):
-        n = F.size(w) - (SHINGLE - 1)
-        need = F.floor(n / 5).cast("int") + F.greatest(F.lit(1), F.floor(n / SLACK).cast("int"))
-        least = F.floor(F.ceil((F.size(F.array_distinct(w)) - (SHINGLE - 1)) * 0.8 - 1e-9) / SLACK).cast("int")
-        firsts = F.sort_array(F.transform(F.slice(w, F.lit(1), n), lambda x, i: F.xxhash64(x).bitwiseAND(keep).bitwiseOR(i.cast("long"))))
-
-        def picked(f):
-            return let(F.element_at(f, need).bitwiseOR(low), lambda last: F.array_distinct(F.transform(F.filter(f, lambda v: v <= last), lambda v: _at(w, v.bitwiseAND(low).cast("int")))))
-
-        enough = let(let(firsts, picked), lambda p: F.when(F.size(p) >= need, p).otherwise(_every(w)))
-        shows = F.when(F.size(w) < SHINGLE, _whole(w)).when(n > PLACE, _every(w)).otherwise(enough)
-        return F.struct(shows.alias("p"), F.greatest(F.lit(1), least).alias("t"))
-
-    return let(words(line), build)
+def shown(lines: DataFrame) -> DataFrame:
+    """Of ``lines`` (c, line) the rows k, h: tokens of each line, of which a similar line has as many as t says, the lower byte
+    of k, whose other bytes are those of c. The tokens are those whose first words' hashes come first: so many different first words
+    as a fifth of the places and a SLACK-th more, each at all its places. Where a line has fewer, all its tokens. A line has at least
+    as many shingles as different first words, so that t is what lines of four fifths of that number show beyond a fifth of
+    their own. Each step is a column of its own, so that compiled code does all but the lambda's hash of a word."""
+    w, f, d, n = F.col("w"), F.col("f"), F.col("d"), F.size("f")
+    need = F.floor(n / 5).cast("int") + F.greatest(F.lit(1), F.floor(n / SLACK).cast("int"))
+    least = F.floor(F.ceil(F.size(d) * 0.8 - 1e-9) / SLACK).cast("int").cast("long")
+    rows = lines.select("c", words(F.col("line")).alias("w"))
+    rows = rows.select("c", "w", F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0))), lambda x: F.xxhash64(x)).alias("f"))
+    rows = rows.select("c", "w", "f", F.sort_array(F.array_distinct(f)).alias("d"))
+    # bound before the places are rows, so as not to be made for each of them; never null, as Spark would test that on the line
+    last = F.coalesce(let(F.when(F.size(d) >= need, F.get(d, need - 1)), lambda v: v), F.lit(2**63 - 1))
+    key = let(F.col("c").bitwiseAND(F.lit(~255).cast("long")).bitwiseOR(F.greatest(F.lit(1).cast("long"), F.least(F.lit(255).cast("long"), least))), lambda v: v)
+    rows = rows.select("w", F.when(F.size(w) < SHINGLE, F.array(F.lit(0).cast("long"))).otherwise(f).alias("f"), key.alias("k"), last.alias("last"))
+    rows = rows.select("k", "w", "last", F.posexplode_outer("f").alias("i", "v")).filter("v <= last")
+    return rows.select("k", F.when(F.size(w) < SHINGLE, F.xxhash64(F.array_join(w, " "))).otherwise(_at(w, F.col("i"))).alias("h"))
 
 
 def rarity_levels(sets: DataFrame) -> Column:
@@ -101,12 +95,14 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """_id, _t (hash of the text) and removed (the sorted numbers, from 0, of the lines that go) of each different row
     that loses some."""
     base = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    at = base.select("_id", "_t", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.col("line").rlike(NOT_SPACE))
-    at = stash(at.select("_id", "_t", "line_no", F.xxhash64("line").alias("c"), F.xxhash64(F.lit(1), "line").alias("c2"), shown(F.col("line")).alias("p")).select("_id", "_t", "line_no", "c", "c2", "p.*"), "lines")
-    # classes of equal lines: first occurrence, whether there are more, and what it must share
+    # outer, as for the other kind Spark splits every text once more to see that it has lines
+    at = base.select("_id", "_t", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.col("line").rlike(NOT_SPACE))
+    at, texts = at.select("_id", "_t", "line_no", F.xxhash64("line").alias("c"), F.xxhash64(F.lit(1), "line").alias("c2")), at.select(F.xxhash64("line").alias("c"), "line")
+    at = stash(at, "lines")
+    # classes of equal lines: first occurrence, and whether there are more
     first, last = (f(F.struct("_id", "_t", "line_no")) for f in (F.min, F.max))
-    classes = stash(at.groupBy("c", "c2").agg(first.alias("first"), last.alias("last"), F.max("t").alias("t")), "classes")
-    hit = _matched(base, classes, _sharing(at))
+    classes = stash(at.groupBy("c", "c2").agg(first.alias("first"), last.alias("last")), "classes")
+    hit = _matched(base, classes, _sharing(texts))
     gone = classes.join(small(hit.select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), F.lit(True).alias("_hit")), BROADCAST_KEYS), (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")), "left")
     gone = gone.filter(~F.col("first").eqNullSafe(F.col("last")) | F.col("_hit")).select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), F.when(F.col("_hit").isNull(), F.col("first")).alias("kept"))
     out = at.select("_id", "_t", "line_no", "c", "c2").join(small(stash(gone, "gone"), BROADCAST_KEYS), (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")))
@@ -116,17 +112,18 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return out
 
 
-def _sharing(at: DataFrame) -> DataFrame:
-    """c and seen, of the lines that have tokens another line has: how many."""
-    token = at.select("c", F.explode("p").alias("h"))
-    held = token.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+def _sharing(texts: DataFrame) -> DataFrame:
+    """_p, the upper seven bytes of c of the lines of which others have so many tokens as a similar one must."""
+    token = stash(shown(texts), "shown")
+    held = token.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     held = stash(held, "held")
     # of two lines both are known; more are looked up, a line that comes several times as often
     more = held.filter("n > 2").select(F.col("h").alias("_h"))
-    others = token.join(small(more, BROADCAST_KEYS), F.col("h") == F.col("_h"), "left_semi").select("c")
-    two = held.filter("n = 2").select(F.explode(F.array("lo", "hi")).alias("c"))
-    out = stash(two.unionByName(others).groupBy("c").agg(F.count(F.lit(1)).alias("seen")), "sharing")
-    drop(held)
+    others = token.join(small(more, BROADCAST_KEYS), F.col("h") == F.col("_h"), "left_semi").select("k")
+    two = held.filter("n = 2").select(F.explode(F.array("lo", "hi")).alias("k"))
+    seen = two.unionByName(others).groupBy("k").agg(F.count(F.lit(1)).alias("seen"))
+    out = stash(seen.filter("seen >= (k & 255)").select(F.shiftright("k", 8).alias("_p")), "sharing")
+    drop(held, token)
     return out
 
 
@@ -135,7 +132,9 @@ def _sets(base: DataFrame, who: DataFrame) -> DataFrame:
     need = who.groupBy(F.col("first._id").alias("_nid"), F.col("first._t").alias("_nt")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "no")).alias("q"))
     need = stash(need, "need")
     docs = base.join(small(need), F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_t") == F.col("_nt")))
-    made = docs.select(F.split("text", "\n", -1).alias("ls"), F.explode("q").alias("q")).select(F.col("q.no").alias("no"), shingles(F.get("ls", F.col("q.line_no"))).alias("s"))
+    # bound before the lines are rows, or Spark splits the text for each line
+    made = docs.select(let(F.split("text", "\n", -1), lambda v: v).alias("ls"), "q").select("ls", F.explode("q").alias("q"))
+    made = made.select(F.col("q.no").alias("no"), words(F.get("ls", F.col("q.line_no"))).alias("w")).select("no", shingles(F.col("w")).alias("s"))
     sets = stash(made.select("no", F.size("s").alias("n"), "s"), "tokens")
     if sets.count() > who.count():  # rows that repeat
         sets, old = stash(sets.dropDuplicates(["no"]), "tokens"), sets
@@ -149,7 +148,7 @@ def _matched(base: DataFrame, classes: DataFrame, sharing: DataFrame) -> DataFra
     def allowed(n: Column, m: Column, i: Column, j: Column) -> Column:
         return (10 * F.least(n, m) >= 8 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
 
-    who = classes.join(small(sharing.withColumnRenamed("c", "_c"), BROADCAST_KEYS), F.col("c") == F.col("_c")).filter("seen >= t").select("c", "c2", "first")
+    who = classes.join(small(sharing, BROADCAST_KEYS), F.shiftright("c", 8) == F.col("_p"), "left_semi").select("c", "c2", "first")
     # numbers in the order of the lines
     who = stash(who.orderBy("first").withColumn("no", F.monotonically_increasing_id()), "who")
     sets = _sets(base, who)

@@ -175,3 +175,40 @@ def test_bands_hold_linked_sizes():
     for n in range(1, 500):
         for m in range(-(-n * 80 // 100), n + 1):
             assert np.searchsorted(ends, n, "right") - np.searchsorted(ends, m, "right") in (0, 1)
+
+
+def test_line_dedup_splits_once(spark, monkeypatch):
+    """A text is split once for all its lines: neither again to see that it has some, nor for each line that is looked up."""
+    plans = {}
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.stash(df, name)
+
+    monkeypatch.setattr(linedup, "stash", spied)
+    line = " ".join(f"w{k}" for k in range(60))
+    d = spark.createDataFrame([(1, f"{line}\n{line} end"), (2, f"other words\n{line} more")], "doc_id long, text string")
+    removed = {r["doc_id"]: r["removed_lines"] for r in linedup.dedup_lines(d).collect()}
+    assert removed == {1: [1], 2: [1]}
+    assert plans["lines"].count("split(text") == 1
+    assert plans["shown"].count("split(text") == 1 and plans["shown"].count("split(CASE") == 1
+    assert "transform(array(split(text" in plans["tokens"]
+
+
+def test_shown_tokens_of_similar_lines(spark):
+    """Any two lines of a similarity of 0.8 share as many of the tokens shown as either asks for, at repeated words too."""
+
+    draw, lines = random.Random(3), []
+    for _ in range(60):
+        base = [f"w{draw.randrange(draw.choice([4, 30, 1000]))}" for _ in range(draw.randrange(1, 160))]
+        edges = base[draw.randrange(0, 1 + len(base) // 12) :] + [f"x{draw.random()}" for _ in range(draw.randrange(0, 1 + len(base) // 12))]
+        lines += [base, edges, base + base[: len(base) // 3]]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "c long, line string")
+    shown = {}
+    for r in linedup.shown(d.selectExpr("c * 256 as c", "line")).collect():
+        shown.setdefault(r["k"] >> 8, (r["k"] & 255, set()))[1].add(r["h"])
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in lines]
+    near = [(a, b) for a in range(len(lines)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert len(near) > 40
+    for a, b in near:
+        assert len(shown[a][1] & shown[b][1]) >= max(shown[a][0], shown[b][0])
