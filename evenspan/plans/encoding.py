@@ -19,7 +19,7 @@ ENCODER = K.layered_fixture(dim=4, heads=2, layers=2, sharp=4.0)
 
 def conversations(spark, d):
     """doc_id, input_ids: the turns of a conversation in order, each word as its length, between begin and end tokens."""
-    c = X.table(spark, d, "conversations").withColumn("ids", F.transform(B.whitespace_tokens(F.col("text")), lambda w: F.length(w)))
+    c = X.table(spark, d, "conversations").withColumn("ids", F.transform(B.whitespace_pieces(F.col("text")), lambda w: F.length(w)))
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "ids"))), lambda x: x["ids"])  # the turns of one conversation
     whole = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.flatten(turns).alias("ids"))
     return whole.select("doc_id", F.concat(F.array(F.lit(101)), "ids", F.array(F.lit(102))).alias("input_ids"))

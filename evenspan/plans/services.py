@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..graph import Job, run_graph
 from ..operators import batching as B
 from ..operators import lookup as L
-from ..operators.assemble import whitespace_tokens
+from ..operators.assemble import whitespace_pieces
 from ..registry import query
 from ..sources import stores as S
 from ..sources.scratch import scratch_path
@@ -47,7 +47,7 @@ tb as (select conv_id, turn, n, padded, padded || '_' || ((rn - 1) // greatest({
 
 
 def _batches(spark, d):
-    c = X.table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.size(whitespace_tokens(F.col("text"))).alias("n"))
+    c = X.table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.size(whitespace_pieces(F.col("text"))).alias("n"))
     return B.budget_batches(c, "n", "id", BUDGET)
 
 
@@ -97,7 +97,7 @@ def s14_resolved(spark, d):
 
 def _jobs(spark, d):
     def lengths(spark, settings, _):
-        x = X.table(spark, d, "documents").select("doc_id", "lang", F.size(whitespace_tokens(F.col("text"))).alias("n"))
+        x = X.table(spark, d, "documents").select("doc_id", "lang", F.size(whitespace_pieces(F.col("text"))).alias("n"))
         return x.filter(F.col("n") >= settings["least"])
 
     def failing(spark, *_):
