@@ -26,7 +26,16 @@ def views(d):
     return con
 
 
-@pytest.mark.parametrize("name", ["c01_tokenize_job", "f05_tokens", "u01_tokenizer_hook"])
+@pytest.mark.parametrize("name", ["c01_tokenize_job", "f05_tokens", "o08_all_sets", "u01_tokenizer_hook"])
 def test_odd_texts(name, spark, odd):
     got, want = same_rows(QUERIES[name](spark, odd), views(odd), ORACLES[name])
     assert got == want
+
+
+def test_all_sets_of_repeated_ids(spark, tmp_path):
+    """Rows of one id, of the same length or of another, meet all others as the join of rows says, and never one another."""
+    texts = ["a b", "a b", "c", "d e f", "x " * 50, "x " * 58]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(0, "a b", "en"), (0, "k", "en"), (2, "c", "en"), (3, "d", "en"), (-4, "e", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = same_rows(QUERIES["o08_all_sets"](spark, str(tmp_path)), views(str(tmp_path)), ORACLES["o08_all_sets"])
+    assert got == want
